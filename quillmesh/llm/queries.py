@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmesh.llm._shared import table
+from quillmesh.llm._tokens import default_vocabulary
+from quillmesh.llm.html_extract import extract
+from quillmesh.llm.packing import pack
+from quillmesh.llm.secret_scan import secret_spans
 from quillmesh.llm.suffix_dedup import repeated_spans
+from quillmesh.llm.token_counts import token_counts
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +20,35 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, unigram tokens and their log probability of every document."""
+    return token_counts(table(spark, sf_dir, "documents"), default_vocabulary("piece_bpe_32k.model"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts and digest of the base kinds, spans of all."""
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    told = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), "base_sha256", told.alias("spans"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in windows of 2048 tokens."""
+    return pack(table(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.json"), window=2048, end_id=1)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op4_html_extract": op4_html_extract,
+    "op6_token_counts": op6_token_counts,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

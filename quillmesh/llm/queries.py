@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm._shared import table
 from quillmesh.llm._tokens import default_vocabulary
+from quillmesh.llm import toxicity
 from quillmesh.llm.html_extract import extract
+from quillmesh.llm.mixing import mix_sources
 from quillmesh.llm.packing import pack
 from quillmesh.llm.secret_scan import secret_spans
 from quillmesh.llm.suffix_dedup import repeated_spans
 from quillmesh.llm.token_counts import token_counts
+from quillmesh.llm.vectors import exact_top_k, nearest
+
+#: How far op7 relaxes the triangle inequality (1 is exact); recall in README.md.
+RELAX = 4.0
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,16 +26,32 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products for every twentieth vector."""
+    return exact_top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64, query_filter="id % 20 = 0")
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document, with its source's size and target."""
+    out = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, unigram tokens and their log probability of every document."""
     return token_counts(table(spark, sf_dir, "documents"), default_vocabulary("piece_bpe_32k.model"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found in relaxed vantage-point trees for every twentieth vector."""
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, relax=RELAX, query_filter="id % 20 = 0")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts and digest of the base kinds, spans of all."""
     found = secret_spans(table(spark, sf_dir, "documents"))
@@ -43,12 +65,51 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.json"), window=2048, end_id=1)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_exact_topk": op2_exact_topk,
     "op4_html_extract": op4_html_extract,
+    "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
+    "op7_nearest": op7_nearest,
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(64 * x)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op5_mixing": f"""
+        WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0)::BIGINT AS size,
+                          ('0x' || md5('mix:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS u FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS ssize, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+        o AS (SELECT *, row_number() OVER (ORDER BY 3 * ssize / w, source NULLS LAST) AS k,
+                     sum(ssize) OVER () AS total, sum(w) OVER () AS weights FROM s),
+        p AS (SELECT *, total - coalesce(sum(3 * ssize) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rem,
+                     weights - coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wleft FROM o),
+        f AS (SELECT min(k) AS k FROM p WHERE rem * w <= 3 * ssize * wleft),
+        t AS (SELECT p.source, p.ssize, CASE WHEN p.k < f.k THEN (3 * p.ssize)::DOUBLE
+                     ELSE ((SELECT rem FROM p JOIN f USING (k)) * p.w)::DOUBLE / (SELECT wleft FROM p JOIN f USING (k))::DOUBLE END AS target FROM p, f),
+        q AS (SELECT *, floor(target + 0.5)::BIGINT AS quota FROM t),
+        c AS (SELECT doc_id, size, ssize, target, CASE WHEN ssize = 0 THEN 0 ELSE quota // ssize END AS whole, CASE WHEN ssize = 0 THEN 0 ELSE quota % ssize END AS rest,
+                     sum(size) OVER (PARTITION BY source ORDER BY u, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto
+              FROM d JOIN q USING (source))
+        SELECT doc_id, size, ssize AS source_size, target,
+               (size * least(3, whole + CASE WHEN upto - size < rest AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
+}

@@ -86,9 +86,9 @@ def emit(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int, at_most: int | None = None) -> Iterator[pa.Table]:
     """Regroup a stream that is sorted by ``keys`` into tables of about ``rows``
-    rows that never cut a group."""
+    rows that never cut a group, unless it alone has more than ``at_most``."""
     held: list[pa.RecordBatch] = []
     n = 0
     for b in batches:
@@ -109,5 +109,8 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int)
             if lo:
                 yield t.slice(0, lo)
                 held, n = t.slice(lo).to_batches(), n - lo
+            elif at_most and n >= at_most:
+                yield t
+                held, n = [], 0
     if n:
         yield pa.Table.from_batches(held)

@@ -9,6 +9,7 @@ from quillmesh.llm._shared import table
 from quillmesh.llm._tokens import default_vocabulary
 from quillmesh.llm import toxicity
 from quillmesh.llm.html_extract import extract
+from quillmesh.llm.jaccard_join import near_duplicates
 from quillmesh.llm.mixing import mix_sources
 from quillmesh.llm.packing import pack
 from quillmesh.llm.secret_scan import secret_spans
@@ -31,6 +32,11 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64, query_filter="id % 20 = 0")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and near-duplicate component of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=5, percent=80)
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract(table(spark, sf_dir, "pages"))
@@ -76,6 +82,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_topk": op2_exact_topk,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_html_extract": op4_html_extract,
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,

@@ -38,10 +38,10 @@ def weighted_mean(values: Mapping[str, Column], weights: Mapping[str, float]) ->
     return F.when(weight > 0, total / weight)
 
 
-def overall(values: Mapping[str, Column], safety: Column) -> Column:
+def overall(values: Mapping[str, Column], safety: Column, digits: int = 4) -> Column:
     """The weighted mean, capped (never raised) where safety is flagged."""
     mean = weighted_mean(values, WEIGHTS)
-    return F.round(F.when(safety < 1, F.least(mean, F.lit(SAFETY_CAP))).otherwise(mean), 4)
+    return F.round(F.when(safety < 1, F.least(mean, F.lit(SAFETY_CAP))).otherwise(mean), digits)
 
 
 def failure_type(v: Mapping[str, Column], safety: Column) -> Column:
@@ -171,7 +171,7 @@ def around_events(marks: DataFrame, rows: DataFrame, ts: str, value: str, by: tu
     m = marks.select(*by, F.col("mark_id"), F.col(ts).alias("at"))
     span = F.make_interval(days=F.lit(days))
     near = m.join(rows.select(*by, F.col(ts).alias("t"), F.col(value).alias("v")), list(by)).filter((F.col("t") >= F.col("at") - span) & (F.col("t") < F.col("at") + span))
-    return near.groupBy("mark_id").agg(F.round(F.avg(F.when(F.col("t") < F.col("at"), F.col("v"))), 4).alias("before"), F.round(F.avg(F.when(F.col("t") >= F.col("at"), F.col("v"))), 4).alias("after"), F.count("*").alias("n"))
+    return near.groupBy("mark_id").agg(F.round(F.avg(F.when(F.col("t") < F.col("at"), F.col("v"))), 9).alias("before"), F.round(F.avg(F.when(F.col("t") >= F.col("at"), F.col("v"))), 9).alias("after"), F.count("*").alias("n"))
 
 
 def quadrant(x: Column, y: Column, line: float = 0.7) -> Column:

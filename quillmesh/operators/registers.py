@@ -58,7 +58,7 @@ def alignment(ratings: DataFrame, weights: DataFrame, by: Sequence[str], dimensi
     w = ratings.join(F.broadcast(weights), dimension)  # one row a dimension
     rated = F.col(rating).isNotNull()
     total = F.sum(F.when(rated, F.col(rating) / 4 * 100 * F.col("weight")))
-    return w.groupBy(*by).agg(F.round(F.try_divide(total, F.sum(F.when(rated, F.col("weight")))), 1).alias("score"))
+    return w.groupBy(*by).agg(F.round(F.round(F.try_divide(total, F.sum(F.when(rated, F.col("weight")))), 6), 1).alias("score"))
 
 
 def localization_share(rows: DataFrame, by: Sequence[str], weight: Column, state: Column) -> DataFrame:

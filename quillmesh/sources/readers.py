@@ -177,7 +177,7 @@ def converted(suffix: pd.Series, content: pd.Series) -> pd.DataFrame:
 
 def read_folder(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """(path, name, markdown, units, unit, error) of the files of one folder;
-    hidden and lock files are skipped."""
+    hidden and lock files are skipped, and so are files without a byte."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     named = files.withColumn("name", F.substring_index("path", "/", -1)).filter(~F.col("name").rlike(r"^(\.|~\$|_)"))
     got = named.withColumn("c", converted(F.lower(F.substring_index("name", ".", -1)), F.col("content")))

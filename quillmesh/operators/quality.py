@@ -91,8 +91,8 @@ def tiles(rows: DataFrame, value: str, ts: str, now: Column, days: int, line: fl
 def series(rows: DataFrame, value: str, ts: str, unit: str = "WEEK") -> DataFrame:
     v = F.col(value)
     return rows.groupBy(F.date_trunc(unit, ts).alias("bucket")).agg(
-        F.count(v).alias("n"), F.round(F.percentile(v, F.lit(0.5)), 4).alias("median"), F.round(F.percentile(v, F.lit(0.1)), 4).alias("p10"),
-        F.round(F.percentile(v, F.lit(0.9)), 4).alias("p90"), F.round(F.avg(v), 4).alias("mean"),
+        F.count(v).alias("n"), F.round(F.percentile(v, F.lit(0.5)), 6).alias("median"), F.round(F.percentile(v, F.lit(0.1)), 6).alias("p10"),
+        F.round(F.percentile(v, F.lit(0.9)), 6).alias("p90"), F.round(F.avg(v), 6).alias("mean"),
     )
 
 

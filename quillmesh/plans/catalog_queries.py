@@ -270,7 +270,7 @@ def run_set_difference(spark, d):
     return g.select("user_id", diff("a", "b").alias("left_out"), diff("b", "a").alias("entered"))
 
 
-@BOOK.add("capped_with_flag", "SELECT p_partkey, true AS truncated FROM part WHERE p_size > 10 ORDER BY p_retailprice DESC, p_partkey LIMIT 200")
+@BOOK.add("capped_with_flag", "SELECT p_partkey, (SELECT count(*) FROM part WHERE p_size > 10) > 200 AS truncated FROM part WHERE p_size > 10 ORDER BY p_retailprice DESC, p_partkey LIMIT 200")
 def capped_with_flag(spark, d):
     from quillmesh.operators.graph import capped
 

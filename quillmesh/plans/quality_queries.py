@@ -50,8 +50,8 @@ def q_prev_delta(spark, d):
 
 @BOOK.add(
     "q_series_weekly",
-    f"""WITH {_E} SELECT date_trunc('week', ts)::TIMESTAMP AS bucket, count(score) AS n, round(quantile_cont(score, 0.5), 4) AS median, round(quantile_cont(score, 0.1), 4) AS p10,
-    round(quantile_cont(score, 0.9), 4) AS p90, round(avg(score), 4) AS mean FROM e GROUP BY 1""",
+    f"""WITH {_E} SELECT date_trunc('week', ts)::TIMESTAMP AS bucket, count(score) AS n, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.1), 6) AS p10,
+    round(quantile_cont(score, 0.9), 6) AS p90, round(avg(score), 6) AS mean FROM e GROUP BY 1""",
 )
 def q_series_weekly(spark, d):
     s = quality.series(_events(spark, d), "score", "ts", "WEEK")
@@ -60,8 +60,8 @@ def q_series_weekly(spark, d):
 
 @BOOK.add(
     "q_series_daily",
-    f"""WITH {_E} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS bucket, count(score) AS n, round(quantile_cont(score, 0.5), 4) AS median, round(quantile_cont(score, 0.1), 4) AS p10,
-    round(quantile_cont(score, 0.9), 4) AS p90, round(avg(score), 4) AS mean FROM e GROUP BY 1""",
+    f"""WITH {_E} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS bucket, count(score) AS n, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.1), 6) AS p10,
+    round(quantile_cont(score, 0.9), 6) AS p90, round(avg(score), 6) AS mean FROM e GROUP BY 1""",
 )
 def q_series_daily(spark, d):
     return quality.series(_events(spark, d), "score", "ts", "DAY").withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd"))

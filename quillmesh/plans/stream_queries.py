@@ -63,7 +63,8 @@ def st_dedup(spark, d):
 @BOOK.add("stream_redact")
 def stream_redact(spark, d):
     """Conversations as streams of pieces, redacted with what is held back between them."""
-    from quillmesh.streaming.redactor import redact_stream
+    from quillmesh.streaming.redactor import redact_stream, state_store
 
     pieces = windows.stream_of(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").cast("int").alias("seq"), F.col("text").alias("piece"), F.lit(True).alias("last"))
-    return windows.run_to_table(redact_stream(pieces), _shared(spark))
+    with state_store(spark):
+        return windows.run_to_table(redact_stream(pieces), _shared(spark))

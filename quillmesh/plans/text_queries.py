@@ -72,14 +72,14 @@ def credential_mask(spark, d):
 
 @BOOK.add(
     "scope_signal",
-    r"SELECT doc_id, CASE WHEN regexp_matches(text, '\b[A-Z]{2,5}-[0-9]{3,}\b') THEN 'code' WHEN regexp_matches(text, '(?i)\b(password|licensed|license)\b') THEN 'word' WHEN regexp_matches(text, '(?i)\b(the|und)\b') THEN 'system' END AS signal FROM documents",
+    r"SELECT doc_id, CASE WHEN regexp_matches(text, '\b[A-Z]{2,5}-[0-9]{3,}\b') THEN 'code' WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(password|licensed|license)($|[^\p{L}\p{N}_])') THEN 'word' WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(the|und)($|[^\p{L}\p{N}_])') THEN 'system' END AS signal FROM documents",
 )
 def scope_signal(spark, d):
     s = guardrails.scope_signal(F.col("text"), r"\b[A-Z]{2,5}-[0-9]{3,}\b", ["password", "licensed", "license"], ["the", "und"])
     return _docs(spark, d).select("doc_id", s.alias("signal"))
 
 
-@BOOK.add("scope_verdicts", r"SELECT item_id, CASE WHEN trim(text) = '' THEN 'refused: empty' WHEN item_id % 10 = 0 THEN 'allowed: off' WHEN regexp_matches(text, '(?i)\b(the)\b') THEN 'allowed: word' WHEN item_id % 3 = 0 THEN 'refused: cache' ELSE 'allowed: no verdict' END AS verdict FROM benchmark")
+@BOOK.add("scope_verdicts", r"SELECT item_id, CASE WHEN trim(text) = '' THEN 'refused: empty' WHEN item_id % 10 = 0 THEN 'allowed: off' WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(the)($|[^\p{L}\p{N}_])') THEN 'allowed: word' WHEN item_id % 3 = 0 THEN 'refused: cache' ELSE 'allowed: no verdict' END AS verdict FROM benchmark")
 def scope_verdicts(spark, d):
     b = load(spark, d, "benchmark")
     signal = guardrails.scope_signal(F.col("text"), r"\bZZ-\d{9}\b", ["the"], ["no such system"])

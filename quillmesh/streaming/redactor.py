@@ -7,11 +7,12 @@ grows beyond ``HOLD`` characters.
 
 from __future__ import annotations
 
+import contextlib
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quillmesh.operators.guardrails import redact_text
@@ -57,6 +58,21 @@ class Redactor(StatefulProcessor):
         pass
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Keyed state variables need the RocksDB provider while a query starts and runs."""
+    was = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, was)
+
+
 def redact_stream(pieces: DataFrame) -> DataFrame:
     """(stream_id, text) from (stream_id, seq, piece, last) pieces."""
     return pieces.groupBy("stream_id").transformWithStateInPandas(Redactor(), outputStructType="stream_id string, text string", outputMode="append", timeMode="none")

@@ -268,7 +268,7 @@ def test_question_list_and_splice():
 
 def test_sql_guard(spark):
     spark.range(5).createOrReplaceTempView("t5")
-    assert sql.guarded(spark, "select * from t5 where id <> ';drop'", limit=3).count() == 3
+    assert sql.guarded(spark, "select * from t5 where cast(id as string) <> ';drop'", limit=3).count() == 3
     for bad in ("drop view t5", "select 1; select 2", "insert into t5 values (1)", "create table x as select 1", "with a as (select 1) delete from t5"):
         with pytest.raises(ValueError, match="reading"):
             sql.guarded(spark, bad)

@@ -33,9 +33,10 @@ from quillmesh.llm.secret_scan import redact
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    # the text passes through the scorer, so documents need not be joined to scores
-    scored = toxicity.score(docs, model, keep=tuple(docs.columns))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    # whole rows pass through the scorer, so documents need not be joined to scores
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    scored = toxicity.score(rows, model, keep=("row",), text_col="row.text")
+    return scored.filter("predicted = 0").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +51,9 @@ def mark_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(docs).filter("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
+    mixed = mix_sources(rows).filter("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

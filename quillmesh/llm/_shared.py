@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -64,6 +65,18 @@ def versioned(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, l
     return digest.join(ver, ["doc", "dig"]).select("doc", "ver", "text"), ["doc", "ver"]
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Arrow batches of at most about ``size`` bytes for what runs meanwhile."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
+
+
 def arrow_schema(ddl: str) -> tuple[T.StructType, pa.Schema]:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -83,6 +96,7 @@ def emit(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
         elif v.type != field.type:
             v = v.cast(field.type)
         arrays.append(v)
+    pa.default_memory_pool().release_unused()  # idle workers of one executor add up
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 

@@ -55,7 +55,7 @@ class BytePairEncoder:
     the same either way, and a sample is compared when a worker starts.
     """
 
-    def __init__(self, path: str, entries: int = 500_000):
+    def __init__(self, path: str, entries: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import tiktoken

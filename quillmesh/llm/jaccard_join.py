@@ -45,11 +45,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm._bytes import U64, PrefixHash, blocks, flat, mix, ranges
-from quillmesh.llm._shared import NULL_ID, arrow_schema, emit, id_or_lowest, stage, whole_groups
+from quillmesh.llm._shared import NULL_ID, arrow_batches, arrow_schema, emit, id_or_lowest, stage, whole_groups
 
 SLOTS = 1 << 22  #: counters of the frequency sketch, one byte each
 ORDERS = (0x1B873593CC9E2D51, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
-BLOCK = 4 << 20
+BLOCK = 1 << 20  #: bytes whose shingles are hashed at once
+BATCH = 16 << 20  #: bytes of an Arrow batch, so that several tasks fit beside each other
 SPREAD = 4096  #: classes of one meeting that are paired in one piece
 
 _SPACE = np.zeros(256, bool)
@@ -197,20 +198,21 @@ def _first_prefixes(shingle: int, percent: int, levels_of):
         levels = levels_of.value
         for batch in batches:
             ids = batch.column("doc").to_numpy()
-            parts = list(_sets(batch, shingle))
-            da, db = (np.concatenate(x) for x in zip(*(_digests(h, c) for _, _, h, c in parts), strict=True))
-            o = np.lexsort((ids, db, da))
-            head = np.zeros(len(ids), bool)  # of equal sets, that with the smallest id stands for all
-            head[o[np.r_[True, (da[o][1:] != da[o][:-1]) | (db[o][1:] != db[o][:-1])]]] = True
-            for lo, hi, h, c in parts:
+            parts, digests = [], []
+            for lo, hi, h, c in _sets(batch, shingle):
                 owner = np.repeat(np.arange(hi - lo), c)
+                digests.append(_digests(h, c))
                 h = h[_in_order(h, owner, levels, 0)]
-                first = np.cumsum(c) - c
                 probe, _ = prefix_lengths(c, percent)
-                probe = np.where(head[lo:hi], probe, 0)
-                at = ranges(np.zeros(len(c), np.int64), probe)
-                row = np.repeat(np.arange(len(c)), probe)
-                yield emit(out, {"token": h[first[row] + at], "doc": ids[lo:hi][row], "n": c[row], "at": at})
+                parts.append((lo, hi, h[ranges(np.cumsum(c) - c, probe)], c, probe))
+            da, db = (np.concatenate(x) for x in zip(*digests, strict=True))
+            o = np.lexsort((ids, db, da))
+            head = np.zeros(len(ids), bool)  # of equal sets, that with the smallest id stands for all
+            head[o[np.r_[True, (da[o][1:] != da[o][:-1]) | (db[o][1:] != db[o][:-1])]]] = True
+            for lo, hi, shown, c, probe in parts:
+                row, at = np.repeat(np.arange(hi - lo), probe), ranges(np.zeros(hi - lo, np.int64), probe)
+                keep = head[lo:hi][row]
+                yield emit(out, {"token": shown[keep], "doc": ids[lo:hi][row][keep], "n": c[row][keep], "at": at[keep]})
 
     return run
 
@@ -300,7 +302,7 @@ def _meetings(percent: int, leaders: int | None):
                 if not len(x_all) or (leaders is not None and lead >= leaders):
                     break
                 left = size[size > lead + 1] - lead - 1
-                for part in np.array_split(np.arange(len(x_all)), 1 + int(left.sum()) // 2_000_000):
+                for part in np.array_split(np.arange(len(x_all)), 1 + int(left.sum()) // 250_000):
                     y = ranges(x_all[part] + lead + 1, left[part])
                     x = np.repeat(x_all[part] + lead, left[part])
                     ok = (comp[x] != comp[y]) & (doc[x] != doc[y])
@@ -309,7 +311,7 @@ def _meetings(percent: int, leaders: int | None):
                     a, b = doc[x[ok]], doc[y[ok]]
                     done.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
                     held += len(done[-1])
-                    if held > 500_000:
+                    if held > 200_000:
                         pairs, done, held = np.unique(np.concatenate(done), axis=0), [], 0
                         yield emit(out, {"a": pairs[:, 0], "b": pairs[:, 1]})
                 lead += 1
@@ -323,24 +325,21 @@ def _meetings(percent: int, leaders: int | None):
 def _linked(percent: int):
     _, out = arrow_schema(PAIRS)
 
+    def linked(r: dict) -> bool:
+        x, y = (np.frombuffer(r[f"tokens_{s}"], U64) for s in "xy")
+        for name in ("second", "third"):  # the other orders' prefixes must meet too
+            u, v = (z[np.unpackbits(np.frombuffer(r[f"{name}_{s}"], np.uint8), count=len(z)).view(bool)] for s, z in (("x", x), ("y", y)))
+            if not len(np.intersect1d(u, v, assume_unique=True)):
+                return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            cols = {c: b.column(c).to_pylist() for c in b.schema.names if c not in ("a", "b")}
-            for i in range(b.num_rows):
-                hit = True
-                x, y = (np.frombuffer(cols[f"tokens_{s}"][i], U64) for s in "xy")
-                for name in ("second", "third"):  # the other orders' prefixes must meet too
-                    u, v = (z[np.unpackbits(np.frombuffer(cols[f"{name}_{s}"][i], np.uint8), count=len(z)).view(bool)] for s, z in (("x", x), ("y", y)))
-                    if not len(np.intersect1d(u, v, assume_unique=True)):
-                        hit = False
-                        break
-                if hit:
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    hit = 100 * both >= percent * (len(x) + len(y) - both)
-                if hit:
-                    keep.append(i)
-            yield emit(out, {"a": b.column("a").take(pa.array(keep, pa.int64())), "b": b.column("b").take(pa.array(keep, pa.int64()))})
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                rows = batch.slice(i, 500).to_pylist()
+                keep = [r for r in rows if linked(r)]
+                yield emit(out, {"a": [r["a"] for r in keep], "b": [r["b"] for r in keep]})
 
     return run
 
@@ -373,6 +372,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
+    with arrow_batches(docs.sparkSession, BATCH):
+        return _near_duplicates(docs, shingle, percent, id_col, text_col, slots)
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, slots: int) -> DataFrame:
+    """Runs all but its last join, so that the batch size holds for its stages."""
     spark = docs.sparkSession
     texts = docs.select(id_or_lowest(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = F.col("doc") != NULL_ID

@@ -34,7 +34,7 @@ _MODELS: dict[str, UnigramCounter] = {}
 
 
 class UnigramCounter:
-    def __init__(self, pieces: dict[str, float], byte_score: float, entries: int = 500_000):
+    def __init__(self, pieces: dict[str, float], byte_score: float, entries: int = 200_000):
         self.pieces, self.byte_score, self.entries = pieces, byte_score, entries
         #: every ending of a piece, with the score of those that are pieces themselves
         self.endings: dict[str, float | None] = {}

@@ -259,7 +259,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col))
     chosen = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # at most ``sample`` rows, so it may be broadcast: the texts are not shuffled
-    texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select("toxic", F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text")).persist()
+    plain = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = plain.join(F.broadcast(chosen), "_id").select("toxic", "text").withColumn("key", F.xxhash64("text")).persist()
     learned = _learned_stems(texts)
     grammar_of = lambda: Grammar(learned)
 
@@ -278,17 +279,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``keep`` columns (the id by default), score and predicted."""
+    """``keep`` columns (the id by default), score and predicted.
+
+    ``text_col`` may name a field of a kept struct, as "row.text", so that whole
+    rows can pass through with their text once.
+    """
     names = [id_col] if keep is None else list(keep)
-    base = docs.select(*names, F.col(text_col).alias("_text"))
+    within, _, field = text_col.rpartition(".")
+    base = docs.select(*names) if within else docs.select(*names, F.col(text_col).alias("_text"))
     fields = [f for f in base.schema if f.name != "_text"]
     schema, out = arrow_schema(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, predicted int")
     learned, weights = model.learned, np.array(model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(learned)
-        for b in batches:
-            x = np.array([grammar.features(t or "") for t in b.column("_text").to_pylist()]).reshape(-1, len(weights))
+        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
+            texts = b.column(within).field(field) if within else b.column("_text")
+            x = np.array([grammar.features(t or "") for t in texts.to_pylist()]).reshape(-1, len(weights))
             s = np.round(1 / (1 + np.exp(-np.clip((x * weights).sum(axis=1), -30, 30))), 9)
             arrays = [*(b.column(f.name) for f in fields), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([*(b.schema.field(f.name) for f in fields), out.field("score"), out.field("predicted")]))

@@ -151,7 +151,9 @@ def mix(docs: DataFrame, members: Column, size: Column, quotas, max_copies: int
     edge = F.col("_bucket") == F.col("_last")
     names = [*docs.columns, "size"]
     clear = joined.filter(~edge).select(*names, F.least(F.col("_whole") + F.when(F.col("_bucket") < F.col("_last"), 1).otherwise(0), F.lit(max_copies)).alias("copies"))
-    running = Window.partitionBy("_members").orderBy("_u", F.asc_nulls_first(id_col), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # equal ids of equal size are told apart by their other columns, so that reruns agree
+    plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    running = Window.partitionBy("_members").orderBy("_u", F.asc_nulls_first(id_col), "size", F.xxhash64(*plain)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("_before") + F.sum("size").over(running)
     # the document across which the remainder ends is taken if most of it lies before the end
     near = (upto - F.col("size") < F.col("_rest")) & (2 * upto - F.col("size") <= 2 * F.col("_rest"))

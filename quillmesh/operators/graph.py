@@ -55,7 +55,8 @@ def edge_types(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, start: DataFrame, most: int, directed: bool = False) -> DataFrame:
     """(id, hop): fewest steps from any start node, up to ``most``."""
-    pairs = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct() if directed else both_ways(edges)
+    # once, by its near end: every round then joins without deriving the edges anew
+    pairs = settled(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct() if directed else both_ways(edges), "pairs")
     seen = settled(start.select("id", F.lit(0).alias("hop")).distinct())
     frontier = seen
     for h in range(1, most + 1):
@@ -71,8 +72,9 @@ def shortest_path(edges: DataFrame, start: str, end: str, most: int = 6) -> Data
     """(step, id): the shortest undirected route, of equal ones that with the
     smallest ids from the end backwards; empty if there is none."""
     spark = edges.sparkSession
-    found = settled(hops(edges, spark.createDataFrame([(start,)], "id string"), most))
-    pairs = both_ways(edges)
+    pairs = settled(both_ways(edges), "pairs")
+    known = pairs.select(F.col("a").alias("source"), F.col("b").alias("target"))
+    found = settled(hops(known, spark.createDataFrame([(start,)], "id string"), most, directed=True))
     at = found.filter(F.col("id") == end).select("id", "hop").first()
     if at is None:
         return spark.createDataFrame([], "step int, id string")

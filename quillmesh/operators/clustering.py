@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.scalar import terms
-from quillmesh.functions.vectors import cosine
 
 LARGEST = 2000  #: items of one group that are clustered exactly
 
@@ -76,8 +75,3 @@ def labels(items: DataFrame, by: str, text_col: str, top: int = 3) -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc("score"), "term")
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top).select(by, "place", "term", "score")
 
-
-def pair_similarity(items: DataFrame, by: str, id_col: str, vector_col: str) -> DataFrame:
-    a = items.select(by, F.col(id_col).alias("a"), F.col(vector_col).alias("va"))
-    b = items.select(by, F.col(id_col).alias("b"), F.col(vector_col).alias("vb"))
-    return a.join(b, by).filter("a < b").select(by, "a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))

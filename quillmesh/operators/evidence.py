@@ -41,11 +41,17 @@ def centroids(vectors: DataFrame, by: str, vector_col: str = "embedding") -> Dat
     return parts.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def near_pairs(items: DataFrame, id_col: str, vector_col: str, block: str, least: float = NEAR) -> DataFrame:
-    """(a, b, similarity) of pairs inside a block, a < b, at or above ``least``."""
-    a = items.select(F.col(block).alias("_b"), F.col(id_col).alias("a"), F.col(vector_col).alias("va"))
-    b = items.select(F.col(block).alias("_b"), F.col(id_col).alias("b"), F.col(vector_col).alias("vb"))
-    return a.join(b, "_b").filter("a < b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("s")).filter(F.col("s") >= least).select("a", "b", F.round("s", 6).alias("similarity"))
+def near_pairs(items: DataFrame, id_col: str, vector_col: str, block: str, least: float = NEAR, parts: int = 8) -> DataFrame:
+    """(a, b, similarity) of pairs inside a block, a < b, at or above ``least``.
+
+    A block is cut into ``parts`` by hash and its pairs are formed part against
+    part, so that a block with a third of all rows is spread over many tasks.
+    """
+    part = F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    a = items.select(F.col(block).alias("_b"), part.alias("_i"), F.col(id_col).alias("a"), F.col(vector_col).alias("va")).withColumn("_j", every)
+    b = items.select(F.col(block).alias("_b"), part.alias("_j"), F.col(id_col).alias("b"), F.col(vector_col).alias("vb")).withColumn("_i", every)
+    return a.join(b, ["_b", "_i", "_j"]).filter("a < b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("s")).filter(F.col("s") >= least).select("a", "b", F.round("s", 6).alias("similarity"))
 
 
 def same_identity(ticket_a: Column, ticket_b: Column, tokens_a: Column, tokens_b: Column) -> Column:

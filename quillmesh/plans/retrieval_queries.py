@@ -114,10 +114,11 @@ _NEAR = f"""{_EVERY}, s AS (SELECT query_id, query_label, e.vec_id, e.label, {_C
 
 
 def _neighbours(spark, d, k=40, inner=None):
-    """Ranked neighbours of every hundredth vector among all: a stated query set."""
-    e = load(spark, d, "embeddings")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("q"))
-    s = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "query_label", "vec_id", "label", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    """Ranked neighbours of every hundredth vector among all: a stated query set,
+    met block by block."""
+    e = load(spark, d, "embeddings").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(16)).cast("int"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    s = e.join(q, "block").filter("vec_id <> query_id").select("query_id", "query_label", "vec_id", "label", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

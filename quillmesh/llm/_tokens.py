@@ -42,6 +42,13 @@ class _Words(dict):
         return ids
 
 
+def _plainly_spaced(text: str) -> bool:
+    """Whether all white space is blanks and line ends, one between two words and
+    none at the ends: one word more than separators, and no other character lost."""
+    words, separators = text.split(), text.count(" ") + text.count("\n")
+    return len(words) == separators + 1 and sum(map(len, words)) + separators == len(text)
+
+
 class BytePairEncoder:
     """Ids that ``tokenizers`` gives with a byte-level BPE file, special tokens
     not added.
@@ -83,7 +90,7 @@ class BytePairEncoder:
         for t in texts:
             if not t:
                 out.append(b"")
-            elif "\0" not in t and len(t.split()) == t.count(" ") + t.count("\n") + 1:
+            elif "\0" not in t and _plainly_spaced(t):
                 out.append(b"".join(map(word, ("\0" + t.replace("\n", " \n")).split(" "))))
             else:
                 out.append(np.asarray(self.encoder.encode(t, add_special_tokens=False).ids, "<u4").tobytes())

@@ -478,6 +478,13 @@ def test_word_wise_ids_equal_whole_ids(texts):
         assert np.frombuffer(raw, "<u4").tolist() == encoder.encoder.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_of_texts_whose_odd_and_surplus_spaces_cancel_out():
+    texts = ["a\tb\tc\n\n", "one\u3000two\u3000three\n\n\nfour", "  a\u00a0b\u2003c", "a\x1cb  c", "a\tb \n c\r\nd"]
+    encoder = BytePairEncoder(BPE)
+    for t, raw in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == encoder.encoder.encode(t, add_special_tokens=False).ids, t
+
+
 # 10 --------------------------------------------------------------------------
 
 

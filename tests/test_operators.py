@@ -217,6 +217,20 @@ def test_average_linkage():
     assert clustering.average_linkage(np.zeros((0, 2)), 0.4).tolist() == []
 
 
+def test_large_groups_are_clustered_like_small_ones(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "LARGEST", 40)
+    monkeypatch.setattr(clustering, "BLOCK", 25, raising=False)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 6))[rng.integers(0, 12, 150)] + 0.35 * rng.normal(size=(150, 6))
+    x[20:35], x[40:42] = x[20], 0  # copies, and vectors that are near nothing
+    rows = [(g, i, x[i].tolist()) for g, n in (("large", 150), ("small", 30)) for i in range(n)] + [(None, i, x[i].tolist()) for i in range(60)]
+    got = clustering.clusters(spark.createDataFrame(rows, "g string, id long, v array<double>"), "g", "id", "v", 0.3).collect()
+    assert len(got) == len(rows)
+    for g, n in (("large", 150), ("small", 30), (None, 60)):
+        found = [r.cluster for r in sorted((r for r in got if r.g == g), key=lambda r: r.id)]
+        assert found == clustering.average_linkage(x[:n], 0.3).tolist()
+
+
 def test_codes(spark):
     r = one(spark, scalar.code_parent(F.lit("4.10.2.2")).alias("a"), scalar.code_parent(F.lit("4.10")).alias("b"), scalar.code_parent(F.lit("4.0")).alias("c"), (scalar.code_sort_key(F.lit("4.9")) < scalar.code_sort_key(F.lit("4.10"))).alias("d"), scalar.under(F.lit("4.10.2"), "4.1").alias("e"), scalar.clock(F.lit(125)).alias("f"), scalar.expand_codes(F.lit("see M-090-030-010.")).alias("g"))
     assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g) == ("4.10.2", "4.0", None, True, False, "2:05", ["m090030", "m090030010"])

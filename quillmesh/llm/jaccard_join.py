@@ -256,13 +256,17 @@ def _can_link(nx: np.ndarray, ny: np.ndarray, ax: np.ndarray, ay: np.ndarray, pe
 PAIRS = "a long, b long"
 
 
-def _partners(percent: int):
-    """Rows that may have a partner in their meeting; the others lead to no pair."""
+def _partners(percent: int, some: int = 200_000, at_most: int = 1_000_000):
+    """Rows that may have a partner in their meeting; the others lead to no pair.
+    A meeting of more than ``at_most`` rows comes in pieces and is kept whole."""
     _, out = arrow_schema(PREFIXES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["token"], 200_000, at_most=1_000_000):
+        cut = None  # the token whose rows come in pieces
+        for t in whole_groups(batches, ["token"], some, at_most=at_most):
             token, doc, n, at = (t.column(c).to_numpy().astype(np.int64) for c in ("token", "doc", "n", "at"))
+            if len(token) >= at_most and token[0] == token[-1]:
+                cut = token[0]
             o = np.lexsort((n, token))
             token, doc, n, at = token[o], doc[o], n[o], at[o]
             head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
@@ -277,6 +281,8 @@ def _partners(percent: int):
                 x = np.flatnonzero(np.repeat(small, size)[: len(token) - gap] & (token[gap:] == token[: len(token) - gap])) if len(token) > gap else np.zeros(0, np.int64)
                 ok = x[_can_link(n[x], n[x + gap], at[x], at[x + gap], percent) & (doc[x] != doc[x + gap])]
                 keep[ok] = keep[ok + gap] = True
+            if cut is not None:
+                keep |= token == cut
             if keep.any():
                 yield emit(out, {"token": token[keep], "doc": doc[keep], "n": n[keep], "at": at[keep]})
 
@@ -417,9 +423,8 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, id_col: str, t
             rows = rows.withColumn("salt", F.col("block").cast("long"))
         pairs = rows.select("token", "salt", "doc", "n", "at", "comp").repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_meetings(percent, leaders), PAIRS).distinct()
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if comp is not None:
-                break
+        if pairs.isEmpty() and comp is not None:
+            continue  # a later round tries more pairs
         links = links.union(stage(verify(pairs), "links"))
         tried = pairs if tried is None else tried.union(pairs)
         comp = stage(components(links), "components")

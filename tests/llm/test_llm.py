@@ -256,6 +256,19 @@ def test_jaccard_join_with_a_tiny_sketch(docs):
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == brute_components(DOCS)
 
 
+def test_jaccard_join_goes_on_after_a_round_without_pairs(docs, monkeypatch):
+    real = jaccard_join._meetings
+    monkeypatch.setattr(jaccard_join, "_meetings", lambda percent, leaders: real(percent, leaders and 0))
+    got = jaccard_join.near_duplicates(docs).collect()
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == brute_components(DOCS)
+
+
+def test_partners_in_other_pieces_of_a_meeting_are_kept():
+    batch = lambda token, n: pa.RecordBatch.from_pydict({"token": pa.array([token] * len(n), pa.int64()), "doc": pa.array(n, pa.int64()), "n": pa.array(n, pa.int32()), "at": pa.array([0] * len(n), pa.int32())})
+    got = jaccard_join._partners(80, 4, 4)([batch(7, [10, 20, 40, 100]), batch(7, [101]), batch(8, [5])])
+    assert sorted(x for b in got for x in b.column("doc").to_pylist()) == [10, 20, 40, 100, 101]
+
+
 def test_jaccard_join_without_links(spark, none):
     assert jaccard_join.near_duplicates(none).count() == 0
     df = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string")

@@ -164,7 +164,7 @@ class Grammar:
         distinct: set[str] = set()
         clauses = hits = 0
         plain = {w.strip(".,!?;:\"'()[]*%$&#…“”„«»") for w in set(words)}
-        odd = {w for w in plain if not w.isalpha() and any(map(str.isalpha, w)) and len(w) < 20}
+        odd = {w for w in plain if not w.isalpha() and any(map(str.isalpha, w))}
         if not plain.isdisjoint(self.triggers) or any(w[:n] in stems for n, stems in self.stems.items() for w in plain) or any(self.symbol(p) in (INSULT, THREAT) for w in odd for p in (w, *_WORD.findall(w))):
             for clause in _CLAUSE.split(low):
                 tokens = _WORD.findall(clause)

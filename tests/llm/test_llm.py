@@ -514,6 +514,12 @@ def test_grammar_reads_clauses():
     assert read("") == {} and read("a calm text") == {}
 
 
+def test_insults_in_long_chunks_count():
+    g = toxicity.Grammar()
+    for text, n in (("you.are.a.stupid.idiot", 2), ("idiot,moron,loser,scum", 4), ("stupid-pathetic-worthless/idiot", 4), ("well…you…are…an…idiot…", 1)):
+        assert sum(round(math.expm1(v)) for k, v in zip(toxicity.KINDS, g.features(text), strict=False)) == n, text
+
+
 def test_toxicity_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")

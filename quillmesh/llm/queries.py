@@ -17,8 +17,8 @@ from quillmesh.llm.suffix_dedup import repeated_spans
 from quillmesh.llm.token_counts import token_counts
 from quillmesh.llm.vectors import exact_top_k, nearest
 
-#: How far op7 relaxes the triangle inequality (1 is exact); recall in README.md.
-RELAX = 2.0
+#: Share of the true neighbours by which op7's trees choose how far to relax pruning.
+RECALL = 0.95
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found in relaxed vantage-point trees for every twentieth vector."""
-    return nearest(table(spark, sf_dir, "embeddings"), k=20, relax=RELAX, query_filter="id % 20 = 0")
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, recall=RECALL, query_filter="id % 20 = 0")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,11 +88,21 @@ def ordered_digest(rows: DataFrame, by: Sequence[str], order: Sequence[str], val
     return rows.groupBy(*by).agg((F.md5(joined) if kind == "md5" else F.sha2(joined, 256)).alias("digest"), F.count("*").alias("n"))
 
 
-def bucketed_digest(rows: DataFrame, key: str, fingerprint: str, buckets: int = 1024) -> DataFrame:
-    """A digest of a whole table by way of bucket digests, so that no task sees it all."""
-    b = F.pmod(F.xxhash64(key), F.lit(buckets))
-    parts = ordered_digest(rows.withColumn("_b", b), ["_b"], [key, fingerprint], F.concat_ws(":", F.col(key).cast("string"), F.col(fingerprint)), "sha256", "\n")
-    return ordered_digest(parts, [], ["_b"], F.concat_ws(":", F.col("_b").cast("string"), F.col("digest")), "sha256", "\n").select(F.left("digest", F.lit(16)).alias("fingerprint"))
+def bucketed_digest(rows: DataFrame, by: Sequence[str], key: str, fingerprint: str, per_bucket: int = 10_000) -> DataFrame:
+    """(by, fingerprint, n): a digest of each group, or of the whole table, by way of
+    digests of key ranges, so that no task sees a large group whole. Buckets are
+    runs of ``per_bucket`` keys; where there are many of them, their digests are
+    bucketed again."""
+    level = rows.select(*by, F.col(key).cast("long").alias("_k"), F.concat_ws(":", F.col(key).cast("string"), F.col(fingerprint)).alias("_v"), F.lit(1).cast("long").alias("_n"))
+    span = rows.agg(F.max(F.abs(F.col(key).cast("long")))).first()[0] or 0
+    while True:
+        span //= per_bucket
+        parts = level.groupBy(*by, F.floor(F.col("_k") / per_bucket).alias("_k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda s: s["_v"]), "\n").alias("_t"), F.sum("_n").alias("_n"))
+        level = parts.select(*by, "_k", F.sha2("_t", 256).alias("_v"), "_n")
+        if span < per_bucket:
+            break
+    last = level.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda s: s["_v"]), "\n"), 256).alias("_v"), F.sum("_n").alias("n"))
+    return last.select(*by, F.left("_v", F.lit(16)).alias("fingerprint"), "n")
 
 
 def fingerprint_delta(old: DataFrame, new: DataFrame, key: str, fingerprint: str = "fingerprint", category: str = "category") -> DataFrame:

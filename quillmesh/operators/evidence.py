@@ -41,17 +41,35 @@ def centroids(vectors: DataFrame, by: str, vector_col: str = "embedding") -> Dat
     return parts.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def near_pairs(items: DataFrame, id_col: str, vector_col: str, block: str, least: float = NEAR, parts: int = 8) -> DataFrame:
-    """(a, b, similarity) of pairs inside a block, a < b, at or above ``least``.
+def near_pairs(lists: DataFrame, by: str, id_col: str, vector_col: str, least: float = NEAR) -> DataFrame:
+    """(by, a, b, similarity) of the pairs in each bounded list (the hits of one
+    question), a < b, at or above ``least``."""
+    a = lists.select(by, F.col(id_col).alias("a"), F.col(vector_col).alias("va"))
+    b = lists.select(by, F.col(id_col).alias("b"), F.col(vector_col).alias("vb"))
+    near = a.join(b, by).filter("a < b").select(by, "a", "b", cosine(F.col("va"), F.col("vb")).alias("s"))
+    return near.filter(F.col("s") >= least).select(by, "a", "b", F.round("s", 6).alias("similarity"))
 
-    A block is cut into ``parts`` by hash and its pairs are formed part against
-    part, so that a block with a third of all rows is spread over many tasks.
+
+def similar_sets(items: DataFrame, id_col: str, tokens: Column, percent: int = 50) -> DataFrame:
+    """(a, b, jaccard): items whose token sets are at least ``percent`` alike.
+
+    Items of one set are a class, named by its smallest id and told as pairs
+    (class, member, 1.0). Classes meet by a prefix: tokens are ordered from rare
+    to frequent, and two sets that are alike enough share one of their first few.
     """
-    part = F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    a = items.select(F.col(block).alias("_b"), part.alias("_i"), F.col(id_col).alias("a"), F.col(vector_col).alias("va")).withColumn("_j", every)
-    b = items.select(F.col(block).alias("_b"), part.alias("_j"), F.col(id_col).alias("b"), F.col(vector_col).alias("vb")).withColumn("_i", every)
-    return a.join(b, ["_b", "_i", "_j"]).filter("a < b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("s")).filter(F.col("s") >= least).select("a", "b", F.round("s", 6).alias("similarity"))
+    sets = items.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("w")).filter("size(w) > 0")
+    heads = sets.groupBy("w").agg(F.min("id").alias("head"))
+    df = heads.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    ranked = heads.select("head", F.explode("w").alias("t"), F.size("w").alias("n")).join(df, "t")
+    place = F.row_number().over(Window.partitionBy("head").orderBy("df", "t"))
+    prefix = ranked.withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("head", "t", "n")
+    x, y = prefix.select("t", F.col("head").alias("a"), F.col("n").alias("na")), prefix.select("t", F.col("head").alias("b"), F.col("n").alias("nb"))
+    fits = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    met = x.join(y, "t").filter(fits).select("a", "b").distinct()
+    side = lambda c, w: heads.select(F.col("head").alias(c), F.col("w").alias(w))
+    alike = met.join(side("a", "wa"), "a").join(side("b", "wb"), "b").select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("j")).filter(F.col("j") * 100 >= percent)
+    copies = sets.join(heads, "w").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("j"))
+    return alike.unionByName(copies).select("a", "b", F.round("j", 6).alias("jaccard"))
 
 
 def same_identity(ticket_a: Column, ticket_b: Column, tokens_a: Column, tokens_b: Column) -> Column:
@@ -63,7 +81,8 @@ def quote_status(quote: Column, text: Column) -> Column:
     """verbatim, elided (parts around ... in order), or not found; null text was never retrieved."""
     q, t = normal_text(quote), normal_text(text)
     parts = F.filter(F.transform(F.split(q, r"\s*(?:\.\.\.|…)\s*"), F.trim), lambda p: F.length(p) > 0)
-    elided = (F.size(parts) > 1) & F.forall(parts, lambda p: t.contains(p))
+    literal = F.transform(parts, lambda p: F.regexp_replace(p, r"([%_\\])", r"\\$1"))
+    elided = (F.size(parts) > 1) & F.like(t, F.concat(F.lit("%"), F.array_join(literal, "%"), F.lit("%")))
     return F.when(text.isNull(), "never retrieved").when((q != "") & t.contains(q), "verbatim").when(elided, "elided").otherwise("not found")
 
 

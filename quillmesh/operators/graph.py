@@ -12,20 +12,27 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame, name: str = "round") -> DataFrame:
-    """Written to the shared folder (spark.checkpoint.dir) and read again."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a
+    session on one machine that names none gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.quillmesh.shared.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="quillmesh-")
         spark.conf.set("spark.quillmesh.shared.dir", at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def settled(df: DataFrame, name: str = "round") -> DataFrame:
+    """Written to the shared folder and read again."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clean_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

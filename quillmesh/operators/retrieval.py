@@ -1,8 +1,9 @@
 """Hybrid retrieval: vectors, BM25 over postings, and rank fusion.
 
 Postings are the only large intermediate: one row per document and distinct
-term. A query touches those of its own terms; its side of every join is a few
-rows, and statistics are one row or one per query term.
+term. Questions come as a set (query_id, ...), each is answered against all
+documents, and only postings of their own terms are grouped. Statistics are one
+row, or one per term of a question.
 """
 
 from __future__ import annotations
@@ -19,8 +20,12 @@ K1, B, RRF, DEPTH = 1.2, 0.75, 60, 40
 MODES = ("hybrid", "vector", "keyword")
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope_col: str | None = None, stop: Sequence[str] = (), codes: bool = False) -> DataFrame:
-    """(id, [scope,] term, tf, dl): dl is the number of *distinct* terms."""
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope_col: str | None = None, stop: Sequence[str] = (), codes: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """(id, [scope,] term, tf, dl): dl is the number of *distinct* terms.
+
+    ``only`` (a ``term`` column) keeps the postings of those terms alone: others
+    go before anything is grouped or shuffled.
+    """
     found = terms(F.col(text_col))
     if codes:
         found = F.concat(found, expand_codes(F.col(text_col)))
@@ -28,7 +33,17 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
         found = F.filter(found, lambda t: ~t.isin(*stop))
     keys = [id_col, *([scope_col] if scope_col else [])]
     base = docs.filter(F.col(text_col).isNotNull()).select(*keys, found.alias("_terms")).withColumn("dl", F.size(F.array_distinct("_terms")).cast("long"))
-    return base.select(*keys, "dl", F.explode("_terms").alias("term")).groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf")).select(*keys, "term", "tf", "dl")
+    each = base.select(*keys, "dl", F.explode("_terms").alias("term"))
+    if only is not None:
+        each = each.join(only.select("term").distinct(), "term", "left_semi")
+    return each.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf")).select(*keys, "term", "tf", "dl")
+
+
+def store_postings(docs: DataFrame, path: str, **options) -> DataFrame:
+    """Postings written once and sorted by term, so that a question reads the row
+    groups of its own terms."""
+    postings(docs, **options).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def corpus_stats(docs: DataFrame, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:
@@ -46,42 +61,56 @@ def scoped(docs: DataFrame, column: str, scope: Sequence[str] | None) -> DataFra
     return docs.filter(F.col(column).isin(*scope)) if scope else docs
 
 
+def _first(hits: DataFrame, id_col: str, limit: int | None) -> DataFrame:
+    """The best of each question; each task keeps its own best before they meet."""
+    if not limit:
+        return hits
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    return hits.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= limit).drop("_k")
+
+
 def bm25(posts: DataFrame, query_terms: DataFrame, stats: DataFrame, id_col: str = "doc_id", limit: int | None = DEPTH) -> DataFrame:
-    """(id, score) of documents with any query term, best first.
+    """(query_id, id, score) of documents with any term of a question.
 
-    ``query_terms`` has one distinct ``term`` per row; ``stats`` is one row.
+    ``query_terms`` has rows (query_id, term); ``stats`` is one row.
     """
-    hit = posts.join(F.broadcast(query_terms.select("term").distinct()), "term")  # a query's own terms
+    asked = query_terms.select("query_id", "term").distinct()
+    hit = posts.join(asked.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    s = stats.select("n_docs", "avg_dl")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats.select("n_docs", "avg_dl"))).select("query_id", "term", "avg_dl", idf.alias("idf"))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    scored = hit.join(F.broadcast(df), "term").crossJoin(F.broadcast(s)).groupBy(id_col).agg(F.sum(idf * gain).alias("score"))
-    ranked = scored.select(id_col, F.round("score", 6).alias("score"))
-    return ranked.orderBy(F.desc("score"), id_col).limit(limit) if limit else ranked
+    scored = hit.join(weighted, "term").groupBy("query_id", id_col).agg(F.sum(F.col("idf") * gain).alias("score"))
+    return _first(scored.select("query_id", id_col, F.round("score", 6).alias("score")), id_col, limit)
 
 
-def by_cosine(vectors: DataFrame, query: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", limit: int | None = DEPTH) -> DataFrame:
-    """(id, score) by cosine similarity to the one row of ``query`` (column ``q``)."""
-    q = query.select(F.col("q").alias("q"), norm(F.col("q")).alias("qn"))
-    scored = vectors.crossJoin(F.broadcast(q)).select(id_col, F.round(F.try_divide(dot(F.col(vector_col), F.col("q")), norm(F.col(vector_col)) * F.col("qn")), 6).alias("score")).filter("score is not null")
-    return scored.orderBy(F.desc("score"), id_col).limit(limit) if limit else scored
+def by_cosine(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", limit: int | None = DEPTH, per_block: int = 4096) -> DataFrame:
+    """(query_id, id, score) by cosine similarity to each row of ``queries``
+    (query_id, q): a stated query set against all vectors, met block by block.
+    The number of blocks follows the number of vectors."""
+    blocks = max(8, -(-vectors.count() // per_block))
+    held = vectors.withColumn("_block", F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")).withColumn("_n", norm(F.col(vector_col)))
+    asked = queries.select("query_id", "q", norm(F.col("q")).alias("_qn")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    score = F.round(F.try_divide(dot(F.col(vector_col), F.col("q")), F.col("_n") * F.col("_qn")), 6)
+    scored = held.join(asked, "_block").select("query_id", id_col, score.alias("score")).filter("score is not null")
+    return _first(scored, id_col, limit)
 
 
 def ranks(hits: DataFrame, id_col: str) -> DataFrame:
-    """Positions from 1 in a bounded list."""
-    return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
+    """Positions from 1 in the bounded list of each question."""
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)))
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, k: int = 8, id_col: str = "doc_id") -> DataFrame:
-    """Reciprocal-rank fusion; either list may lack a document. Both are bounded,
-    so the ranking windows hold at most ``DEPTH`` rows."""
-    v = ranks(vector, id_col).select(id_col, F.col("rank").alias("vector_rank"), F.col("score").alias("similarity"))
-    w = ranks(keyword, id_col).select(id_col, F.col("rank").alias("keyword_rank"), F.col("score").alias("bm25"))
-    both = v.join(w, id_col, "full_outer")
+    """Reciprocal-rank fusion per question; either list may lack a document. Both
+    hold at most ``DEPTH`` rows a question."""
+    v = ranks(vector, id_col).select("query_id", id_col, F.col("rank").alias("vector_rank"), F.col("score").alias("similarity"))
+    w = ranks(keyword, id_col).select("query_id", id_col, F.col("rank").alias("keyword_rank"), F.col("score").alias("bm25"))
+    both = v.join(w, ["query_id", id_col], "full_outer")
     part = lambda c: F.coalesce(1.0 / (RRF + F.col(c)), F.lit(0.0))
     scored = both.withColumn("score", F.round(part("vector_rank") + part("keyword_rank"), 9)).withColumn("_best", F.least("vector_rank", "keyword_rank"))
-    return scored.orderBy(F.desc("score"), "_best", id_col).limit(k).drop("_best")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "_best", id_col)
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("_best")
 
 
 def search(docs: DataFrame, vectors: DataFrame, text: str, vector: DataFrame | None, k: int = 8, mode: str = "hybrid", scope_col: str = "lang", scope: Sequence[str] | None = None) -> DataFrame:
@@ -90,14 +119,14 @@ def search(docs: DataFrame, vectors: DataFrame, text: str, vector: DataFrame | N
         raise ValueError(f"mode must be one of {MODES}")
     spark = docs.sparkSession
     inside = scoped(docs, scope_col, scope)
-    asked = spark.createDataFrame([(text,)], "text string").select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    empty = spark.createDataFrame([], "doc_id long, score double")
-    word = bm25(postings(inside), asked, corpus_stats(inside)) if mode != "vector" else empty
+    asked = spark.createDataFrame([(0, text)], "query_id long, text string").select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    empty = spark.createDataFrame([], "query_id long, doc_id long, score double")
+    word = bm25(postings(inside, only=asked), asked, corpus_stats(inside)) if mode != "vector" else empty
     near = empty
     if mode != "keyword" and vector is not None:
         held = vectors.withColumnRenamed("vec_id", "doc_id").join(inside.select("doc_id"), "doc_id", "left_semi")
-        near = by_cosine(held, vector, "doc_id")
-    return fuse(near, word, k).join(inside, "doc_id")
+        near = by_cosine(held, vector.select(F.lit(0).cast("long").alias("query_id"), "q"), "doc_id")
+    return fuse(near, word, k).drop("query_id").join(inside, "doc_id")
 
 
 def similar_search(posts: DataFrame, stats: DataFrame, terms_df: DataFrame, allowed: DataFrame, k: int) -> DataFrame:

@@ -118,22 +118,29 @@ def document_fingerprint(spark, d):
     return load(spark, d, "documents").select("doc_id", catalog.document_fingerprint(F.col("text")).alias("fingerprint"))
 
 
-@BOOK.add("corpus_fingerprint_by_source", "SELECT source, sha256(string_agg(doc_id || ':' || md5(text), chr(10) ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY 1")
+def _bucketed(table: str, by: str, key: str, value: str) -> str:
+    """SQL of catalog.bucketed_digest for keys below 10,000 squared."""
+    group = f"{by}, " if by else ""
+    return f"""WITH b AS (SELECT {group}floor({key} / 10000)::BIGINT AS k, sha256(string_agg({key} || ':' || {value}, chr(10) ORDER BY {key})) AS v, count(*) AS n FROM {table} GROUP BY ALL)
+    SELECT {group}left(sha256(string_agg(v, chr(10) ORDER BY k)), 16) AS fingerprint, sum(n)::BIGINT AS n FROM b {f"GROUP BY {by}" if by else ""}"""
+
+
+@BOOK.add("corpus_fingerprint_by_source", _bucketed("documents", "source", "doc_id", "md5(text)"))
 def corpus_fingerprint_by_source(spark, d):
     docs = load(spark, d, "documents").select("source", "doc_id", F.md5("text").alias("f"))
-    return catalog.ordered_digest(docs, ["source"], ["doc_id"], F.concat_ws(":", F.col("doc_id").cast("string"), F.col("f")), "sha256", "\n")
+    return catalog.bucketed_digest(docs, ["source"], "doc_id", "f")
 
 
-@BOOK.add("corpus_fingerprint")
+@BOOK.add("corpus_fingerprint", _bucketed("documents", "", "doc_id", "sha256(text)"))
 def corpus_fingerprint(spark, d):
     """One fingerprint of all documents, by way of bucket digests."""
     docs = load(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("fingerprint"))
-    return catalog.bucketed_digest(docs, "doc_id", "fingerprint")
+    return catalog.bucketed_digest(docs, [], "doc_id", "fingerprint")
 
 
-@BOOK.add("digest_by_group", "SELECT c_nationkey, md5(string_agg(c_name, ',' ORDER BY c_custkey)) AS digest, count(*) AS n FROM customer GROUP BY 1")
+@BOOK.add("digest_by_group", _bucketed("customer", "c_nationkey", "c_custkey", "c_name"))
 def digest_by_group(spark, d):
-    return catalog.ordered_digest(load(spark, d, "customer"), ["c_nationkey"], ["c_custkey"], F.col("c_name"))
+    return catalog.bucketed_digest(load(spark, d, "customer"), ["c_nationkey"], "c_custkey", "c_name")
 
 
 @BOOK.add("index_signature", "SELECT o_custkey, min(o_orderkey) AS first_chunk, count(*) AS chunks, left(sha256(o_custkey || ':' || min(o_orderkey) || ':' || count(*)), 16) AS signature FROM orders GROUP BY 1")

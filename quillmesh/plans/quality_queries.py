@@ -74,12 +74,11 @@ def q_histogram(spark, d):
 
 @BOOK.add(
     "q_halves",
-    f"""WITH {_E}, u AS (SELECT user_id, string_agg(DISTINCT upper(event_type), '+' ORDER BY upper(event_type)) AS half, avg(score) AS mean FROM e WHERE k < 10 GROUP BY user_id)
+    f"""WITH {_E}, u AS (SELECT user_id, string_agg(DISTINCT upper(event_type), '+' ORDER BY upper(event_type)) AS half, avg(score) AS mean FROM e GROUP BY user_id)
     SELECT half, count(*) AS subjects, round(avg(mean), 4) AS mean FROM u GROUP BY half""",
 )
 def q_halves(spark, d):
-    e = _events(spark, d).filter("k < 10")
-    u = e.groupBy("user_id").agg(quality.half_label(F.collect_set("event_type")).alias("half"), F.avg("score").alias("mean"))
+    u = _events(spark, d).groupBy("user_id").agg(quality.half_label(F.collect_set("event_type")).alias("half"), F.avg("score").alias("mean"))
     return u.groupBy("half").agg(F.count("*").alias("subjects"), F.round(F.avg("mean"), 4).alias("mean"))
 
 

@@ -84,11 +84,11 @@ def localization_share(spark, d):
 @BOOK.add(
     "heatmap",
     f"""WITH {_D}, k AS (SELECT unnest(range(10))::INTEGER AS dimension), g AS (SELECT dimension, count(*) AS n, count(*) FILTER (state IN ('CONFIRMED_STATUTORY', 'SAP_DELIVERED')) AS must, max(materiality) AS worst,
-    array_to_string(list_sort(list(gap))[1:5], ',') AS first_ids FROM d WHERE country % 50 = 0 GROUP BY 1) SELECT k.dimension, coalesce(n, 0) AS n, coalesce(must, 0) AS must, worst, coalesce(first_ids, '') AS first_ids FROM k LEFT JOIN g USING (dimension)""",
+    array_to_string(list_sort(list(gap))[1:5], ',') AS first_ids FROM d GROUP BY 1) SELECT k.dimension, coalesce(n, 0) AS n, coalesce(must, 0) AS must, worst, coalesce(first_ids, '') AS first_ids FROM k LEFT JOIN g USING (dimension)""",
 )
 def heatmap(spark, d):
     dims = spark.range(10).select(F.col("id").cast("int").alias("dimension"))
-    return registers.heatmap(deviations(spark, d).filter("country % 50 = 0"), dims, "dimension", "materiality", F.col("state"), "gap")
+    return registers.heatmap(deviations(spark, d), dims, "dimension", "materiality", F.col("state"), "gap")
 
 
 @BOOK.add(
@@ -181,14 +181,13 @@ def role_load(spark, d):
 
 @BOOK.add(
     "area_impact",
-    f"""WITH {_D}, x AS (SELECT unnest(['area' || (gap % 3), 'area' || (3 + gap % 4)]) AS area, materiality, gap FROM d WHERE country % 20 = 0)
+    f"""WITH {_D}, x AS (SELECT unnest(['area' || (gap % 3), 'area' || (3 + gap % 4)]) AS area, materiality, gap FROM d)
     SELECT area, count(*) AS n, max(materiality) AS peak, array_to_string((list(gap ORDER BY materiality DESC, gap))[1:10], ',') AS ranked FROM x GROUP BY 1""",
 )
 def area_impact(spark, d):
-    x = deviations(spark, d).filter("country % 20 = 0").withColumn("area", F.explode(F.array(F.concat(F.lit("area"), (F.col("gap") % 3).cast("string")), F.concat(F.lit("area"), (3 + F.col("gap") % 4).cast("string")))))
-    w = Window.partitionBy("area").orderBy(F.desc("materiality"), "gap")
-    top = x.withColumn("k", F.row_number().over(w)).groupBy("area").agg(F.count("*").alias("n"), F.max("materiality").alias("peak"), F.array_sort(F.collect_list(F.when(F.col("k") <= 10, F.struct("k", "gap")))).alias("t"))
-    return top.select("area", "n", "peak", F.array_join(F.transform("t", lambda s: s["gap"].cast("string")), ",").alias("ranked"))
+    x = deviations(spark, d).withColumn("area", F.explode(F.array(F.concat(F.lit("area"), (F.col("gap") % 3).cast("string")), F.concat(F.lit("area"), (3 + F.col("gap") % 4).cast("string")))))
+    g = x.groupBy("area").agg(F.count("*").alias("n"), F.max("materiality").alias("peak"))
+    return g.join(registers.leading(x, "area", [F.desc("materiality"), F.col("gap")], "gap", 10, "ranked"), "area")
 
 
 @BOOK.add("outlook_levels", f"WITH {_D}, {_H} SELECT CASE WHEN state IN ('CONFIRMED_STATUTORY') THEN 'law' WHEN state = 'SAP_DELIVERED' THEN 'local' WHEN harmonization >= 80 THEN 'will' WHEN harmonization >= 60 THEN 'can' ELSE 'decide' END AS outlook, count(*) AS n FROM h GROUP BY 1")

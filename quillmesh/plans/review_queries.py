@@ -147,9 +147,13 @@ def session_compare(spark, d):
 
 @BOOK.add("cluster_sizes", "WITH c AS (SELECT label, count(*) AS size, min(vec_id) AS first FROM embeddings GROUP BY 1) SELECT label, size, row_number() OVER (ORDER BY size DESC, first)::INTEGER AS cluster FROM c")
 def cluster_sizes(spark, d):
-    """Clusters numbered by size, equal ones by their first member (one row a cluster)."""
+    """Clusters numbered by size, equal ones by their first member: a cluster's number
+    is that of the sizes above its own, and its place among clusters of its size."""
     c = load(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("size"), F.min("vec_id").alias("first"))
-    return c.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("size"), "first"))).drop("first")
+    sizes = c.groupBy("size").agg(F.count("*").alias("m"))  # one row a size: at most the root of twice the items
+    above = sizes.select("size", (F.sum("m").over(Window.orderBy(F.desc("size"))) - F.col("m")).alias("above"))
+    place = F.row_number().over(Window.partitionBy("size").orderBy("first"))
+    return c.withColumn("place", place).join(above, "size").select("label", "size", (F.col("above") + F.col("place")).cast("int").alias("cluster"))
 
 
 @BOOK.add("register_markdown", "SELECT s_nationkey AS nation, '# Suppliers of ' || s_nationkey || chr(10) || chr(10) || '| s_suppkey | s_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || s_suppkey || ' | ' || s_name || ' |', chr(10) ORDER BY s_suppkey) AS document FROM supplier GROUP BY 1")

@@ -29,9 +29,9 @@ def md_chunks(spark, d):
     return chunking.chunks(_docs(spark, d)).select("doc_id", "index", "heading_path", "content", "tokens")
 
 
-@BOOK.add("contextual_text", "SELECT doc_id, lang || chr(10) || source || chr(10) || left(text, 200) AS text FROM documents")
+@BOOK.add("contextual_text", "SELECT doc_id, 'Document: ' || coalesce(source, '') || CASE WHEN coalesce(lang, '') <> '' THEN chr(10) || 'Section: ' || lang ELSE '' END || chr(10) || chr(10) || text AS text FROM documents")
 def contextual_text(spark, d):
-    return _docs(spark, d).select("doc_id", chunking.contextual(F.col("lang"), F.col("source"), F.left("text", F.lit(200))).alias("text"))
+    return _docs(spark, d).select("doc_id", chunking.contextual(F.col("source"), F.col("lang"), F.col("text")).alias("text"))
 
 
 @BOOK.add(
@@ -138,31 +138,56 @@ def redundant_calls(spark, d):
     SELECT item_id, count(*) AS documents, min(doc_id) AS first_document FROM n WHERE contains(t, q) GROUP BY 1""",
 )
 def quote_verbatim(spark, d):
-    """Which documents hold a benchmark passage word for word.
+    """Which documents hold a benchmark passage word for word."""
+    found = passages_in(load(spark, d, "benchmark"), _docs(spark, d))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_document"))
 
-    Candidates meet by a rare shingle of the passage, so passages and documents
-    are not paired all with all; then the whole passage is looked for."""
+
+def passages_in(items, docs):
+    """(item_id, doc_id) where a document holds the passage, blanks and case aside.
+
+    Passages and documents meet by a key and are not paired all with all; then
+    the whole passage is looked for. Its first and last word may be parts of a
+    document's words, so the key is the four words after the first; passages of
+    fewer than six words meet by their first three characters, or their first."""
     squeeze = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    words = lambda c: F.split(c, " ")
-    b = load(spark, d, "benchmark").select("item_id", squeeze(F.col("text")).alias("q")).withColumn("w", words(F.col("q")))
-    # a full word inside the passage cannot be cut by its ends: shingles from the second word on
-    key = b.select("item_id", "q", F.array_join(F.slice("w", 2, 4), " ").alias("k"))
-    t = _docs(spark, d).select("doc_id", squeeze(F.col("text")).alias("t")).withColumn("w", words(F.col("t")))
-    shingles = t.filter("size(w) >= 4").select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, F.lit(4)), " ")))).alias("k"))
-    near = shingles.join(F.broadcast(key.select("item_id", "k")), "k").select("item_id", "doc_id")  # benchmark: a fixed set of passages
-    both = near.join(t.select("doc_id", "t"), "doc_id").join(F.broadcast(key.select("item_id", "q")), "item_id")
-    return both.filter(F.col("t").contains(F.col("q"))).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_document"))
+    b = items.select("item_id", squeeze(F.col("text")).alias("q")).filter("q <> ''").withColumn("w", F.split("q", " "))
+    t = docs.filter("text is not null").select("doc_id", squeeze(F.col("text")).alias("t"))
+    long_, short = b.filter("size(w) > 5"), b.filter("size(w) < 6")
+    pairs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.concat(F.get(c, i), F.lit(" "), F.get(c, i + 1)))
+    shingled = t.withColumn("w", F.split("t", " ")).filter("size(w) > 3").withColumn("w", pairs(F.col("w")))
+    fours = F.zip_with("w", F.slice("w", 3, F.size("w")), lambda x, y: F.concat(x, F.lit(" "), y))
+    by_words = shingled.select("doc_id", F.explode(fours).alias("k")).join(long_.select("item_id", F.array_join(F.slice("w", 2, 4), " ").alias("k")), "k")
+    grams = lambda n: F.when(F.length("t") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - (n - 1)), lambda i: F.substr(F.col("t"), i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    first = F.substr(F.col("q"), F.lit(1), F.when(F.length("q") < 3, 1).otherwise(3))
+    by_letters = t.select("doc_id", F.explode(F.concat(grams(3), grams(1))).alias("k")).join(short.select("item_id", first.alias("k")), "k")
+    met = by_words.select("item_id", "doc_id")
+    if not short.isEmpty():
+        met = met.union(by_letters.select("item_id", "doc_id"))
+    return met.distinct().join(t, "doc_id").join(b.select("item_id", "q"), "item_id").filter(F.col("t").contains(F.col("q"))).select("item_id", "doc_id")
+
+
+_PLAIN = r"""lower(trim(regexp_replace(regexp_replace(translate({}, '‘’“”–—' || chr(160), '''''""-- '), '[*_`|#>]+', ' ', 'g'), '\s+', ' ', 'g')))"""
 
 
 @BOOK.add(
     "quote_status",
-    r"""WITH n AS (SELECT doc_id, lower(trim(regexp_replace(left(text, 60), '\s+', ' ', 'g'))) AS q, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN lower(trim(regexp_replace(right(text, 20), '\s+', ' ', 'g'))) ELSE lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) END AS t FROM documents WHERE NOT regexp_matches(text, '[*_`|#>‘’“”–—…]') AND NOT contains(text, '...') AND NOT contains(text, chr(160)))
-    SELECT doc_id, CASE WHEN t IS NULL THEN 'never retrieved' WHEN q <> '' AND contains(t, q) THEN 'verbatim' ELSE 'not found' END AS status FROM n""",
+    rf"""WITH w AS (SELECT doc_id, text, string_split(text, ' ') AS w FROM documents),
+    r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 2 THEN array_to_string(w[1:4], ' ') || ' ... ' || array_to_string(w[-4:], ' ') ELSE string_split(text, chr(10))[1] END AS q,
+          CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN right(text, 20) ELSE text END AS t FROM w),
+    n AS (SELECT doc_id, {_PLAIN.format("q")} AS q, {_PLAIN.format("t")} AS t FROM r),
+    p AS (SELECT *, list_filter(list_transform(regexp_split_to_array(q, '\s*(?:\.\.\.|…)\s*'), lambda x: trim(x)), lambda x: length(x) > 0) AS p FROM n)
+    SELECT doc_id, CASE WHEN t IS NULL THEN 'never retrieved' WHEN q <> '' AND contains(t, q) THEN 'verbatim'
+      WHEN len(p) > 1 AND regexp_matches(t, array_to_string(list_transform(p, lambda x: regexp_escape(x)), '.*')) THEN 'elided' ELSE 'not found' END AS status FROM p""",
 )
 def quote_status(spark, d):
-    docs = _docs(spark, d).filter(~F.col("text").rlike("[*_`|#>‘’“”–—…]") & ~F.col("text").contains("...") & ~F.col("text").contains(" "))
+    """A quote from each document (its first line, or its first and last words with an
+    ellipsis between) held against the whole text, its end, or nothing."""
+    docs = load(spark, d, "documents").withColumn("w", F.split("text", " "))
+    ends = F.concat(F.array_join(F.slice("w", 1, 4), " "), F.lit(" ... "), F.array_join(F.slice("w", F.greatest(F.size("w") - 3, F.lit(1)), F.lit(4)), " "))
+    quote = F.when(F.col("doc_id") % 7 == 2, ends).otherwise(F.split("text", "\n")[0])
     held = F.when(F.col("doc_id") % 7 == 0, F.lit(None).cast("string")).when(F.col("doc_id") % 7 == 1, F.right("text", F.lit(20))).otherwise(F.col("text"))
-    return docs.select("doc_id", evidence.quote_status(F.left("text", F.lit(60)), held).alias("status"))
+    return docs.select("doc_id", evidence.quote_status(quote, held).alias("status"))
 
 
 @BOOK.add(

@@ -1,14 +1,14 @@
 """Redaction of token streams, whatever the split.
 
-Text arrives in pieces; a piece is released only up to the last line or sentence
-end, so that a number cut in two is still seen whole. What is held back never
-grows beyond ``HOLD`` characters.
+Text arrives in pieces, and only what no later piece can change goes out: up to
+the last line or sentence end, or, once ``HOLD`` characters wait without one, up
+to the last blank that does not part figures. A run without any such place is
+held until one comes, so that a contact is never cut in two.
 """
 
 from __future__ import annotations
 
 import contextlib
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,18 +18,34 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from quillmesh.operators.guardrails import redact_text
 
 HOLD = 600
-_END = re.compile(r"\n|[.!?](?=\s+\S)")
+_FIGURE_SIGNS = frozenset("0123456789+().-")
+
+
+def _settled(text: str) -> int:
+    """How many characters end with a line, or with a sentence whose next one has begun."""
+    line = text.rfind("\n") + 1
+    body = text.rstrip()
+    for at in range(len(body) - 2, line - 1, -1):
+        if body[at] in ".!?" and body[at + 1].isspace():
+            return at + 1
+    return line
+
+
+def _between_words(text: str) -> int:
+    """The last blank with no figures on both sides, in front of which text may go out."""
+    for at in range(len(text) - 2, 0, -1):
+        if text[at].isspace() and not (text[at - 1] in _FIGURE_SIGNS and text[at + 1] in _FIGURE_SIGNS) and text[at + 1] not in _FIGURE_SIGNS:
+            return at + 1
+    return 0
 
 
 def release(held: str, piece: str) -> tuple[str, str]:
     """(what may go out, what stays)."""
     text = held + piece
-    cut = 0
-    for m in _END.finditer(text):
-        cut = m.end()
-    if not cut and len(text) > HOLD:
-        cut = text.rfind(" ", 0, HOLD) + 1 or HOLD
-    return redact_text(text[:cut]) or "", text[cut:]
+    upto = _settled(text)
+    if not upto and len(text) > HOLD:
+        upto = _between_words(text)
+    return redact_text(text[:upto]) or "", text[upto:]
 
 
 class Redactor(StatefulProcessor):
@@ -42,10 +58,11 @@ class Redactor(StatefulProcessor):
         got = self.held.get() if self.held.exists() else None
         held, out, ended = (got[0] if got else ""), [], False
         for pdf in rows:
-            for _, row in pdf.sort_values("seq").iterrows():
-                ready, held = release(held, row["piece"] or "")
+            pdf = pdf.sort_values("seq")
+            for piece, last in zip(pdf["piece"], pdf["last"], strict=True):
+                ready, held = release(held, piece if isinstance(piece, str) else "")
                 out.append(ready)
-                ended = ended or bool(row["last"])
+                ended = ended or bool(last)
         if ended:
             out.append(redact_text(held) or "")
             held = ""

@@ -79,17 +79,19 @@ def test_bm25_statistics_add_up_over_scopes(spark, data):
 
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(1, "red red fox"), (2, "red dog"), (3, "cat"), (4, None)], "doc_id long, text string")
-    q = spark.createDataFrame([("red",), ("unseen",)], "term string")
-    got = {r.doc_id: r.score for r in retrieval.bm25(retrieval.postings(docs), q, retrieval.corpus_stats(docs)).collect()}
+    q = spark.createDataFrame([(0, "red"), (0, "unseen"), (1, "cat")], "query_id long, term string")
+    found = retrieval.bm25(retrieval.postings(docs, only=q), q, retrieval.corpus_stats(docs)).collect()
+    got = {r.doc_id: r.score for r in found if r.query_id == 0}
+    assert [r.doc_id for r in found if r.query_id == 1] == [3]
     n, df, avg = 3, 2, (2 + 2 + 1) / 3
     want = lambda tf, dl: math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))
     assert got == {1: round(want(2, 2), 6), 2: round(want(1, 2), 6)}
 
 
 def test_fusion_keeps_documents_of_one_list_and_breaks_ties(spark):
-    v = spark.createDataFrame([(1, 0.9), (2, 0.8)], "doc_id long, score double")
-    k = spark.createDataFrame([(2, 5.0), (3, 4.0)], "doc_id long, score double")
-    got = [(r.doc_id, r.vector_rank, r.keyword_rank) for r in retrieval.fuse(v, k).collect()]
+    v = spark.createDataFrame([(7, 1, 0.9), (7, 2, 0.8), (8, 9, 0.1)], "query_id long, doc_id long, score double")
+    k = spark.createDataFrame([(7, 2, 5.0), (7, 3, 4.0)], "query_id long, doc_id long, score double")
+    got = [(r.doc_id, r.vector_rank, r.keyword_rank) for r in retrieval.fuse(v, k).orderBy("query_id", "rank").collect() if r.query_id == 7]
     assert got == [(2, 2, 1), (1, 1, None), (3, None, 2)]
 
 
@@ -156,9 +158,9 @@ def test_support_score(spark, args, want):
 
 
 def test_quotes(spark):
-    rows = [("The “Big” dog", 'the "big" dog ran'), ("the dog ... ran off", "the dog sat and ran off"), ("cat", "dog"), ("cat", None)]
+    rows = [("The “Big” dog", 'the "big" dog ran'), ("the dog ... ran off", "the dog sat and ran off"), ("cat", "dog"), ("cat", None), ("ran off ... the dog", "the dog ran off"), ("a 50% … end", "a 50% of it\n*end*"), ("", "x")]
     df = spark.createDataFrame(rows, "q string, t string")
-    assert [r[0] for r in df.select(evidence.quote_status(F.col("q"), F.col("t"))).collect()] == ["verbatim", "elided", "not found", "never retrieved"]
+    assert [r[0] for r in df.select(evidence.quote_status(F.col("q"), F.col("t"))).collect()] == ["verbatim", "elided", "not found", "never retrieved", "not found", "elided", "not found"]
 
 
 def test_intents_reset(spark):
@@ -206,11 +208,57 @@ def test_chunks():
     assert not any("hidden" in c["content"] or "category" in c["content"] or "col2" in c["content"] for c in got)
     assert sum("| a | b |" in c["content"] for c in got) > 1  # the header is repeated
     assert not any(c["content"].rstrip().split("\n")[-1].startswith("#") for c in got)
-    assert any(c["heading_path"] == "One > Two" or c["headings"][:1] == ["One"] for c in got)
+    assert any(c["heading_path"] == "One / Two" or c["headings"][:1] == ["One"] for c in got)
     assert chunking.chunk("") == [] and chunking.chunk(None) == []
     assert "".join(chunking.chunk("word " * 9000)[0]["content"].split())[:8] == "wordword"
 
 
+def test_chunks_by_hand():
+    """Small runs are filled before they are closed, sections never end on a
+    heading, and a chunk names its own headings after those above it."""
+    prose = lambda n: "abcd " * (4 * n // 5)  # noqa: E731  about n tokens
+    text = f"# Top\n{prose(200)}\n## Empty\n## Left\n{prose(100)}\n\n{prose(450)}\n\n{prose(60)}\n# Next\nend; of it"
+    got = [(c["headings"], c["content"][:7], c["tokens"] // 10) for c in chunking.chunk(text)]
+    assert got == [(["Top"], "# Top\n\n", 20), (["Top", "Empty", "Left"], "## Empt", 55), (["Next"], "abcd ab", 6)]
+    pieces = chunking.chunk("; ".join(["x" * 600] * 8))
+    assert [len(c["content"]) for c in pieces] == [1805, 1805, 1202] and all(c["content"].endswith(("x", ";")) for c in pieces)
+    rows = "\n".join(f"| {i} | {'v' * 90} |" for i in range(60))
+    parts = chunking.chunk(f"| a | b |\n| --- | --- |\n{rows}")
+    assert len(parts) == 4 and all(c["content"].startswith("| a | b |\n| --- | --- |\n| ") and c["tokens"] <= 560 for c in parts)
+
+
+def test_titles_of_converted_documents(spark):
+    paths = ["in/Energy cycle_pptx.md", "notes.md", "a/b_JPG.md", "plain"]
+    assert [r[0] for r in spark.createDataFrame([(p,) for p in paths], "p string").select(chunking.document_title(F.col("p"))).collect()] == ["Energy cycle (pptx)", "notes", "b (jpg)", "plain"]
+
+
+def test_contacts_are_held_however_long_the_run():
+    """A run without blanks is held, so no cut falls into a contact."""
+    text = "x" * 590 + "someone@example.org" + "y" * 40 + "\nend"
+    held, out = "", ""
+    for i in range(0, len(text), 7):
+        ready, held = release(held, text[i : i + 7])
+        out += ready
+    assert out + guardrails.redact_text(held) == guardrails.redact_text(text) and "@" not in out
+
+
+def test_similar_sets_meet_by_rare_tokens(spark):
+    words = {1: "a b c d", 2: "a b c e", 3: "a b c d", 4: "x y", 5: "x z w", 6: ""}
+    df = spark.createDataFrame(list(words.items()), "id long, t string")
+    got = {(r.a, r.b): r.jaccard for r in evidence.similar_sets(df, "id", F.filter(F.split("t", " "), lambda x: x != "")).collect()}
+    assert got == {(1, 2): 0.6, (1, 3): 1.0}
+
+
+def test_short_passages_are_found(spark, tmp_path):
+    from quillmesh.plans.text_queries import passages_in
+
+    docs = spark.createDataFrame([(1, "The quick  brown fox jumps over the lazy dog"), (2, "quickest brown foxes"), (3, None)], "doc_id long, text string")
+    asked = {1: "quick brown fox", 2: "the quick brown fox jumps", 3: "brown fox jumps over the la", 4: "k b", 5: "zz", 6: "fox", 7: "x", 8: ""}
+    items = spark.createDataFrame(list(asked.items()), "item_id long, text string")
+    got = sorted((r.item_id, r.doc_id) for r in passages_in(items, docs).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 1), (6, 1), (6, 2), (7, 1), (7, 2)]
+
+
 def test_average_linkage():
     x = np.array([[1, 0], [0.99, 0.05], [0, 1], [0.02, 1], [0.01, 0.98]])
     assert clustering.average_linkage(x, 0.42).tolist() == [1, 1, 0, 0, 0]

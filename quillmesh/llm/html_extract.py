@@ -8,14 +8,20 @@ link density, and names that announce content or furniture shift them. The best
 container is kept with those siblings that score near it or read like prose;
 inside, whatever is navigation, notice, advert, form or comment goes.
 
-Each page is handled on its own, so nothing is shuffled. A null or empty page
-gives the empty text. Nesting of any depth is walked without recursion.
+A declared <article> weighs more than another container, but is not taken
+whatever its score. Lists of links go if they read like menus; references stay.
+
+Each page is handled on its own, so nothing is shuffled, in time and memory that
+grow with the page alone. A null or empty page gives the empty text. Repeated
+rows each give their own, an empty table none; null ids and addresses are passed
+on. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,10 +30,9 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm._shared import arrow_schema
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag. Possessive, so that it is read once whether it ends or not.
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTR = re.compile(r"\b(id|class|role|itemprop|hidden|aria-hidden|style|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"[\s​﻿]+")
 
@@ -49,23 +54,70 @@ _ROLES = frozenset("navigation banner contentinfo complementary search dialog al
 
 _BAD = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|newsletter|subscri\w*|signup|sign-up|login|modal|popup|overlay|paywall"
-    r"|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side-bar|aside|widget\w*|footer\w*|foot|header|masthead|topbar|toolbar|skip\w*|pager|pagination|tags?|tagcloud"
-    r"|social\w*|shar(?:e|ing)\w*|follow|related\w*|recommend\w*|more-stories|trending|popular|comment\w*|replies|respond|disqus\w*|discussion|form|search\w*|copyright|legal|disclaimer|alert|toast)(?=$|[\s_-])",
+    r"|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side-bar|aside|widget\w*|footer\w*|foot|header|masthead|topbar|toolbar|skip\w*|pager|pagination|tagcloud"
+    r"|social\w*|shar(?:e|ing)\w*|follow|related\w*|recommend\w*|more-stories|comment\w*|replies|respond|disqus\w*|search\w*|copyright|disclaimer|alert|toast)(?=$|[\s_-])",
     re.I,
 )
+#: Names that articles carry as well: such a block goes only if it is mostly links.
+_DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:tags?|trending|popular|discussion|form|legal)(?=$|[\s_-])", re.I)
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment\w*|reply|replies|respond)(?=$|[\s_-])", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content\w*|entry\w*|main\w*|post\w*|text|story\w*|prose|page)(?=$|[\s_-])", re.I)
+WHOLE = 0.3  #: share of the best score that an <article> or <main> around it must reach to take its place
+DEPTH = 512  #: open elements at most, as in browsers; what is nested deeper stands beside each other there
+MENU_LINK = 40  #: mean characters of a link's text from which a list of links reads like references, not like a menu
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "good", "bad", "score", "chars", "links", "own")
+    __slots__ = ("tag", "parent", "children", "depth", "good", "bad", "doubtful", "score", "chars", "links", "anchors")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []  # children: nodes and strings, in page order
-        self.good = self.bad = False
+        self.depth = parent.depth + 1 if parent else 0
+        self.good = self.bad = self.doubtful = False
         self.score = 0.0
-        self.chars = self.links = 0
-        self.own = False
+        self.chars = self.links = self.anchors = 0
+
+    def is_menu(self) -> bool:
+        """Mostly links, and short ones."""
+        return self.links > 0.6 * self.chars > 0 and self.links < MENU_LINK * max(self.anchors, 1)
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str | None, str, str]]:
+    """(start, end, kind, name, rest) of each mark-up token in page order, in time
+    that grows with the page whatever it holds. ``kind`` is "/" for an end tag, ""
+    for a start tag, "t" for literal text (``rest``), and None for what is skipped.
+    A reader that sends a place goes on from there.
+
+    Quotes hide a tag's end, as in browsers. Once they are out of step to the end
+    of the page, tags end at the next ">".
+    """
+    at, quoted, n = 0, True, len(page)
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+            mark, skip = ("-->", 4) if page[at + 2] == "-" else ("]]>", 9)
+            close = page.find(mark, at + skip)
+            end = n if close < 0 else close + 3
+            on = yield at, end, "t" if skip == 9 else None, "", page[at + skip : n if close < 0 else close]
+        elif page.startswith(("<!", "<?"), at):
+            close = page.find(">", at)
+            end = n if close < 0 else close + 1
+            on = yield at, end, None, "", ""
+        elif m := _NAME.match(page, at):
+            rest = _REST.match(page, m.end()) if quoted else None
+            if rest is not None:
+                end, attributes = rest.end(), rest[1]
+            else:
+                quoted = False
+                close = page.find(">", m.end())
+                if close < 0:
+                    return  # no tag ends any more: the rest is text
+                end, attributes = close + 1, page[m.end() : close]
+            on = yield at, end, m[1], m[2].lower(), attributes
+        else:
+            at += 1
+            continue
+        at = end if on is None else on
 
 
 def parse(page: str) -> Node:
@@ -74,20 +126,33 @@ def parse(page: str) -> Node:
     root = here = Node("#root", None)
     at, n = 0, len(page)
     lower = None
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            here.children.append(_html.unescape(page[at:]))
+    unclosed: set[str] = set()  # raw elements without an end in the rest of the page
+    opened: Counter[str] = Counter()  # open elements by name
+
+    def up_to(node: Node) -> Node:
+        x = here
+        while x is not node:
+            opened[x.tag] -= 1
+            x = x.parent
+        return node
+
+    reader, go_on = tokens(page), None
+    while True:
+        try:
+            start, end, kind, tag, attributes = reader.send(go_on)
+        except StopIteration:
             break
-        if m.start() > at:
-            here.children.append(_html.unescape(page[at : m.start()]))
-        at = m.end()
-        if m[1] is not None:
-            here.children.append(m[1])
-        if m[3] is None:
+        go_on = None
+        if start > at:
+            here.children.append(_html.unescape(page[at:start]))
+        at = end
+        if kind == "t":
+            here.children.append(attributes)
+        if kind is None or kind == "t":
             continue
-        tag = m[3].lower()
-        if m[2]:
+        if kind:
+            if not opened[tag]:
+                continue
             node = here
             while node is not root and node.tag != tag:
                 if tag in _INLINE and node.tag in _BLOCK:
@@ -96,36 +161,41 @@ def parse(page: str) -> Node:
                     break
                 node = node.parent
             if node is not root and node.tag == tag:
-                here = node.parent
+                here = up_to(node.parent)
             continue
         if tag in _RAW:
-            if not m[4].endswith("/"):
+            if not attributes.endswith("/"):
                 lower = lower or page.lower()
-                end = lower.find(f"</{tag}", at)
-                if end < 0:
+                found = -1 if tag in unclosed else lower.find(f"</{tag}", at)
+                if found < 0:
+                    unclosed.add(tag)
                     at = n if tag in ("script", "style", "textarea", "title") else at
                 else:
-                    close = page.find(">", end)
+                    close = page.find(">", found)
                     at = n if close < 0 else close + 1
+                go_on = at
             continue
         if (closes := _CLOSES.get(tag)) is not None:
             scope, node = _SCOPE.get(tag, ()), here
             while node is not root and node.tag not in scope:
                 if node.tag in closes:
-                    here = node.parent
+                    here = up_to(node.parent)
                 elif node.tag not in _INLINE and node.tag not in closes:
                     break
                 node = node.parent
         if tag == "body" or tag == "html":
             continue
         node = Node(tag, here)
-        if m[4]:
-            _judge(node, m[4])
+        if attributes:
+            _judge(node, attributes)
         if tag in _FURNITURE or (tag == "header" and not _inside(here, "article", "main")):
             node.bad = True
         here.children.append(node)
-        if tag not in _VOID and not (m[4].endswith("/") and tag not in _BLOCK):
+        if tag not in _VOID and not (attributes.endswith("/") and tag not in _BLOCK) and node.depth < DEPTH:
             here = node
+            opened[tag] += 1
+    if at < n:
+        here.children.append(_html.unescape(page[at:]))
     return root
 
 
@@ -153,8 +223,9 @@ def _judge(node: Node, attributes: str) -> None:
     name = " ".join(names)
     if name and node.tag not in _INLINE:
         node.good |= bool(_GOOD.search(name))
-        if node.tag not in ("article", "main", "p") and _BAD.search(name):
+        if node.tag not in ("article", "main", "p") and _BAD.search(name) or node.tag == "article" and _COMMENTS.search(name):
             node.bad = True
+        node.doubtful = bool(_DOUBTFUL.search(name))
     elif name and _BAD.search(name) and node.tag in ("span", "a", "small"):
         node.bad |= bool(re.search(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|share\w*|social\w*|skip\w*)(?=$|[\s_-])", name, re.I))
 
@@ -186,12 +257,15 @@ def score(root: Node) -> list[Node]:
             elif not c.bad:
                 chars += c.chars
                 links += c.links
+                node.anchors += c.anchors
                 if c.tag in _INLINE:
                     more = direct.get(id(c), (0, 0))
                     own += more[0]
                     commas += more[1]
         node.chars = chars
         node.links = chars if node.tag == "a" else links
+        node.anchors += node.tag == "a"
+        node.bad = node.doubtful and links > 0.4 * chars
         direct[id(node)] = (own, commas)
     for node in nodes:
         if node.bad or node.tag not in _SCORED:
@@ -218,8 +292,8 @@ def _containers(root: Node) -> list[Node]:
         declared = [n for n in nodes if n.tag in ("article", "main") and not n.bad]
         best = max(declared, key=lambda n: n.chars, default=root)
     node = best
-    while node is not None:  # a part of a declared article stands for the whole
-        if node.tag == "article" or (node.tag == "main" and node.chars <= 2 * best.chars + 200):
+    while node is not None:  # a declared article counts as a whole where its own score comes near
+        if node.tag in ("article", "main") and node.score >= WHOLE * best.score and (node.tag == "article" or node.chars <= 2 * best.chars + 200):
             best = node
         node = node.parent
     if best is root or best.parent is None:
@@ -262,8 +336,8 @@ def text_of(containers: list[Node]) -> str:
             line.append(" ")
         else:
             block = item.tag in _BLOCK
-            if item.tag in ("ul", "ol", "div", "section", "table") and item.chars and item.links > 0.6 * item.chars:
-                continue  # lists of links: menus and related pages without a telling name
+            if item.tag in ("ul", "div", "section") and item.is_menu():
+                continue  # menus and related pages without a telling name
             if block:
                 close()
                 todo.append(None)

@@ -6,9 +6,10 @@ first, each into the tightest window that still holds it, which a segment tree
 over remaining capacities finds in as many steps as the window has bits.
 
 Tokenizing is a map over documents; its small result (places, lengths and
-checksums) is written to the shared folder. Pieces are then dealt by hash into
-shards of about ``SHARD`` pieces whose number follows the input, and each shard
-is packed on its own. A shard leaves few windows unfilled, so padding keeps its
+checksums) is written to the shared folder. Pieces are then dealt by hash of
+their document and their place in the task that cut them (so that a row repeated
+ever so often is spread as well) into shards of about ``SHARD`` pieces whose
+number follows the input, and each shard is packed on its own. A shard leaves few windows unfilled, so padding keeps its
 share at every size, and no task holds more than its shard.
 
 Null texts are empty: one piece with the end id alone. Rows that repeat, and
@@ -29,7 +30,7 @@ from quillmesh.llm._shared import arrow_schema, emit, stage, whole_groups
 from quillmesh.llm._tokens import BytePairEncoder
 
 SHARD = 16_384
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ENCODERS: dict[str, BytePairEncoder] = {}
 
@@ -40,6 +41,7 @@ def _pieces(path: str, window: int, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, BytePairEncoder(path))
+        deal = 0
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
@@ -50,7 +52,8 @@ def _pieces(path: str, window: int, end_id: int):
                     n = len(raw) // 4
                     for s in range(0, n, window):
                         piece = raw[4 * s : 4 * (s + window)]
-                        rows.append((doc, s, len(piece) // 4, zlib.crc32(piece), n))
+                        rows.append((doc, s, len(piece) // 4, zlib.crc32(piece), n, deal))
+                        deal += 1
                 yield emit(out, {f.name: pa.array(c, pa.int64()) for f, c in zip(out, zip(*rows, strict=True), strict=True)})
 
     return run
@@ -134,6 +137,6 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = stage(texts.mapInArrow(_pieces(vocabulary, window, end_id), PIECES), "pieces")
     shards = max(1, -(-pieces.count() // shard))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
-    out = dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_pack(window), PACKED)
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "deal"), F.lit(shards)))
+    out = dealt.drop("deal").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_pack(window), PACKED)
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out

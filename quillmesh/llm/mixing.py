@@ -8,14 +8,18 @@ no document before the unused ones are taken. Within a pattern the flow is
 met by whole copies of every document and, for the remainder, by documents in
 the order of a seeded hash.
 
-Only the patterns' sums reach the driver, where the flow is solved: there are
-as many as distinct source sets, however large the corpus. Documents are chosen
-where they are: a histogram of 4,096 hash buckets per pattern finds the bucket
-in which the remainder ends, and only that bucket's documents are put in order.
+Patterns whose one source occurs in no other pattern need no flow: they take
+their quota, or all their copies, in a plain expression, however many there are.
+Only patterns of sources that overlap come to the driver, where their flow is
+solved; more than ``PATTERNS`` of them are refused. Documents are chosen where
+they are: a histogram of hash buckets per pattern, whose number follows the
+table, finds the bucket in which the remainder ends, and only that bucket's
+documents are put in order.
 
 A null source is a source of its own, last in order. Null texts have size 0 and
 are never taken. Rows that repeat are chosen one by one; nothing else depends on
-ids being unique. Extra columns are kept.
+ids being unique. An empty table gives none. Extra columns are kept, whatever
+their names; only those named like a column of the result give way to it.
 """
 
 from __future__ import annotations
@@ -27,7 +31,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+from quillmesh.llm._shared import stage
+
+BUCKETS = 4096  #: hash buckets of a pattern at least
+IN_BUCKET = 4096  #: documents of a bucket, about
+PATTERNS = 20_000  #: patterns of overlapping sources that one flow may have
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -124,56 +132,123 @@ def route(patterns: Sequence[tuple[tuple, int]], quotas: dict, max_copies: int =
     return [sum(flow.room[e ^ 1] for e in t) for t in tiers]
 
 
-def mix(docs: DataFrame, members: Column, size: Column, quotas, max_copies: int = 3, seed: str = "mix", id_col: str = "doc_id") -> DataFrame:
+def _positions(sources: DataFrame) -> DataFrame:
+    """(name, size, place): places from 0 in code-point order, null last. Ranges of
+    names are counted first, so that no task sees them all."""
+    order = [F.col("name").isNull(), F.col("name")]
+    ranged = sources.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    ranged = stage(ranged.withColumns({"part": F.shiftright("at", 33), "nth": F.col("at").bitwiseAND((1 << 33) - 1)}), "sources")
+    parts = ranged.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return ranged.join(before, "part").select("name", "size", (F.col("before") + F.col("nth")).alias("place"))
+
+
+def targets_of(sources: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3) -> DataFrame:
+    """:func:`capped_targets` of any number of sources: (name, size, target).
+
+    Each round gives those that cannot take their share their cap, and shares the
+    rest anew; the share per weight only grows, so a capped source stays capped.
+    """
+    whole = "decimal(38,0)"
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    held = _positions(sources).select("name", "size", weight.cast(whole).alias("w"), (F.col("size") * cap).cast(whole).alias("most"))
+    left, share, capped = None, None, F.lit(False)
+    while True:
+        r = held.agg(F.sum(F.when(~capped, F.col("w"))).alias("w"), F.sum(F.when(capped, F.col("most"))).alias("m"), F.sum(F.col("size").cast(whole)).alias("t")).first()
+        now = (r["t"] or 0) - (r["m"] or 0), r["w"] or 0
+        if now == (left, share):
+            break
+        left, share = now
+        capped = F.lit(left).cast(whole) * F.col("w") > F.col("most") * F.lit(share).cast(whole)
+    even = (F.lit(left).cast(whole) * F.col("w")).cast("double") / F.lit(max(int(share), 1)).cast("double")
+    return held.select("name", "size", F.when(capped, F.col("most").cast("double")).otherwise(even).alias("target"))
+
+
+def _unused(names: Sequence[str]) -> str:
+    tag = "_mix_"
+    while any(n.lower().startswith(tag) for n in names):
+        tag += "_"
+    return tag
+
+
+def _take(patterns: DataFrame, quotas: DataFrame, max_copies: int) -> DataFrame:
+    """(members, sum, taken): tokens that each pattern gives."""
+    each = patterns.select("members", "sum", F.explode("members").alias("name"))
+    alone = each.groupBy(F.col("name").alias("n")).agg(F.count("*").alias("patterns"))
+    quota = each.join(alone, F.col("name").eqNullSafe(F.col("n"))).drop("n").join(quotas.withColumnRenamed("name", "q"), F.col("name").eqNullSafe(F.col("q")), "left").drop("q")
+    told = stage(quota.withColumn("simple", (F.col("patterns") == 1) & (F.size("members") == 1)), "patterns")
+    plain = told.filter("simple").select("members", "sum", F.least(F.coalesce("quota", F.lit(0)), F.col("sum") * max_copies).cast("long").alias("taken"))
+    # a pattern whose sources are shared is routed; each of its sources is a row here
+    rows = told.filter("not simple").limit(PATTERNS + 1).collect()
+    if len(rows) > PATTERNS:
+        raise ValueError(f"sources overlap in more than {PATTERNS} ways")
+    if not rows:
+        return plain
+    sums = {tuple(r["members"]): int(r["sum"] or 0) for r in rows}
+    shared = sorted(sums, key=lambda p: [(m is None, m or "") for m in p])
+    wanted = {r["name"]: int(r["quota"]) for r in sorted(rows, key=lambda r: (r["name"] is None, r["name"] or "")) if r["quota"] is not None}
+    taken = route([(p, sums[p]) for p in shared], wanted, max_copies)
+    routed = patterns.sparkSession.createDataFrame([(list(p), sums[p], t) for p, t in zip(shared, taken, strict=True)], "members array<string>, sum long, taken long")
+    return plain.unionByName(routed)
+
+
+def mix(docs: DataFrame, members: Column, size: Column, quotas, max_copies: int = 3, seed: str = "mix", id_col: str = "doc_id", told: dict[str, str] | None = None) -> DataFrame:
     """``docs`` with ``size`` and ``copies`` (0 to ``max_copies``) columns.
 
     ``members`` is an array of source names. ``quotas`` maps source names to
-    tokens, or is a function from the list of (members, size) patterns to that.
+    tokens, is a DataFrame (name, quota, ...), or makes one of a DataFrame
+    (members, sum). ``told`` names further columns of it that a document of one
+    source is given.
     """
-    spark = docs.sparkSession
+    spark, told = docs.sparkSession, told or {}
+    tag = _unused(docs.columns)
+    of = lambda c: F.col(tag + c)
     key = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    sized = docs.withColumns({"size": size.cast("long"), "_members": F.array_sort(F.array_distinct(members)), "_u": F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")})
-    sized = sized.withColumn("_bucket", F.shiftright("_u", 20).cast("int"))
-    sums = sized.groupBy("_members", "_bucket").agg(F.sum("size").alias("sum")).persist()
-    patterns = [(tuple(r["_members"]), int(r["sum"] or 0)) for r in sums.groupBy("_members").agg(F.sum("sum").alias("sum")).collect()]
-    patterns.sort(key=lambda p: [(m is None, m or "") for m in p[0]])
-    taken = route(patterns, quotas(patterns) if callable(quotas) else quotas, max_copies)
-    plan = [(list(p), t // s if s else 0, t % s if s else 0) for (p, s), t in zip(patterns, taken, strict=True)]
-    known = F.broadcast(spark.createDataFrame(plan, "_members array<string>, _whole long, _rest long"))  # one row a pattern
-    so_far = Window.partitionBy("_members").orderBy("_bucket")
+    rows = docs.withColumns({tag + "members": F.array_sort(F.array_distinct(members)), tag + "u": F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")})
+    bits = min(28, max(BUCKETS.bit_length() - 1, (docs.count() // IN_BUCKET).bit_length()))
+    rows = rows.withColumn(tag + "bucket", F.shiftright(of("u"), 32 - bits).cast("int"))
+    sums = stage(rows.groupBy(of("members").alias("members"), of("bucket").alias("bucket")).agg(F.sum(size).cast("long").alias("sum")), "sums")
+    patterns = stage(sums.groupBy("members").agg(F.coalesce(F.sum("sum"), F.lit(0)).cast("long").alias("sum")), "patterns")
+    if callable(quotas):
+        quotas = quotas(patterns)
+    if isinstance(quotas, dict):
+        quotas = spark.createDataFrame([(s, int(q)) for s, q in quotas.items()], "name string, quota long")
+    taken = _take(patterns, quotas.select("name", "quota"), max_copies)
+    known = stage(taken.select("members", F.expr("taken div greatest(sum, 1)").alias("whole"), F.expr("taken % greatest(sum, 1)").alias("rest")), "plan")
+    so_far = Window.partitionBy("members").orderBy("bucket")
     cut = (
-        sums.join(known, "_members").select("_members", "_bucket", "_rest", (F.sum("sum").over(so_far) - F.col("sum")).alias("_before"), "sum")
-        .filter((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("sum") >= F.col("_rest")))
-        .groupBy("_members").agg(F.min(F.struct("_bucket", "_before")).alias("_cut"))
+        sums.join(known, "members").select("members", "bucket", "rest", (F.sum("sum").over(so_far) - F.col("sum")).alias("before"), "sum")
+        .filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("sum") >= F.col("rest")))
+        .groupBy("members").agg(F.min(F.struct("bucket", "before")).alias("cut"))
     )
-    whole = known.join(F.broadcast(cut), "_members", "left").select("_members", "_whole", "_rest", F.coalesce("_cut._bucket", F.lit(-1)).alias("_last"), F.coalesce("_cut._before", F.lit(0)).alias("_before"))
-    joined = sized.join(F.broadcast(whole), "_members")
-    edge = F.col("_bucket") == F.col("_last")
-    names = [*docs.columns, "size"]
-    clear = joined.filter(~edge).select(*names, F.least(F.col("_whole") + F.when(F.col("_bucket") < F.col("_last"), 1).otherwise(0), F.lit(max_copies)).alias("copies"))
+    plan = known.join(cut, "members", "left")
+    if told:
+        named = quotas.select(F.array("name").alias("members"), *told)
+        plan = plan.join(named, "members", "left")
+    plan = stage(plan.select(F.col("members").alias(tag + "members"), F.col("whole").alias(tag + "whole"), F.col("rest").alias(tag + "rest"), F.coalesce("cut.bucket", F.lit(-1)).alias(tag + "last"), F.coalesce("cut.before", F.lit(0)).alias(tag + "before"), *(F.col(c).alias(tag + "told_" + c) for c in told)), "plan")
+    joined = rows.join(plan, tag + "members")
+    edge = of("bucket") == of("last")
+    extra = [of("told_" + c).alias(name) for c, name in told.items()]
+    kept = [F.col(c) for c in docs.columns if c not in {"size", "copies", *told.values()}]
+    copies = lambda more: F.least(of("whole") + F.when(more, 1).otherwise(0), F.lit(max_copies)).cast("long").alias("copies")
+    # sizes are counted after the filter: the edge is one bucket of each pattern
+    clear = joined.filter(~edge).withColumn(tag + "size", size.cast("long")).select(*kept, of("size").alias("size"), copies(of("bucket") < of("last")), *extra)
     # equal ids of equal size are told apart by their other columns, so that reruns agree
     plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    running = Window.partitionBy("_members").orderBy("_u", F.asc_nulls_first(id_col), "size", F.xxhash64(*plain)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col("_before") + F.sum("size").over(running)
+    running = Window.partitionBy(tag + "members").orderBy(of("u"), F.asc_nulls_first(id_col), of("size"), F.xxhash64(*plain)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = of("before") + F.sum(of("size")).over(running)
     # the document across which the remainder ends is taken if most of it lies before the end
-    near = (upto - F.col("size") < F.col("_rest")) & (2 * upto - F.col("size") <= 2 * F.col("_rest"))
-    close = joined.filter(edge).withColumn("_near", near).select(*names, F.least(F.col("_whole") + F.when(F.col("_near"), 1).otherwise(0), F.lit(max_copies)).alias("copies"))
+    near = (upto - of("size") < of("rest")) & (2 * upto - of("size") <= 2 * of("rest"))
+    close = joined.filter(edge).withColumn(tag + "size", size.cast("long")).withColumn(tag + "near", near).select(*kept, of("size").alias("size"), copies(of("near")), *extra)
     return clear.unionByName(close)
 
 
 def mix_sources(docs: DataFrame, source_col: str = "source", text_col: str = "text", weights: Sequence[int] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """Mix documents of one source each to the weights of :func:`capped_targets`:
-    ``docs`` with size, source_size, target and copies."""
-    spark = docs.sparkSession
-    told: dict = {}
-
-    def quotas(patterns):
-        sizes = [(p[0], s) for p, s in patterns]
-        told["targets"] = capped_targets(sizes, weights, cap)
-        told["sizes"] = dict(sizes)
-        return {s: math.floor(t + 0.5) for s, t in told["targets"].items()}
-
-    mixed = mix(docs, F.array(F.col(source_col).cast("string")), n_words(text_col), quotas, cap, id_col=id_col)
-    rows = [(s, told["sizes"][s], float(told["targets"][s])) for s in told["sizes"]]
-    per = F.broadcast(spark.createDataFrame(rows, "_source string, source_size long, target double"))  # one row a source
-    return mixed.join(per, mixed[source_col].cast("string").eqNullSafe(per["_source"]), "left").drop("_source")
+    """Mix documents of one source each to the weights of :func:`targets_of`:
+    ``docs`` with size, copies, source_size and target."""
+
+    def quotas(patterns: DataFrame) -> DataFrame:
+        sources = patterns.select(F.col("members")[0].alias("name"), F.col("sum").alias("size"))
+        return stage(targets_of(sources, weights, cap).withColumn("quota", F.floor(F.col("target") + 0.5).cast("long")), "targets")
+
+    return mix(docs, F.array(F.col(source_col).cast("string")), n_words(text_col), quotas, cap, id_col=id_col, told={"size": "source_size", "target": "target"})

@@ -54,7 +54,7 @@ class PrefixHash:
         p, self.inv = powers(n + 1, base)
         self.pref = np.zeros(n + 1, dtype=U64)
         with np.errstate(over="ignore"):
-            np.cumsum((buf.astype(U64) + U64(1)) * p[:n], out=self.pref[1:])
+            np.cumsum((buf.astype(U64, copy=False) + U64(1)) * p[:n], out=self.pref[1:])
 
     def span(self, start: np.ndarray, length) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -68,6 +68,17 @@ class PrefixHash:
             return (self.pref[length : length + m] - self.pref[:m]) * self.inv[:m]
 
 
+def windows(buf: np.ndarray, width: int = 8) -> np.ndarray:
+    """A mixed hash of the eight bytes from each place on (none for the last
+    seven). Prefix hashes over these have no structure of the bytes left in which
+    strings such as a Thue-Morse word and its complement meet modulo 2**64; a
+    string of n bytes is n - 7 windows."""
+    if len(buf) < width:
+        return np.zeros(0, U64)
+    raw = np.ascontiguousarray(buf)
+    return mix(np.ndarray((len(raw) - width + 1,), "<u8", raw, strides=(1,)).astype(U64))
+
+
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary Arrow column as (bytes, offsets); null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

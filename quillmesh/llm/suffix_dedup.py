@@ -13,7 +13,9 @@ each byte many times over, so suffixes are first sent to where equal ones meet:
    stands for all strings that elect it.
 2. Anchors meet by the hash of their k bytes. Within a task equal ones are
    merged first, so an anchor that a third of all documents hold arrives as a
-   few rows per task. Anchors whose whole surroundings repeat are settled here.
+   few rows per ``MERGE`` bytes. Anchors whose whole surroundings repeat are
+   settled here: inside a task by their bytes, across tasks by a 64-bit hash of
+   the anchor and another of all its bytes.
 3. Only anchors whose k bytes repeat in different surroundings (the rims of
    repeated passages) go on, with their bytes. Their suffixes are merge-sorted;
    a comparison finds the common extension of two suffixes by binary search on
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm._bytes import BASE_2, U64, PrefixHash, blocks, flat, mix, ranges
+from quillmesh.llm._bytes import BASE_2, U64, PrefixHash, blocks, flat, mix, ranges, windows
 from quillmesh.llm._shared import NULL_ID, arrow_schema, emit, stage, versioned, whole_groups
 
 TILE = 2 << 20  #: bytes hashed at once
@@ -60,8 +62,8 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int, k: int):
     none = np.zeros(0, np.int64)
     if not len(starts):
         return none, none, none, none, none.astype(U64), none.astype(U64)
-    ph = PrefixHash(buf)
-    kg = mix(ph.every(k))
+    ph = PrefixHash(windows(buf))
+    kg = mix(ph.every(k - 7))
     m = len(kg)
     low = U64(0xFFFFFF)  # the place, so that the leftmost of equal hashes is elected
     key = (kg & ~low) | np.arange(m, dtype=U64)
@@ -74,7 +76,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int, k: int):
     last = np.r_[first[1:], len(starts)] - 1
     a, b, p = starts[first], starts[last], elected[first]
     shape = ((p - a) * 64 + (b - a)).astype(U64)
-    return doc[first], a, b, p, kg[p], mix(ph.span(a, b + length - a) ^ mix(shape))
+    return doc[first], a, b, p, kg[p], mix(ph.span(a, b + length - a - 7) ^ mix(shape))
 
 
 def _tiled(buf: np.ndarray, offs: np.ndarray, length: int, k: int):
@@ -106,6 +108,7 @@ def _find_anchors(length: int, k: int):
                     continue
                 doc, ver = ids[lo:hi][d], vers[lo:hi][d]
                 o = np.lexsort((a, ver, doc, ch, kh))
+                begin, size = (offs[d] + a)[o], (b - a + length)[o]
                 doc, ver, a, kh, ch, span = doc[o], ver[o], a[o], kh[o], ch[o], ((b - a) + 64 * (p - a))[o]
                 new_k = np.r_[True, kh[1:] != kh[:-1]]
                 new_c = new_k | np.r_[True, ch[1:] != ch[:-1]]
@@ -116,6 +119,8 @@ def _find_anchors(length: int, k: int):
                 nth = cls - cls[np.flatnonzero(new_k)][group]
                 kind = np.where(~same, 1, np.where((classes[group] > CLASSES) & (nth >= 2), 2, 0))
                 kind = np.where((kind == 0) & ~new_c, -1, kind)  # the same place twice: once is enough
+                told = np.flatnonzero(kind == 1)
+                kind[told[~_same_spans(buf, begin[told], begin[first[told]], size[told], size[first[told]])]] = 2  # hashes collide: string by string
                 keep = kind >= 0
                 scattered = mix(doc.astype(U64) * U64(0x9E3779B97F4A7C15) + a.astype(U64))
                 settled = kind != 0  # these only travel to be written; any task will do
@@ -180,7 +185,8 @@ def _contexts(length: int):
                 s = ranges(begin, c)
                 r = np.repeat(row[many], c)
                 place = ranges(at[many], c)
-                h1, h2 = mix(PrefixHash(part).span(s, length)), mix(PrefixHash(part, BASE_2).span(s, length))
+                w = windows(part)
+                h1, h2 = mix(PrefixHash(w).span(s, length - 7)), mix(PrefixHash(w, BASE_2).span(s, length - 7))
                 doc, ver = ids[r], vers[r]
                 o = np.lexsort((place, ver, doc, h2, h1))
                 doc, ver, place, h1, h2 = doc[o], ver[o], place[o], h1[o], h2[o]
@@ -261,6 +267,17 @@ def _same_bytes(buf: np.ndarray, x: np.ndarray, y: np.ndarray, length: int) -> n
     return out
 
 
+def _same_spans(buf: np.ndarray, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Whether the bytes [x, x + nx) and [y, y + ny) are equal."""
+    out = nx == ny
+    for i in range(0, len(x), 20000):
+        at = np.flatnonzero(out[i : i + 20000]) + i
+        n = nx[at]
+        unlike = buf[ranges(x[at], n)] != buf[ranges(y[at], n)]
+        out[at] = np.add.reduceat(unlike, np.cumsum(n) - n) == 0 if len(at) else out[at]
+    return out
+
+
 def _runs(doc: np.ndarray, ver: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     o = np.lexsort((at, ver, doc))
     doc, ver, at = doc[o], ver[o], at[o]

@@ -13,7 +13,8 @@ Finding the links, with several global token orders:
    counters on a log scale, whatever the corpus), so a passage that a third of
    all documents share ranks last everywhere. Two sets that link must share a
    token among the first few of each, under *every* order: candidates found in
-   the first order are kept only if their prefixes meet in the others as well.
+   the first order go on only if their prefixes meet in the others as well, and
+   only then are their whole sets fetched.
 3. In the first order, classes meet token by token. Each meeting is also held
    against the sizes and the places of the token (what follows it bounds the
    overlap). A meeting of m classes first tries each of them with one leader,
@@ -23,8 +24,13 @@ Finding the links, with several global token orders:
    pairs, and no link between different sets is lost: a pair that is left out
    has both ends in one component already. The leader is the class with the
    fewest rarer tokens before the shared one, as the source of copies has.
-   Meetings of very many classes are dealt out in blocks and pairs of blocks.
-4. Candidates are verified on whole sets.
+   Meetings of very many classes are dealt out in blocks and pairs of blocks; a
+   token that the sketch gives more than ``hot`` classes is dealt so from the
+   start, and none of its rows is judged by a part of its meeting.
+4. Candidates are verified on whole sets of 64-bit shingle hashes. A word's hash
+   sums a pseudo-random number for each of its places and bytes, so that words
+   meet only by chance (2**-64 a pair of shingles); equal sets are known by a
+   128-bit digest.
 
 Components are found by alternating large-star and small-star steps over
 distributed edges between classes. Every round is written to the shared folder.
@@ -41,17 +47,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm._bytes import U64, PrefixHash, blocks, flat, mix, ranges
+from quillmesh.llm._bytes import U64, blocks, flat, mix, ranges
 from quillmesh.llm._shared import NULL_ID, arrow_batches, arrow_schema, emit, id_or_lowest, stage, whole_groups
 
 SLOTS = 1 << 22  #: counters of the frequency sketch, one byte each
 ORDERS = (0x1B873593CC9E2D51, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 BLOCK = 1 << 20  #: bytes whose shingles are hashed at once
 BATCH = 16 << 20  #: bytes of an Arrow batch, so that several tasks fit beside each other
-SPREAD = 4096  #: classes of one meeting that are paired in one piece
+SPREAD = 512  #: classes of one meeting that are paired in one piece
+SALTS = 256  #: ways in which the rows of one set are dealt
+HOT = 1 << 16  #: estimated classes beyond which a token's meeting is dealt out before it is looked at
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -59,6 +67,30 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def _place_values() -> np.ndarray:
+    """A pseudo-random number for each of the first 64 places of a word and each byte there."""
+    return mix(mix(np.arange(64 * 256, dtype=U64) + U64(0x243F6A8885A308D3)) ^ U64(0xA4093822299F31D0))
+
+
+_PLACES = _place_values()
+
+
+def word_hashes(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words [begin, end): the sum of a pseudo-random number
+    for each place and the byte there. No structure of the bytes (as repeated or
+    complementary halves have) lets two words meet other than by chance."""
+    place = np.arange(len(low)) - np.repeat(np.r_[0, begin], np.diff(np.r_[0, begin, len(low)]))
+    code = place << 8 | low
+    if (far := place >= 64).any():
+        value = _PLACES[np.where(far, 0, code)]
+        value[far] = mix(mix(code[far].astype(U64) + U64(0x243F6A8885A308D3)) ^ U64(0xA4093822299F31D0))
+    else:
+        value = _PLACES[code]
+    sums = np.zeros(len(low) + 1, U64)
+    np.cumsum(value, out=sums[1:])
+    return mix((sums[end] - sums[begin]) ^ mix((end - begin).astype(U64)))
+
+
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts): the distinct shingle hashes of each document, ascending."""
     n = len(offs) - 1
@@ -72,8 +104,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, shingle: int) -> tuple[np.nd
     begin, end = np.flatnonzero(before & ~space), np.flatnonzero(after & ~space) + 1
     if not len(begin):
         return np.zeros(0, U64), counts
-    ph = PrefixHash(low)
-    word = mix(ph.span(begin, end - begin) ^ mix((end - begin).astype(U64)))
+    word = word_hashes(low, begin, end)
     doc = np.searchsorted(offs, begin, side="right") - 1
     words = np.bincount(doc, minlength=n)
     first = np.cumsum(words) - words
@@ -113,15 +144,18 @@ def _digests(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+SUMMARY = "doc long, n long, a long, b long, salt int"
+
+
 def _summaries(shingle: int):
-    _, out = arrow_schema("doc long, n long, a long, b long")
+    _, out = arrow_schema(SUMMARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc").to_numpy()
             for lo, hi, h, c in _sets(batch, shingle):
                 a, b = _digests(h, c)
-                yield emit(out, {"doc": ids[lo:hi], "n": c, "a": a, "b": b})
+                yield emit(out, {"doc": ids[lo:hi], "n": c, "a": a, "b": b, "salt": np.arange(lo, hi) % SALTS})
 
     return run
 
@@ -189,10 +223,13 @@ def _in_order(h: np.ndarray, owner: np.ndarray, levels: np.ndarray, order: int)
 
 
 PREFIXES = "token long, doc long, n int, at int"
+DEALT = PREFIXES + ", deal int"
 
 
-def _first_prefixes(shingle: int, percent: int, levels_of):
-    _, out = arrow_schema(PREFIXES)
+def _first_prefixes(shingle: int, percent: int, levels_of, hot: int):
+    """The first tokens of each set. A token of very many classes is dealt in as
+    many ways as its estimated frequency asks for (``deal`` is above 0)."""
+    _, out = arrow_schema(DEALT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = levels_of.value
@@ -212,7 +249,11 @@ def _first_prefixes(shingle: int, percent: int, levels_of):
             for lo, hi, shown, c, probe in parts:
                 row, at = np.repeat(np.arange(hi - lo), probe), ranges(np.zeros(hi - lo, np.int64), probe)
                 keep = head[lo:hi][row]
-                yield emit(out, {"token": shown[keep], "doc": ids[lo:hi][row][keep], "n": c[row][keep], "at": at[keep]})
+                token, doc = shown[keep], ids[lo:hi][row][keep]
+                classes = np.exp2(levels[_slot(token, len(levels))] / 4)
+                ways = np.where(classes > hot, np.ceil(classes / (hot / 4)), 1).astype(U64)
+                deal = np.where(ways > 1, 1 + (mix(doc.astype(U64)) % ways).astype(np.int64), 0)
+                yield emit(out, {"token": token, "doc": doc, "n": c[row][keep], "at": at[keep], "deal": deal})
 
     return run
 
@@ -221,7 +262,8 @@ SETS = "doc long, n int, tokens binary, second binary, third binary"
 
 
 def _whole_sets(shingle: int, percent: int, levels_of):
-    """The sorted set of each document, and its prefixes under the other orders."""
+    """The sorted set of each document, and its prefixes under the second and the
+    third order as 32-bit digests."""
     _, out = arrow_schema(SETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,11 +274,11 @@ def _whole_sets(shingle: int, percent: int, levels_of):
                 owner = np.repeat(np.arange(hi - lo), c)
                 first = np.cumsum(c) - c
                 probe, _ = prefix_lengths(c, percent)
+                cut = np.r_[0, np.cumsum(probe)]
                 rows = {"doc": ids[lo:hi], "n": c, "tokens": [h[f : f + k].tobytes() for f, k in zip(first, c, strict=True)]}
                 for name, r in (("second", 1), ("third", 2)):
-                    shown = np.zeros(len(h), bool)  # one bit a token: does the prefix show it?
-                    shown[_in_order(h, owner, levels, r)[ranges(first, probe)]] = True
-                    rows[name] = [np.packbits(shown[f : f + k]).tobytes() for f, k in zip(first, c, strict=True)]
+                    shown = h[_in_order(h, owner, levels, r)[ranges(first, probe)]].astype(np.uint32)
+                    rows[name] = [shown[f:t].tobytes() for f, t in zip(cut[:-1], cut[1:], strict=True)]
                 for i in range(0, hi - lo, 1000):
                     yield emit(out, {k: v[i : i + 1000] for k, v in rows.items()})
 
@@ -256,33 +298,30 @@ def _can_link(nx: np.ndarray, ny: np.ndarray, ax: np.ndarray, ay: np.ndarray, pe
 PAIRS = "a long, b long"
 
 
-def _partners(percent: int, some: int = 200_000, at_most: int = 1_000_000):
+def _partners(percent: int, some: int = 200_000):
     """Rows that may have a partner in their meeting; the others lead to no pair.
-    A meeting of more than ``at_most`` rows comes in pieces and is kept whole."""
+    A meeting that was dealt out is not seen whole, and keeps all its rows."""
     _, out = arrow_schema(PREFIXES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = None  # the token whose rows come in pieces
-        for t in whole_groups(batches, ["token"], some, at_most=at_most):
-            token, doc, n, at = (t.column(c).to_numpy().astype(np.int64) for c in ("token", "doc", "n", "at"))
-            if len(token) >= at_most and token[0] == token[-1]:
-                cut = token[0]
-            o = np.lexsort((n, token))
-            token, doc, n, at = token[o], doc[o], n[o], at[o]
-            head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        for t in whole_groups(batches, ["token", "deal"], some):
+            token, doc, n, at, deal = (t.column(c).to_numpy().astype(np.int64) for c in ("token", "doc", "n", "at", "deal"))
+            o = np.lexsort((n, deal, token))
+            token, doc, n, at, deal = token[o], doc[o], n[o], at[o], deal[o]
+            same = (token[1:] == token[:-1]) & (deal[1:] == deal[:-1])
+            head = np.flatnonzero(np.r_[True, ~same])
             size = np.diff(np.r_[head, len(token)])
             each = np.repeat(size, size)
             keep = np.zeros(len(token), bool)
-            next_ = np.flatnonzero((token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])) if len(token) > 1 else np.zeros(0, np.int64)
+            next_ = np.flatnonzero(same & (100 * n[:-1] >= percent * n[1:]))
             keep[next_] = keep[next_ + 1] = True
             keep &= each > 8
-            small = (size > 1) & (size <= 8)
+            group, small = np.repeat(head, size), each <= 8
             for gap in range(1, 8):
-                x = np.flatnonzero(np.repeat(small, size)[: len(token) - gap] & (token[gap:] == token[: len(token) - gap])) if len(token) > gap else np.zeros(0, np.int64)
+                x = np.flatnonzero(small[: len(token) - gap] & (group[gap:] == group[: len(token) - gap])) if len(token) > gap else np.zeros(0, np.int64)
                 ok = x[_can_link(n[x], n[x + gap], at[x], at[x + gap], percent) & (doc[x] != doc[x + gap])]
                 keep[ok] = keep[ok + gap] = True
-            if cut is not None:
-                keep |= token == cut
+            keep |= deal > 0
             if keep.any():
                 yield emit(out, {"token": token[keep], "doc": doc[keep], "n": n[keep], "at": at[keep]})
 
@@ -328,28 +367,33 @@ def _meetings(percent: int, leaders: int | None):
     return run
 
 
-def _linked(percent: int):
-    _, out = arrow_schema(PAIRS)
-
-    def linked(r: dict) -> bool:
-        x, y = (np.frombuffer(r[f"tokens_{s}"], U64) for s in "xy")
-        for name in ("second", "third"):  # the other orders' prefixes must meet too
-            u, v = (z[np.unpackbits(np.frombuffer(r[f"{name}_{s}"], np.uint8), count=len(z)).view(bool)] for s, z in (("x", x), ("y", y)))
-            if not len(np.intersect1d(u, v, assume_unique=True)):
-                return False
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * both >= percent * (len(x) + len(y) - both)
+def _rows_that(test, columns: str):
+    """Rows (a, b) of a joined pair that pass ``test``."""
+    _, out = arrow_schema(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                rows = batch.slice(i, 500).to_pylist()
-                keep = [r for r in rows if linked(r)]
+                keep = [r for r in batch.slice(i, 500).to_pylist() if test(r)]
                 yield emit(out, {"a": [r["a"] for r in keep], "b": [r["b"] for r in keep]})
 
     return run
 
 
+def _prefixes_meet(r: dict) -> bool:
+    """Whether the prefixes of both other orders share a token."""
+    return all(len(np.intersect1d(*(np.frombuffer(r[f"{name}_{s}"], np.uint32) for s in "xy"))) for name in ("second", "third"))
+
+
+def _linked(percent: int):
+    def linked(r: dict) -> bool:
+        x, y = (np.frombuffer(r[f"tokens_{s}"], U64) for s in "xy")
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return linked
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(doc, comp) for all ends of ``edges`` (a, b): comp is the smallest id
     reachable. Alternates large-star and small-star steps. The smallest
@@ -376,46 +420,54 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("comp")).unionByName(e.select(F.col("b").alias("doc"), F.col("b").alias("comp")).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, hot: int = HOT) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     with arrow_batches(docs.sparkSession, BATCH):
-        return _near_duplicates(docs, shingle, percent, id_col, text_col, slots)
+        return _near_duplicates(docs, shingle, percent, id_col, text_col, slots, hot)
 
 
-def _near_duplicates(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, slots: int) -> DataFrame:
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, slots: int, hot: int) -> DataFrame:
     """Runs all but its last join, so that the batch size holds for its stages."""
     spark = docs.sparkSession
     texts = docs.select(id_or_lowest(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = F.col("doc") != NULL_ID
-    # every row with the digest of its set, and the smallest id that has the same set
-    summary = stage(texts.mapInArrow(_summaries(shingle), "doc long, n long, a long, b long"), "sets")
-    classes = summary.filter(known & (F.col("n") > 0)).groupBy("a", "b", "n").agg(F.min("doc").alias("head"), F.count("*").alias("rows"))
-    copied = summary.join(classes.filter("rows > 1").drop("rows"), ["a", "b", "n"], "left").select("doc", "n", F.when(known & (F.col("n") > 0), F.coalesce("head", "doc")).alias("head"))
-    headed = stage(copied, "heads")
+    # every row with the digest of its set; rows of one set are dealt in SALTS ways,
+    # so that a set that a third of all rows have is as many small groups
+    summary = stage(texts.mapInArrow(_summaries(shingle), SUMMARY), "sets")
+    held = summary.filter(known & (F.col("n") > 0))
+    dealt = stage(held.groupBy("a", "b", "n", "salt").agg(F.min("doc").alias("low")), "classes")
+    heads = dealt.groupBy("a", "b", "n").agg(F.min("low").alias("head"))
+    classes = stage(dealt.join(heads, ["a", "b", "n"]).select("a", "b", "n", "salt", "head"), "classes")
 
     levels = spark.sparkContext.broadcast(sketch(texts, shingle, slots))  # ``slots`` bytes, whatever the corpus
-    found = texts.filter(known).mapInArrow(_first_prefixes(shingle, percent, levels), PREFIXES)
-    met = stage(found.repartition("token").sortWithinPartitions("token").mapInArrow(_partners(percent), PREFIXES), "meetings")
-    heads = headed.filter("doc = head").select("doc").distinct()
-    met = stage(met.join(heads, "doc", "left_semi"), "meetings")
-    whole = stage(texts.join(met.select("doc").distinct(), "doc", "left_semi").mapInArrow(_whole_sets(shingle, percent, levels), SETS).dropDuplicates(["doc", "tokens"]), "whole")
+    found = texts.filter(known).mapInArrow(_first_prefixes(shingle, percent, levels, hot), DEALT)
+    met = stage(found.repartition("token", "deal").sortWithinPartitions("token", "deal").mapInArrow(_partners(percent), PREFIXES), "meetings")
+    met = stage(met.join(classes.select(F.col("head").alias("doc")).distinct(), "doc", "left_semi"), "meetings")
+    whole = texts.join(met.select("doc").distinct(), "doc", "left_semi").mapInArrow(_whole_sets(shingle, percent, levels), SETS)
+    if not held.groupBy("doc").count().filter("count > 1").isEmpty():  # a repeated row's set counts once
+        whole = whole.distinct()
+    whole = stage(whole, "whole")
+
+    def both_of(pairs: DataFrame, *names: str) -> DataFrame:
+        side = lambda doc, s: whole.select(F.col("doc").alias(doc), *(F.col(c).alias(f"{c}_{s}") for c in names))
+        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda doc, s: whole.select(F.col("doc").alias(doc), *(F.col(c).alias(f"{c}_{s}") for c in ("tokens", "second", "third")))
-        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-        return both.mapInArrow(_linked(percent), PAIRS).distinct()
+        candidates = both_of(pairs, "second", "third").mapInArrow(_rows_that(_prefixes_meet, PAIRS), PAIRS).distinct()
+        return both_of(candidates, "tokens").mapInArrow(_rows_that(_linked(percent), PAIRS), PAIRS).distinct()
 
     # ids with several texts tie their classes together
-    repeated = headed.filter("head is not null").groupBy("doc").agg(F.min("head").alias("b"), F.max("head").alias("a")).filter("a <> b")
-    several = headed.join(repeated.select("doc", "b"), "doc").select(F.col("head").alias("a"), "b").filter("a <> b")
-    links = stage(several, "links")
+    texts_of = held.groupBy("doc").agg(F.min(F.struct("a", "b", "n")).alias("x"), F.max(F.struct("a", "b", "n")).alias("y")).filter("x <> y").select("doc")
+    several = held.join(texts_of, "doc").select("doc", "a", "b", "n").distinct().join(heads, ["a", "b", "n"])
+    least = several.groupBy("doc").agg(F.min("head").alias("b"))
+    links = stage(several.select("doc", F.col("head").alias("a")).join(least, "doc").select("a", "b").filter("a <> b"), "links")
     tried = None
     comp = None
-    per = Window.partitionBy("token")
-    for leaders in (1, 8, None):
+    for turn, leaders in enumerate((1, 8, None)):
         rows = met.withColumn("comp", F.col("doc")) if comp is None else met.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         sizes = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token", F.ceil(F.col("m") / SPREAD).cast("int").alias("blocks"))
-        block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+        # blocks are drawn anew in each round, so that components of one round's blocks meet in the next
+        block = F.pmod(F.xxhash64("doc", F.lit(turn)), F.col("blocks")).cast("int")
         rows = rows.join(sizes, "token").withColumn("block", block)
         if leaders is None:  # every pair of blocks of a large meeting
             rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("salt", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).cast("long"))
@@ -428,6 +480,9 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, id_col: str, t
         links = links.union(stage(verify(pairs), "links"))
         tried = pairs if tried is None else tried.union(pairs)
         comp = stage(components(links), "components")
-    out = headed.join(comp.withColumnRenamed("doc", "head"), "head", "left").select("doc", "n", F.coalesce("comp", "head", "doc").alias("comp"))
+    # components come to the dealt classes first, and from them to the rows
+    named = classes.join(comp.withColumnRenamed("doc", "head"), "head", "left").select("a", "b", "n", "salt", F.coalesce("comp", "head").alias("comp"))
+    has_set = known & (F.col("n") > 0)
+    out = summary.join(named, ["a", "b", "n", "salt"], "left").select("doc", "n", F.when(has_set, F.col("comp")).otherwise(F.col("doc")).alias("comp"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("doc").alias(id_col), F.col("n").alias("n_shingles"), real("comp").alias("component_id"))

@@ -11,13 +11,15 @@ insult, one aimed at somebody, one negated, one reported, and likewise threats.
 
 The weights of those kinds are learned by logistic regression from labelled
 rows, at most ``SAMPLE`` of them, chosen by hash; the lexicon is extended by
-word beginnings that mark training texts called toxic and hardly any others. The share of function words of the lexicon's language in a text says how
-far the grammar can judge it at all; a text in another language keeps the prior.
+word beginnings that mark training texts called toxic and hardly any others. The
+share of function words of the lexicon's language in a text says how far the grammar can judge it at all; a text in another language keeps the prior.
 Without labels of both kinds, fixed weights are used.
 
 Null and empty texts get a score like any other. Labels of null ids are unused;
-a repeated label counts once, and of contradicting ones the toxic counts. Extra
-columns are ignored.
+a repeated label counts once, and of contradicting ones the toxic counts; of an
+id's several texts the fit reads the first. Every row is scored on its own, so
+repeated rows get their own scores and an empty table gives none. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ SAMPLE = 20_000  #: labelled rows that the fit reads at most
 STEM = (4, 8)  #: shortest and longest learned word beginnings
 SUPPORT = 3  #: toxic texts that a learned beginning must explain
 CAUTION = 3  #: toxic texts that make up for one other text with the same beginning
-CANDIDATES = 50_000  #: beginnings compared at most, the most frequent first
-LEARNED = 200  #: learned beginnings at most
+CANDIDATES = 50_000  #: beginnings of the sample's toxic texts that the fit compares, the most frequent first
+LEARNED = 200  #: size of the model: beginnings that the fit picks
 
 INSULTS = frozenset(
     """idiot idiots idiotic moron morons moronic stupid dumb dumbass imbecile imbeciles loser losers scum scumbag trash garbage filth filthy vermin worthless
@@ -55,7 +57,7 @@ NEGATIONS = frozenset("not no never isn't isnt aren't arent wasn't wasnt weren't
 REPORTS = frozenset("said says say called calls calling told tells wrote writes quoted quote quotes reported reportedly alleged allegedly accused claims claimed shouted shouts yelled term word phrase insult slur sagte dijo dit".split())
 FUNCTION_WORDS = frozenset("the of and to in a is that for it as was with be by on not he his at from are this or had have which you were her they an she one all we their there been has".split())
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITYNRo"
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, END = "ITYNRo."
 KINDS = ("insult", "insult_target", "insult_negated", "insult_reported", "threat", "threat_target", "threat_negated", "threat_reported")
 FEATURES = (*KINDS, "distinct", "share", "covered", "bias")
 #: Log-odds used where nothing can be learned.
@@ -67,73 +69,81 @@ _LEET = str.maketrans("013457@$", "oieastas")
 NEG_SCOPE, NEAR = 3, 6
 
 
-class Machine:
-    """Composition of the scope transducers, built as it is used.
+class Negation:
+    """Marks what stands in the scope of a negation: the next few words."""
 
-    A state is (words left under negation, reported or not, words since a
-    target, insult waiting for a target behind it and for how long); reading a
-    symbol gives the next state and what to count.
-    """
+    start = 0
 
-    START = (0, False, 0, "", 0)
+    @staticmethod
+    def step(left: int, symbol: str):
+        return (NEG_SCOPE, (symbol, False)) if symbol == NEGATION else (max(left - 1, 0), (symbol, left > 0))
 
-    def __init__(self) -> None:
-        self.steps: dict[tuple, tuple[tuple, tuple[str, ...]]] = {}
 
-    def step(self, state: tuple, symbol: str) -> tuple[tuple, tuple[str, ...]]:
-        got = self.steps.get((state, symbol))
-        if got is None:
-            got = self.steps[state, symbol] = self._step(*state, symbol)
-        return got
+class Report:
+    """Marks the rest of a clause after a verb of saying."""
 
-    @staticmethod
-    def _negation(left: int, symbol: str) -> tuple[int, bool]:
-        return (NEG_SCOPE, False) if symbol == NEGATION else (max(left - 1, 0), left > 0)
+    start = False
 
     @staticmethod
-    def _report(reported: bool, symbol: str) -> bool:
-        return reported or symbol == REPORT
+    def step(reported: bool, marked: tuple):
+        return reported or marked[0] == REPORT, (*marked, reported)
+
+
+class Target:
+    """Marks what follows soon after a person spoken to or of."""
+
+    start = 0
 
     @staticmethod
-    def _target(since: int, symbol: str) -> int:
-        return NEAR if symbol == TARGET else max(since - 1, 0)
+    def step(since: int, marked: tuple):
+        return NEAR if marked[0] == TARGET else max(since - 1, 0), (*marked, since > 0)
+
 
-    def _step(self, left: int, reported: bool, since: int, waiting: str, wait: int, symbol: str):
-        out: list[str] = []
-        next_left, negated = self._negation(left, symbol)
+class Reader:
+    """Reads the marked symbols off as kinds. An insult or threat that nothing
+    marks waits for a target close behind it. ``END`` closes the clause."""
+
+    start = ("", 0)
+
+    @staticmethod
+    def step(state: tuple, marked: tuple):
+        (waiting, wait), (symbol, negated, reported, aimed) = state, marked
+        before = (waiting,) if waiting else ()
         if symbol in (INSULT, THREAT):
-            if waiting:
-                out.append(waiting)
             name = "insult" if symbol == INSULT else "threat"
-            if negated:
-                out.append(f"{name}_negated")
-                waiting, wait = "", 0
-            elif reported:
-                out.append(f"{name}_reported")
-                waiting, wait = "", 0
-            elif since:
-                out.append(f"{name}_target")
-                waiting, wait = "", 0
-            else:
-                waiting, wait = name, NEAR
-        elif waiting:
-            if symbol == TARGET:
-                out.append(f"{waiting}_target")
-                waiting, wait = "", 0
-            elif wait <= 1:
-                out.append(waiting)
-                waiting, wait = "", 0
-            else:
-                wait -= 1
-        return (next_left, self._report(reported, symbol), self._target(since, symbol), waiting, wait), tuple(out)
+            mark = "negated" if negated else "reported" if reported else "target" if aimed else ""
+            return (("", 0), (*before, f"{name}_{mark}")) if mark else ((name, NEAR), before)
+        if waiting and symbol == TARGET:
+            return ("", 0), (f"{waiting}_target",)
+        if waiting and (wait <= 1 or symbol == END):
+            return ("", 0), before
+        return (waiting, wait - 1) if waiting else state, ()
+
+
+class Composed:
+    """Transducers one after the other, each reading what the last one writes. A
+    state is a state of each; those that are met are remembered with their steps,
+    so that the machine is as good as written out."""
+
+    def __init__(self, *parts):
+        self.parts, self.start = parts, tuple(p.start for p in parts)
+        self.steps: dict[tuple, tuple] = {}
+
+    def step(self, state: tuple, symbol: str) -> tuple[tuple, tuple[str, ...]]:
+        got = self.steps.get((state, symbol))
+        if got is None:
+            after, out = [], symbol
+            for part, s in zip(self.parts, state, strict=True):
+                s, out = part.step(s, out)
+                after.append(s)
+            got = self.steps[state, symbol] = tuple(after), out
+        return got
 
     def read(self, symbols: list[str]) -> Iterator[str]:
-        state = self.START
-        for s in symbols:
+        state = self.start
+        for s in (*symbols, END):
             state, out = self.step(state, s)
             yield from out
-        if state[3]:
-            yield state[3]
 
 
 class Grammar:
@@ -143,7 +153,7 @@ class Grammar:
             self.lexicon.update(dict.fromkeys(words, symbol))
         self.stems: dict[int, frozenset[str]] = {n: frozenset(x for x in learned if len(x) == n) for n in sorted({len(x) for x in learned})}
         self.triggers = {w for w, s in self.lexicon.items() if s in (INSULT, THREAT)}
-        self.machine = Machine()
+        self.machine = Composed(Negation, Report, Target, Reader)
 
     def symbol(self, word: str) -> str:
         got = self.lexicon.get(word)
@@ -260,7 +270,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # at most ``sample`` rows, so it may be broadcast: the texts are not shuffled
     plain = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = plain.join(F.broadcast(chosen), "_id").select("toxic", "text").withColumn("key", F.xxhash64("text")).persist()
+    # an id with several texts counts with the first of them, so the sample keeps its bound
+    texts = plain.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text").withColumn("key", F.xxhash64("text")).persist()
     learned = _learned_stems(texts)
     grammar_of = lambda: Grammar(learned)
 

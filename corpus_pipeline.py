@@ -10,9 +10,13 @@ Each stage reads what its predecessor wrote and all of it:
    sources come near their target weights.
 5. packing: token windows of 2048, one row per piece.
 
-All but the last return the columns of ``documents``. Rows with null texts or
-ids pass through where a stage has no reason to drop them: they are not toxic,
-near copies of nothing, hold no secrets, and have no words for the mix to take.
+All but the last return the columns of ``documents``, further columns included,
+whatever their names. Rows with null texts or ids pass through where a stage has
+no reason to drop them: they are not toxic, near copies of nothing, hold no
+secrets, and have no words for the mix to take. Empty texts do the same, and
+very long ones are worked on whole. A repeated row is a copy under the same id:
+near-copy removal compares ids, so all rows of the id that stays do stay. Of
+texts that tie, the smallest id stays. Empty tables pass through every stage.
 """
 
 from __future__ import annotations

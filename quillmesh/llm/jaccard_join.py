@@ -57,7 +57,8 @@ SLOTS = 1 << 22  #: counters of the frequency sketch, one byte each
 ORDERS = (0x1B873593CC9E2D51, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 BLOCK = 1 << 20  #: bytes whose shingles are hashed at once
 BATCH = 16 << 20  #: bytes of an Arrow batch, so that several tasks fit beside each other
-SPREAD = 512  #: classes of one meeting that are paired in one piece
+SPREAD = 128  #: classes of one meeting that are tried with leaders in one piece
+PAIRED = 1024  #: classes of one meeting that are paired in one piece in the last round
 SALTS = 256  #: ways in which the rows of one set are dealt
 HOT = 1 << 16  #: estimated classes beyond which a token's meeting is dealt out before it is looked at
 
@@ -465,7 +466,7 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, id_col: str, t
     comp = None
     for turn, leaders in enumerate((1, 8, None)):
         rows = met.withColumn("comp", F.col("doc")) if comp is None else met.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        sizes = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token", F.ceil(F.col("m") / SPREAD).cast("int").alias("blocks"))
+        sizes = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token", F.ceil(F.col("m") / (SPREAD if leaders else PAIRED)).cast("int").alias("blocks"))
         # blocks are drawn anew in each round, so that components of one round's blocks meet in the next
         block = F.pmod(F.xxhash64("doc", F.lit(turn)), F.col("blocks")).cast("int")
         rows = rows.join(sizes, "token").withColumn("block", block)

@@ -307,6 +307,7 @@ def brute_components(rows):
 @pytest.mark.parametrize("spread", [4096, 3])  # the second deals meetings out in blocks
 def test_jaccard_join(docs, monkeypatch, spread):
     monkeypatch.setattr(jaccard_join, "SPREAD", spread)
+    monkeypatch.setattr(jaccard_join, "PAIRED", spread)
     got = jaccard_join.near_duplicates(docs).collect()
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == brute_components(DOCS)
 

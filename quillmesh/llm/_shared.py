@@ -19,11 +19,13 @@ NULL_ID = -(1 << 63)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, one machine) is a temporary
-    folder made, and remembered in the session.
+    Only where a session on one machine names none (tests) is a temporary folder
+    made, and remembered in the session.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.quillmesh.shared.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="quillmesh-")
         spark.conf.set("spark.quillmesh.shared.dir", at)
     return at.rstrip("/")
@@ -100,9 +102,9 @@ def emit(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int, at_most: int | None = None) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
     """Regroup a stream that is sorted by ``keys`` into tables of about ``rows``
-    rows that never cut a group, unless it alone has more than ``at_most``."""
+    rows that never cut a group."""
     held: list[pa.RecordBatch] = []
     n = 0
     for b in batches:
@@ -123,8 +125,5 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int,
             if lo:
                 yield t.slice(0, lo)
                 held, n = t.slice(lo).to_batches(), n - lo
-            elif at_most and n >= at_most:
-                yield t
-                held, n = [], 0
     if n:
         yield pa.Table.from_batches(held)

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from quillmesh.llm._shared import arrow_schema, emit, stage, whole_groups
 
 BLOCK = 8192  #: candidates of one block of sorted lists
-SHARD = 32768  #: candidates of one vantage-point tree
+SHARD = 8192  #: candidates of one vantage-point tree
 QUERIES = 4096  #: queries that meet a block together
+ASKED = 1024  #: queries that meet a tree together
 FACTORS = (24, 16, 12, 9, 7.5, 6.5, 5.5, 4.5, 3.5, 2.5, 1.75, 1.25, 1.0)  #: relaxations that a tree tries, the boldest first
 PROBES = 96  #: points of a shard, at most, by which its relaxation is chosen
 DEPTHS = (0.5, 0.65, 0.75, 0.82, 0.88, 0.94)  #: shares of every list after which the bounds are held against each other
@@ -267,13 +268,24 @@ class VantagePointTree:
         """Choose ``relax``: the boldest of FACTORS that finds ``recall`` of the k
         best of points of the tree, spread evenly over it."""
         at = self.perm[np.unique(np.linspace(0, max(len(self.perm) - 1, 0), PROBES).astype(np.int64))] if len(self.perm) else self.perm
+        if not len(at):
+            return
         ids, Q = self.ids[self.head[at]], self.X[at]
-        exact = [np.sort(score[np.searchsorted(row, i) : np.searchsorted(row, i + 1)]) for row, _, score in [self.search(ids, Q, k, 1.0)] for i in range(len(at))]
-        for self.relax in FACTORS:
-            row, _, score = self.search(ids, Q, k, self.relax)
-            found = sum(int((score[row == i] >= want[0] - 1e-9).sum()) for i, want in enumerate(exact) if len(want))
-            if found >= recall * sum(map(len, exact)):
-                break
+        scores = Q @ self.X.T
+        scores[np.arange(len(at)), at] = np.where(np.diff(self.head)[at] > 1, scores[np.arange(len(at)), at], -np.inf)
+        kth = np.sort(scores, axis=1)[:, -min(k, scores.shape[1])]
+        wanted = np.minimum(np.isfinite(scores).sum(axis=1), k)
+
+        def enough(factor: float) -> bool:
+            row, _, score = self.search(ids, Q, k, factor)
+            hits = np.bincount(row, weights=score >= kth[row] - 1e-9, minlength=len(at))
+            return np.minimum(hits, wanted).sum() >= recall * wanted.sum()
+
+        lo, hi = 0, len(FACTORS) - 1  # bolder factors come first and find less
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if enough(FACTORS[mid]) else (mid + 1, hi)
+        self.relax = FACTORS[lo]
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -366,7 +378,7 @@ def nearest(vectors: DataFrame, k: int = 20, relax: float | None = None, recall:
     that it finds ``recall`` of the neighbours of a sample of its points."""
     held = stage(usable(vectors, id_col, vector_col).filter(F.exists("v", lambda x: x != 0)), "vectors")
     asked = held.filter(query_filter) if query_filter is not None else held
-    shards, parts = max(1, -(-held.count() // SHARD)), max(1, -(-asked.count() // QUERIES))
+    shards, parts = max(1, -(-held.count() // SHARD)), max(1, -(-asked.count() // ASKED))
     _, tree_out = arrow_schema("shard int, tree binary")
     _, out = arrow_schema("query_id long, vec_id long, score double")
 

@@ -58,7 +58,7 @@ ORDERS = (0x1B873593CC9E2D51, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 BLOCK = 1 << 20  #: bytes whose shingles are hashed at once
 BATCH = 16 << 20  #: bytes of an Arrow batch, so that several tasks fit beside each other
 SPREAD = 128  #: classes of one meeting that are tried with leaders in one piece
-PAIRED = 1024  #: classes of one meeting that are paired in one piece in the last round
+PAIRED = 256  #: classes of one meeting that are paired in one piece in the last round
 SALTS = 256  #: ways in which the rows of one set are dealt
 HOT = 1 << 16  #: estimated classes beyond which a token's meeting is dealt out before it is looked at
 

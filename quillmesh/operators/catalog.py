@@ -187,3 +187,33 @@ def long_scores(rows: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
     """Wide scores as (key, name, value), missing ones left out."""
     pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names))
     return rows.select(key, F.explode(pairs).alias("s")).select(key, "s.name", "s.value").filter("value is not null")
+
+
+def follow(chunks: DataFrame, documents: DataFrame, key: str, category: str, was: str) -> DataFrame:
+    """Chunks take their document's category; ``moved`` tells which had another."""
+    return chunks.join(documents.select(key, category), key).withColumn("moved", ~F.col(category).eqNullSafe(F.col(was)))
+
+
+def delete_with_children(children: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Children of deleted parents go with them; those without a parent stay."""
+    return children.join(gone.select(key), key, "left_anti")
+
+
+def set_null(children: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Children of deleted parents stay and point nowhere."""
+    marked = children.join(gone.select(key, F.lit(True).alias("_gone")).distinct(), key, "left")
+    return marked.withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).drop("_gone")
+
+
+def touched(uses: DataFrame, session: str, ts: str, hours: int) -> DataFrame:
+    """(session, used_at, expires_at): each use pushes a session's end out."""
+    used = uses.groupBy(session).agg(F.max(ts).alias("used_at"))
+    return used.withColumn("expires_at", F.col("used_at") + F.make_dt_interval(hours=F.lit(hours)))
+
+
+def named_deletion(documents: DataFrame, targets: DataFrame, source: str, name: str) -> DataFrame:
+    """(name, matches, status) of deletions by file name: a path ends in / and the
+    name, or is the name; a name that several share deletes nothing."""
+    named = documents.select(F.substring_index(source, "/", -1).alias(name)).groupBy(name).agg(F.count("*").alias("matches"))
+    j = targets.select(name).distinct().join(named, name, "left").withColumn("matches", F.coalesce("matches", F.lit(0).cast("long")))
+    return j.withColumn("status", F.when(F.col("matches") == 0, "none").when(F.col("matches") == 1, "deleted").otherwise("ambiguous"))

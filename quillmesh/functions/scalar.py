@@ -176,3 +176,35 @@ def short_label(text: Column, size: int = 90) -> Column:
     head = F.trim(F.regexp_extract(text, r"^([^(\[]*)", 1))
     cut = F.regexp_extract(F.left(head, F.lit(size)), r"^(.*)\s", 1)
     return F.when(F.length(head) <= size, head).otherwise(F.concat(cut, F.lit("…")))
+
+
+def cell_format(value: Column, kind: str) -> Column:
+    """A cell as text: TRUE and FALSE, midnight as a date alone, whole numbers without a point."""
+    if kind == "boolean":
+        return F.upper(value.cast("string"))
+    if kind == "timestamp":
+        return F.when(F.date_trunc("day", value) == value, F.date_format(value, "yyyy-MM-dd")).otherwise(F.date_format(value, "yyyy-MM-dd HH:mm"))
+    if kind == "double":
+        return F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(value.cast("string"))
+    return value.cast("string")
+
+
+def path_named(path: Column, name: str) -> Column:
+    """A path has a file name when it is the name or ends in / and the name."""
+    return (path == name) | path.endswith("/" + name)
+
+
+def mask_words(text: Column, *words: str, mask: str = "•••") -> Column:
+    return F.regexp_replace(text, r"\b(" + "|".join(map(re.escape, words)) + r")\b", mask)
+
+
+def key_agrees(key: Column, category: Column, id_: Column) -> Column:
+    """Whether "CATEGORY:id", or the id alone, names this row."""
+    digits = F.substring_index(key, ":", -1) == id_.cast("string")
+    return digits & (~key.contains(":") | (F.regexp_replace(key, r":[^:]*$", "") == category))
+
+
+def keys_that_differ(a: Column, b: Column, *keys: str) -> Column:
+    """Those of the keys whose values differ in two maps; an absent one is empty."""
+    of = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(""))
+    return F.filter(F.array(*map(F.lit, keys)), lambda k: of(a, k) != of(b, k))

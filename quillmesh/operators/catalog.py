@@ -217,3 +217,16 @@ def named_deletion(documents: DataFrame, targets: DataFrame, source: str, name:
     named = documents.select(F.substring_index(source, "/", -1).alias(name)).groupBy(name).agg(F.count("*").alias("matches"))
     j = targets.select(name).distinct().join(named, name, "left").withColumn("matches", F.coalesce("matches", F.lit(0).cast("long")))
     return j.withColumn("status", F.when(F.col("matches") == 0, "none").when(F.col("matches") == 1, "deleted").otherwise("ambiguous"))
+
+
+def declare(text: Column, category: Column) -> Column:
+    """Front matter with this category: its line is rewritten, or added at the
+    end of the block, or a block is put in front; twice is as good as once."""
+    block = r"(?s)\A---\n(.*?\n)---\n"
+    line = F.concat(F.lit("category: "), category, F.lit("\n"))
+    head = F.regexp_extract(text, block, 1)
+    rest = F.regexp_replace(text, block, "")
+    declared = F.regexp_replace(head, F.lit(r"(?im)^category:[^\n]*\n"), line)
+    return F.when(~text.rlike(block), F.concat(F.lit("---\n"), line, F.lit("---\n"), text)).otherwise(
+        F.concat(F.lit("---\n"), F.when(head.rlike(r"(?im)^category:"), declared).otherwise(F.concat(head, line)), F.lit("---\n"), rest)
+    )

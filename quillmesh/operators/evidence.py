@@ -132,3 +132,8 @@ def trace_status(checks: DataFrame, by: list[str], passed: str) -> DataFrame:
 
 def least_confidence(claims: DataFrame, by: list[str], score: str, load_bearing: Column) -> DataFrame:
     return claims.groupBy(*by).agg(F.round(F.min(F.when(load_bearing, F.col(score))), 4).alias("confidence"))
+
+
+def unseen(rows: DataFrame, known: DataFrame, digest: str, id_col: str) -> DataFrame:
+    """(digest, id, copies) of contents that are not known yet, each once."""
+    return rows.groupBy(digest).agg(F.min(id_col).alias(id_col), F.count("*").alias("copies")).join(known.select(digest), digest, "left_anti")

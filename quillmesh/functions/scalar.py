@@ -195,7 +195,8 @@ def path_named(path: Column, name: str) -> Column:
 
 
 def mask_words(text: Column, *words: str, mask: str = "•••") -> Column:
-    return F.regexp_replace(text, r"\b(" + "|".join(map(re.escape, words)) + r")\b", mask)
+    """Whole words, of letters of any script, replaced by a mask."""
+    return F.regexp_replace(text, r"(?<![\p{L}\p{N}_])(?:" + "|".join(map(re.escape, words)) + r")(?![\p{L}\p{N}_])", mask)
 
 
 def key_agrees(key: Column, category: Column, id_: Column) -> Column:

@@ -157,9 +157,9 @@ def graph_properties(spark, d):
     return extraction.property_rows(g.nodes(spark, d), "id", ["type", "label", "category"])
 
 
-@BOOK.add("graph_picture", f"{g._G}, k AS (SELECT id FROM n WHERE type <> 'stream' ORDER BY CASE WHEN type = 'system' THEN 0 ELSE 1 END, id LIMIT 80) SELECT source, target, relation FROM e WHERE source IN (FROM k) AND target IN (FROM k) ORDER BY mentions DESC, source, target, relation LIMIT 160")
+@BOOK.add("graph_picture", f"{g._G}, k AS (SELECT id FROM n WHERE type <> 'stream' ORDER BY CASE type WHEN 'process' THEN 0 WHEN 'system' THEN 1 ELSE 2 END, id LIMIT 80) SELECT source, target, relation FROM e WHERE source IN (FROM k) AND target IN (FROM k) ORDER BY mentions DESC, source, target, relation LIMIT 160")
 def graph_picture(spark, d):
-    ranked = g.nodes(spark, d).filter("type <> 'stream'").withColumn("rank", F.when(F.col("type") == "system", 0).otherwise(1))
+    ranked = g.nodes(spark, d).filter("type <> 'stream'").withColumn("rank", F.when(F.col("type") == "process", 0).when(F.col("type") == "system", 1).otherwise(2))
     return extraction.induced(g.edges(spark, d), ranked).select("source", "target", "relation")
 
 

@@ -28,10 +28,10 @@ def cell_formats(spark, d):
     )
 
 
-@BOOK.add("named_pages", r"SELECT page_id FROM pages WHERE split_part(url, '?', 1) LIKE '%/1' OR url = '1' OR split_part(url, '?', 1) LIKE '%/index.html'")
+@BOOK.add("named_pages", r"SELECT page_id FROM pages WHERE split_part(url, '?', 1) LIKE '%/825' OR url = '825' OR split_part(url, '?', 1) LIKE '%/index.html'")
 def named_pages(spark, d):
     path = F.substring_index("url", "?", 1)
-    return load(spark, d, "pages").filter(scalar.path_named(path, "1") | scalar.path_named(path, "index.html")).select("page_id")
+    return load(spark, d, "pages").filter(scalar.path_named(path, "825") | scalar.path_named(path, "index.html")).select("page_id")
 
 
 @BOOK.add("codes_under", "SELECT p_partkey FROM (SELECT p_partkey, p_type, (p_size % 7)::VARCHAR || '.' || p_size AS code FROM part) WHERE (code = '3' OR code LIKE '3.%') AND lower(p_type) = lower('Economy')")
@@ -40,10 +40,13 @@ def codes_under(spark, d):
     return load(spark, d, "part").filter(scalar.under(code, "3") & (F.lower("p_type") == F.lower(F.lit("Economy")))).select("p_partkey")
 
 
-@BOOK.add("held_out_documents", r"SELECT doc_id, md5(regexp_replace(text, '\b(the|und|le)\b', '•••', 'g')) AS masked FROM documents WHERE source IS NULL OR NOT (lower(source) LIKE 'src1%' OR lower(source) LIKE 'src_')")
+_WORD = r"(^|[^\p{L}\p{N}_])(?:the|und|le)($|[^\p{L}\p{N}_])"
+
+
+@BOOK.add("held_out_documents", rf"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{_WORD}', '\1•••\2', 'g'), '{_WORD}', '\1•••\2', 'g')) AS masked FROM documents WHERE source IS NULL OR NOT lower(source) LIKE 'src1%'")
 def held_out_documents(spark, d):
     """Documents of held-out sources are left out, telling words of the others are masked."""
-    docs = load(spark, d, "documents").filter(~F.coalesce(scalar.glob_like(F.col("source"), "SRC1*", "src?"), F.lit(False)))
+    docs = load(spark, d, "documents").filter(~F.coalesce(scalar.glob_like(F.col("source"), "SRC1*"), F.lit(False)))
     return docs.select("doc_id", F.md5(scalar.mask_words(F.col("text"), "the", "und", "le")).alias("masked"))
 
 

@@ -113,3 +113,23 @@ def test_named_deletion_stops_at_shared_names(spark):
     targets = spark.createDataFrame([("x.md",), ("y.md",), ("q.md",)], "name string")
     got = {(r.name, r.matches, r.status) for r in catalog.named_deletion(docs, targets, "source", "name").collect()}
     assert got == {("x.md", 2, "ambiguous"), ("y.md", 1, "deleted"), ("q.md", 0, "none")}
+
+
+def test_declaring_a_category_twice_is_as_good_as_once(spark):
+    texts = ["body", "---\ntitle: x\n---\nbody\ncategory: no", "---\nCategory: OLD\ntitle: x\n---\nbody", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    once = catalog.declare(F.col("t"), F.lit("NEW"))
+    rows = df.select(once.alias("a"), catalog.declare(once, F.lit("NEW")).alias("b")).collect()
+    assert [r.a for r in rows] == ["---\ncategory: NEW\n---\nbody", "---\ntitle: x\ncategory: NEW\n---\nbody\ncategory: no", "---\ncategory: NEW\ntitle: x\n---\nbody", None]
+    assert [r.a for r in rows] == [r.b for r in rows]
+
+
+def test_cells_keys_and_masks(spark):
+    from quillmesh.functions import scalar
+
+    r = spark.range(1).select(
+        scalar.cell_format(F.lit(True), "boolean").alias("a"), scalar.cell_format(F.lit(3.0), "double").alias("b"), scalar.cell_format(F.lit(3.25), "double").alias("c"),
+        scalar.cell_format(F.lit(None).cast("double"), "double").alias("d"), scalar.mask_words(F.lit("le été le les le"), "le").alias("e"),
+        scalar.key_agrees(F.lit("A:B:7"), F.lit("A:B"), F.lit(7)).alias("f"), scalar.key_agrees(F.lit("C:7"), F.lit("A"), F.lit(7)).alias("g"), scalar.key_agrees(F.lit("7"), F.lit("A"), F.lit(7)).alias("h"),
+    ).first()
+    assert tuple(r) == ("TRUE", "3", "3.25", None, "••• été ••• les •••", True, False, True)

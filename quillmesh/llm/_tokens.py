@@ -50,6 +50,7 @@ class BytePairEncoder:
         ranks = {bytes(of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
         self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.unlike = re.compile("|".join([r"[^\S \n]", r"\s{1000}", *(re.escape(x) for x in sorted(special))]))
+        self.largest = max([*spec["model"]["vocab"].values(), *special.values()])
         sample = "It's a token = \"0af3\", déjà  vu;\n\n 12½ Äpfel!? <x> ß "
         if self.fast.encode(sample, disallowed_special=()) != self.encoder.encode(sample, add_special_tokens=False).ids:
             raise ValueError(f"{path} is not a byte-level vocabulary whose ids follow its merges")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm._shared import table
 from quillmesh.llm._tokens import default_vocabulary
-from quillmesh.llm import toxicity
+from quillmesh.llm import token_files, toxicity
 from quillmesh.llm.html_extract import extract
 from quillmesh.llm.jaccard_join import near_duplicates
 from quillmesh.llm.mixing import mix_sources
@@ -79,6 +79,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's ids, read back from token files."""
+    return token_files.write(table(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.json"), end_id=2).documents()
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_topk": op2_exact_topk,
@@ -90,6 +95,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_token_files": op11_token_files,
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"

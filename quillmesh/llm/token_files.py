@@ -61,7 +61,7 @@ CHUNK = 4 << 20  #: bytes of frames that are read at once
 HEAD, TAIL = "<8sI32s", "<QQ8s"  #: magic, bytes of an id, digest; documents, place of the index, magic
 FRAMES = "doc_id long, mark long, deal long, n_tokens long, size long, frame binary"
 INDEX = "part int, file string, slot long, doc_id long, at long, size long, n_tokens long"
-READ = "doc_id long, file string, slot long, within long, n_tokens long, ids_crc32 long, ids binary"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
 _ENCODERS: dict[str, BytePairEncoder] = {}
 
 
@@ -201,9 +201,9 @@ class Reader:
             lo = hi
 
 
-def _rows(out: pa.Schema, file: str, slots: list[int], reader: Reader, starts: np.ndarray, ids: list[bytes], with_ids: bool) -> pa.RecordBatch:
+def _rows(out: pa.Schema, slots: list[int], reader: Reader, starts: np.ndarray, ids: list[bytes], with_ids: bool) -> pa.RecordBatch:
     docs = [None if d == -(1 << 63) else d for d in reader.ids[slots].tolist()]
-    columns = {"doc_id": pa.array(docs, pa.int64()), "file": pa.array([file] * len(ids)), "slot": np.asarray(slots, np.int64), "within": starts[slots], "n_tokens": np.array([len(x) // 4 for x in ids], np.int64), "ids_crc32": np.array([zlib.crc32(x) for x in ids], np.int64)}
+    columns = {"doc_id": pa.array(docs, pa.int64()), "start": starts[slots], "n_tokens": np.array([len(x) // 4 for x in ids], np.int64), "ids_crc32": np.array([zlib.crc32(x) for x in ids], np.int64)}
     return emit(out, columns | {"ids": pa.array(ids if with_ids else [None] * len(ids), pa.binary())})
 
 
@@ -235,15 +235,15 @@ class TokenFiles:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, at = _open(f"{root}/files")
             for b in batches:
-                for file in b.column("file").to_pylist():
+                for file, first in zip(b.column("file").to_pylist(), b.column("first").to_pylist(), strict=True):
                     reader = Reader(fs, f"{at}/{file}", shared.value)
-                    starts = np.cumsum(reader.counts) - reader.counts
+                    starts = first + np.cumsum(reader.counts) - reader.counts
                     for lo, ids in reader.runs():
-                        yield _rows(out, file, list(range(lo, lo + len(ids))), reader, starts, ids, with_ids)
+                        yield _rows(out, list(range(lo, lo + len(ids))), reader, starts, ids, with_ids)
 
-        files = stage(self.files(), "files")
-        read = files.select("file").repartition(max(1, files.count()), "file").mapInArrow(run, READ)
-        return self._told(read.join(files.select("file", "first"), "file"), with_ids)
+        files = stage(self.files(), "files").select("file", "first")
+        read = files.repartition(max(1, files.count()), "file").mapInArrow(run, READ)
+        return read if with_ids else read.drop("ids")
 
     def fetch(self, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
         """The same of the documents whose ids ``wanted`` holds; only their ranges,
@@ -254,20 +254,15 @@ class TokenFiles:
             fs, at = _open(f"{root}/files")
             held, reader, starts = None, None, None
             for b in batches:
-                for file, slot in zip(b.column("file").to_pylist(), b.column("slot").to_pylist(), strict=True):
+                for file, first, slot in zip(*(b.column(c).to_pylist() for c in ("file", "first", "slot")), strict=True):
                     if file != held:  # rows come file by file
                         held, reader = file, Reader(fs, f"{at}/{file}", shared.value)
-                        starts = np.cumsum(reader.counts) - reader.counts
-                    yield _rows(out, file, [slot], reader, starts, [reader.one(slot)], True)
+                        starts = first + np.cumsum(reader.counts) - reader.counts
+                    yield _rows(out, [slot], reader, starts, [reader.one(slot)], True)
 
         ids = wanted.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-        found = self.index().join(ids, "doc_id", "left_semi").select("file", "slot")
-        read = found.repartition("file").sortWithinPartitions("file", "slot").mapInArrow(run, READ)
-        return self._told(read.join(self.files().select("file", "first"), "file"), True)
-
-    def _told(self, read: DataFrame, with_ids: bool) -> DataFrame:
-        start = (F.col("first") + F.col("within")).alias("start")
-        return read.select("doc_id", start, "n_tokens", "ids_crc32", *["ids"] * with_ids)
+        found = self.index().join(ids, "doc_id", "left_semi").join(self.files().select("file", "first"), "file").select("file", "first", "slot")
+        return found.repartition("file").sortWithinPartitions("file", "slot").mapInArrow(run, READ)
 
 
 def write(docs: DataFrame, vocabulary: str, root: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE) -> TokenFiles:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quillmesh.llm._shared import table
 from quillmesh.llm._tokens import default_vocabulary
 from quillmesh.llm import token_files, toxicity
+from quillmesh.llm.divergence import audit
 from quillmesh.llm.html_extract import extract
 from quillmesh.llm.jaccard_join import near_duplicates
+from quillmesh.llm.lexical_search import search
 from quillmesh.llm.mixing import mix_sources
 from quillmesh.llm.packing import pack
 from quillmesh.llm.secret_scan import secret_spans
@@ -84,6 +86,16 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write(table(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.json"), end_id=2).documents()
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest-scoring of all documents for every benchmark item."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's words are from those of its language's other sources, and its 50 most typical terms."""
+    return audit(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_topk": op2_exact_topk,
@@ -96,8 +108,11 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
     "op11_token_files": op11_token_files,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_source_divergence": op13_source_divergence,
 }
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL: dict[str, str] = {
@@ -134,4 +149,32 @@ ORACLE_SQL: dict[str, str] = {
               FROM d JOIN q USING (source))
         SELECT doc_id, size, ssize AS source_size, target,
                (size * least(3, whole + CASE WHEN upto - size < rest AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
+    "op12_lexical_search": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        g AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_all FROM d WHERE len(w) > 0),
+        t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+        f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, g GROUP BY term, n_docs),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+        s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_all))))::BIGINT AS score
+              FROM q JOIN f USING (term) JOIN t USING (term), g GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
+    "op13_source_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        u AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+        k AS (SELECT lang, term FROM u GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+        v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM u JOIN k USING (lang, term) GROUP BY ALL),
+        t AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (SELECT t.lang, t.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p
+              FROM t JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+        l AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * any_value(v)) AS q FROM p JOIN v USING (lang) GROUP BY lang, term),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, (SELECT coalesce(sum(abs(x.p - y.p)), 0) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term
+                         WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+        r AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+              UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+        SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 50""",
 }

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.scalar import expand_codes, terms
+from quillmesh.functions.stemming import lexicon
 from quillmesh.functions.vectors import dot, norm
+from quillmesh.operators.graph import settled
 
 K1, B, RRF, DEPTH = 1.2, 0.75, 60, 40
 MODES = ("hybrid", "vector", "keyword")
@@ -39,6 +41,31 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
     return each.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf")).select(*keys, "term", "tf", "dl")
 
 
+def lexeme_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, term, tf, dl) of English lexemes: stop words are dropped and words of one
+    stem are one term; dl is the number of distinct lexemes. Texts of stop words
+    alone have no row. Terms are counted per document before they meet their
+    lexemes, and only distinct terms are stemmed."""
+    posts = settled(postings(docs, id_col, text_col).drop("dl"), "postings")
+    known = settled(lexicon(posts), "lexicon").filter("lexeme is not null")
+    # dealt by document once: the sums and the number of lexemes need no further shuffle
+    met = posts.join(known, "term").repartition(id_col).groupBy(id_col, F.col("lexeme").alias("term")).agg(F.sum("tf").alias("tf"))
+    return met.withColumn("dl", F.count("*").over(Window.partitionBy(id_col)))
+
+
+def lexeme_stats(posts: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """N and the average number of distinct lexemes over all documents with a text."""
+    sums = posts.groupBy(id_col).agg(F.first("dl").alias("dl")).agg(F.sum("dl").alias("_all"))
+    n = docs.agg(F.count(text_col).alias("n_docs"))
+    return n.crossJoin(sums).select("n_docs", F.try_divide(F.coalesce("_all", F.lit(0)).cast("double"), F.col("n_docs").cast("double")).alias("avg_dl"))  # one row each
+
+
+def lexeme_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
+    """(query_id, term): the distinct lexemes of each question."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col(text_col)))).alias("term"))
+    return asked.join(lexicon(asked).filter("lexeme is not null"), "term").select("query_id", F.col("lexeme").alias("term")).distinct()
+
+
 def store_postings(docs: DataFrame, path: str, **options) -> DataFrame:
     """Postings written once and sorted by term, so that a question reads the row
     groups of its own terms."""

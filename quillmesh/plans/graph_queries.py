@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmesh.functions import tables
 from quillmesh.operators import graph
 from quillmesh.plans.book import Book
 from quillmesh.sources.tables import load
@@ -469,3 +470,28 @@ def cy_q25(spark, d):
 @BOOK.add("cy_q26", f"{_G} SELECT relation AS relationship, count(*) AS relationships FROM e GROUP BY 1")
 def cy_q26(spark, d):
     return edges(spark, d).groupBy(F.col("relation").alias("relationship")).agg(F.count("*").alias("relationships"))
+
+
+@BOOK.add(
+    "tool_neighbours",
+    f"""{_G}, x AS (SELECT source AS node, target AS neighbour, relation FROM e UNION ALL SELECT target, source, relation FROM e),
+    r AS (SELECT node, neighbour, relation, row_number() OVER (PARTITION BY node ORDER BY neighbour, relation)::INTEGER AS place, count(*) OVER (PARTITION BY node) AS links FROM x)
+    SELECT node, neighbour, relation, place, links FROM r WHERE place <= 5""",
+)
+def tool_neighbours(spark, d):
+    """The table function of SQL: five neighbours of every node, and how many it has."""
+    tables.register(spark)
+    e = edges(spark, d)
+    links = e.select(F.col("source").alias("node"), F.col("target").alias("neighbour"), "relation").unionByName(e.select(F.col("target").alias("node"), F.col("source").alias("neighbour"), "relation"))
+    return spark.sql("SELECT * FROM graph_neighbours(TABLE(SELECT * FROM {links}) PARTITION BY (node), most => 5)", links=links)
+
+
+@BOOK.add(
+    "tool_top_rows",
+    "SELECT * FROM (SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC)::INTEGER AS place FROM part) WHERE place <= 3",
+)
+def tool_top_rows(spark, d):
+    """A table function that takes any table: the three newest parts of each brand."""
+    tables.register(spark)
+    parts = load(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice")
+    return spark.sql("SELECT * FROM top_rows(TABLE(SELECT * FROM {parts}), by => 'p_brand', first => 'p_partkey', n => 3)", parts=parts)

@@ -69,6 +69,36 @@ def ret_bm25_top40(spark, d):
     return _bm25(spark, d)
 
 
+def _lexeme_bm25(spark, d, asked: DataFrame) -> DataFrame:
+    docs = load(spark, d, "documents")
+    posts = graph.settled(retrieval.lexeme_postings(docs), "lexemes")
+    return retrieval.bm25(posts, retrieval.lexeme_terms(asked), retrieval.lexeme_stats(posts, docs))
+
+
+def _questions(spark, d) -> DataFrame:
+    return load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@BOOK.add("ret_bm25_stemmed")
+def ret_bm25_stemmed(spark, d):
+    """BM25 over English lexemes: stop words dropped, words by their stems."""
+    return _lexeme_bm25(spark, d, _questions(spark, d).filter("query_id % 100 = 0"))
+
+
+@BOOK.add("ret_lexeme_mrr")
+def ret_lexeme_mrr(spark, d):
+    """How high the first document that holds a passage whole comes up for it, by plain terms and by lexemes."""
+    docs, asked = load(spark, d, "documents"), graph.settled(_questions(spark, d), "questions")
+    words = asked.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    plain = retrieval.bm25(retrieval.postings(docs, only=words), words, retrieval.corpus_stats(docs))
+    out = None
+    for name, hits in (("plain", plain), ("stemmed", _lexeme_bm25(spark, d, asked))):
+        ranked = retrieval.ranks(hits, "doc_id").join(docs.select("doc_id", F.col("text").alias("held")), "doc_id").join(asked, "query_id")
+        row = retrieval.reciprocal_ranks(ranked, F.col("held").contains(F.col("text"))).select(F.lit(name).alias("terms"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 _TOP = "SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 40"
 
 

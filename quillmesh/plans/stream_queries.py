@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.operators.graph import settled
 from quillmesh.plans.book import Book
-from quillmesh.streaming import windows
+from quillmesh.streaming import timers, windows
 
 BOOK = Book()
 
@@ -68,3 +68,38 @@ def stream_redact(spark, d):
     pieces = windows.stream_of(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").cast("int").alias("seq"), F.col("text").alias("piece"), F.lit(True).alias("last"))
     with state_store(spark):
         return windows.run_to_table(redact_stream(pieces), _shared(spark))
+
+
+_MS = "(epoch_us(ts) // 1000)"
+
+
+@BOOK.add(
+    "st_expired",
+    f"""WITH a AS (SELECT user_id, {_MS} AS ms, lead({_MS}) OVER (PARTITION BY user_id ORDER BY ts) AS nx, max({_MS}) OVER () - 86400000 AS mark FROM events)
+    SELECT user_id::VARCHAR AS key, ms + 43200000 AS ended FROM a WHERE nx - ms > 43200000 OR (nx IS NULL AND ms + 43200000 <= mark)""",
+)
+def st_expired(spark, d):
+    """Sessions of users that timers ended twelve hours after their last event."""
+    from quillmesh.streaming.redactor import state_store
+
+    with state_store(spark):
+        return windows.run_to_table(timers.expiries(_events(spark, d), "user_id", "ts", 720, "1 day"), _shared(spark))
+
+
+@BOOK.add(
+    "st_stale_runs",
+    f"""WITH RECURSIVE e AS (SELECT user_id, {_MS} AS ms, (event_type = 'purchase')::INTEGER AS mark, row_number() OVER (PARTITION BY user_id ORDER BY {_MS}, event_type = 'purchase') AS k FROM events),
+    r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, NULL::BIGINT AS open, NULL::BIGINT AS started, NULL::VARCHAR AS status FROM e
+          UNION ALL SELECT r.user_id, e.k, CASE WHEN mark = 1 THEN NULL WHEN open IS NULL OR ms - open > 18000000 THEN ms ELSE open END,
+            CASE WHEN ms - open > 18000000 OR mark = 1 THEN open END, CASE WHEN ms - open > 18000000 THEN 'abandoned' WHEN mark = 1 AND open IS NOT NULL THEN 'finished' END
+          FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1),
+    z AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS last FROM r)
+    SELECT user_id::VARCHAR AS key, started, status FROM r WHERE status IS NOT NULL
+    UNION ALL SELECT user_id::VARCHAR, open, 'abandoned' FROM z WHERE last = 1 AND open + 18000000 <= (SELECT max({_MS}) - 86400000 FROM events)""",
+)
+def st_stale_runs(spark, d):
+    """Runs of users, from an event to a purchase, that finished or were abandoned after five hours."""
+    from quillmesh.streaming.redactor import state_store
+
+    with state_store(spark):
+        return windows.run_to_table(timers.run_ends(_events(spark, d), "user_id", "ts", F.col("event_type") == "purchase", 300, "1 day"), _shared(spark))

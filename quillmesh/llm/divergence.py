@@ -32,6 +32,7 @@ distances 0. Empty tables give no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -42,10 +43,10 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm._shared import emit, shared_dir, stage
 
-SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 VOCABULARY = 1 << 20  #: terms of one vocabulary, about, at most
 SOURCES = 32  #: groups of one block
 STRIP = 1024  #: terms of one strip
+HELD = 1 << 21  #: entries of sparse vectors that a task sums at once
 SALTS = 32  #: parts of a group's terms that are ranked by themselves first
 SHARE = 1_000_000_000
 PRIOR = 5
@@ -53,10 +54,19 @@ COUNTS = "lang string, source string, term_no long, term string, count long"
 APART = pa.schema([("lang_no", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("value", pa.int64())])
 
 
-def terms_of(text: Column) -> Column:
-    """Letters A-Z (lower-cased) and all that is not ASCII make terms."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_remove(F.split(low, SEPARATORS), "")
+#: Letters (A-Z lower-cased) and all that is not ASCII make terms; the rest parts them.
+FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)).lower()
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's terms, parted by blanks, how many they are and how many different ones."""
+    for b in batches:
+        for i in range(0, b.num_rows, 1000):
+            part = b.slice(i, 1000)
+            words = [t.translate(FOLD).split() for t in part.column("text").to_pylist()]
+            count = lambda sizes: pa.array(sizes, pa.int64())
+            terms = pa.array([b" ".join(w) for w in words], pa.binary()).view(pa.string())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("lang", "source", "key")), terms, count([len(w) for w in words]), count([len(set(w)) for w in words])], names=["lang", "source", "key", "terms", "n_terms", "n_pairs"])
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -68,16 +78,16 @@ def share(count: Column, total: Column, kept: Column) -> Column:
 def _counted(held: DataFrame, min_docs: int) -> DataFrame:
     """lang, source, term_no, term, count of every kept term that a group has.
 
-    ``held`` holds key, lang, source and terms, in one folder for each key.
+    ``held`` holds key, lang, source, terms and their numbers, in one folder for each key.
     """
-    each = held.groupBy("key", "lang").agg(F.count("*").alias("docs"), F.sum(F.size("terms")).alias("terms")).collect()  # a row per language
+    each = held.groupBy("key", "lang").agg(F.count("*").alias("docs"), F.sum("n_pairs").alias("pairs")).collect()  # a row per language
     done = [held.sparkSession.createDataFrame([], COUNTS)]
     for r in sorted(each):
-        if r.docs < min_docs or not r.terms:
+        if r.docs < min_docs or not r.pairs:
             continue  # no term can be in enough documents
-        mine = held.filter(F.col("key") == r.key)
+        mine = held.filter((F.col("key") == r.key) & (F.col("n_terms") > 0)).select("source", F.split("terms", " ").alias("terms"))
         parts = 1
-        if r.terms // min_docs > VOCABULARY:
+        if r.pairs // min_docs > VOCABULARY:
             often = mine.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count().filter(F.col("count") >= min_docs)
             parts = max(1, -(-often.count() // VOCABULARY))
         for part in range(parts):
@@ -86,6 +96,32 @@ def _counted(held: DataFrame, min_docs: int) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of sparse vectors by source, over ``HELD`` entries at a time."""
+
+    def sums(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        source, at, value = (t.column(c).chunk(0) for c in ("source", "at", "value"))
+        code = source.dictionary_encode()
+        row = np.repeat(code.indices.to_numpy().astype(np.int64), np.diff(at.offsets.to_numpy()))
+        key, of = np.unique(row << 32 | at.flatten().to_numpy(), return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, of, value.flatten().to_numpy().astype(np.int64))
+        return pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(key >> 32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(total)], names=["source", "at", "count"])
+
+    held, n = [], 0
+    for b in batches:
+        for i in range(0, b.num_rows, 1000):
+            part = b.slice(i, 1000)
+            held.append(part)
+            n += len(part.column("at").flatten())
+            if n >= HELD:
+                yield sums(held)
+                held, n = [], 0
+    if held:
+        yield sums(held)
+
+
 def _vectors(docs: DataFrame, lang: str, part: int, min_docs: int) -> list[DataFrame]:
     """Counts per source and term of one vocabulary: none, if no term is kept."""
     # CountVectorizer refuses an empty vocabulary, so every document gets one more
@@ -97,8 +133,8 @@ def _vectors(docs: DataFrame, lang: str, part: int, min_docs: int) -> list[DataF
         return []
     vocabulary = docs.sparkSession.createDataFrame(words, "at int, term string")
     sparse = F.unwrap_udt("vector")
-    entries = model.transform(marked).select("source", F.explode(F.arrays_zip(sparse["indices"].alias("at"), sparse["values"].alias("value"))).alias("e"))
-    sums = entries.groupBy("source", F.col("e.at").alias("at")).agg(F.sum(F.col("e.value").cast("long")).alias("count"))
+    entries = model.transform(marked).select("source", sparse["indices"].alias("at"), sparse["values"].alias("value"))
+    sums = entries.mapInArrow(_summed, "source string, at int, count long").groupBy("source", "at").agg(F.sum("count").alias("count"))
     number = (F.lit(part << 32).cast("long") + F.col("at")).alias("term_no")
     return [stage(sums.join(vocabulary, "at").select(F.lit(lang).alias("lang"), "source", number, "term", "count"), "counts")]
 
@@ -155,9 +191,10 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50, text_col: str = "t
     groups = stage(base.groupBy("lang", "source").agg(F.count("*").alias("docs")), "groups")
     # with one folder for each language, a pass over a language reads no other
     path = f"{shared_dir(spark)}/terms-{uuid.uuid4().hex}"
-    tokens = base.select("lang", "source", terms_of(F.col("text")).alias("terms"), F.sha1("lang").alias("key"))
+    read = base.select("lang", "source", F.sha1("lang").alias("key"), F.col("text").cast("binary").alias("text"))
+    tokens = read.mapInArrow(_read, "lang string, source string, key string, terms string, n_terms long, n_pairs long")
     tokens.write.option("compression", "zstd").partitionBy("key").parquet(path)
-    counted = _counted(spark.read.schema("lang string, source string, terms array<string>, key string").parquet(path), min_docs)
+    counted = _counted(spark.read.schema("lang string, source string, terms string, n_terms long, n_pairs long, key string").parquet(path), min_docs)
 
     terms = stage(counted.groupBy("lang", "term_no", "term").agg(F.sum("count").alias("all")), "kept")
     langs = groups.select("lang").distinct().withColumn("lang_no", F.row_number().over(Window.orderBy("lang")))  # a row per language

@@ -313,7 +313,9 @@ class VantagePointTree:
         own = np.full(len(Q), -1)  # a point that is the query's own row alone
         for i, j in zip(*self._own(query_ids), strict=True):
             own[i] = j
-        dist, near = np.full((len(Q), k), np.inf), np.full((len(Q), k), -1)
+        # the k nearest so far and all that are as near as the k-th, up to rounding: ids choose among them in the end
+        dist, near, kth = np.full((len(Q), k), np.inf), np.full((len(Q), k), -1), np.full(len(Q), np.inf)
+        slack = 1e-12 * (q2 + x2.max(initial=0))
         seen = 0
 
         def distances(who: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -322,6 +324,7 @@ class VantagePointTree:
             return np.sqrt(np.maximum(q2[who][:, None] + x2[at][None, :] - 2 * (q[who] @ X[at].T), 0))
 
         def walk(lo: int, hi: int, who: np.ndarray, widest: np.ndarray, squares: np.ndarray) -> None:
+            nonlocal dist, near
             if not len(who):
                 return
             node = self.nodes.get((lo, hi))
@@ -331,8 +334,16 @@ class VantagePointTree:
                 d[at[None, :] == own[who][:, None]] = np.inf
                 d = np.concatenate([dist[who], d], axis=1)
                 i = np.concatenate([near[who], np.broadcast_to(at, (len(who), len(at)))], axis=1)
-                pick = np.argpartition(d, k - 1, axis=1)[:, :k]
-                dist[who], near[who] = np.take_along_axis(d, pick, 1), np.take_along_axis(i, pick, 1)
+                kth[who] = np.partition(d, k - 1, axis=1)[:, k - 1]
+                ties = int(((d * d <= (kth[who] ** 2 + slack[who])[:, None]) & np.isfinite(d)).sum(axis=1).max())
+                if ties > dist.shape[1]:
+                    more = ((0, 0), (0, ties - dist.shape[1]))
+                    dist, near = np.pad(dist, more, constant_values=np.inf), np.pad(near, more, constant_values=-1)
+                room = dist.shape[1]
+                if d.shape[1] > room:
+                    pick = np.argpartition(d, room - 1, axis=1)[:, :room]
+                    d, i = np.take_along_axis(d, pick, 1), np.take_along_axis(i, pick, 1)
+                dist[who, : d.shape[1]], near[who, : d.shape[1]] = d, i
                 return
             v, *ends = node
             d = distances(who, np.array([v]))[:, 0]
@@ -343,7 +354,7 @@ class VantagePointTree:
                 for side, (x, y) in enumerate(((lo, mid), (mid, hi))):
                     mine = np.flatnonzero(first == ((side == 0) == turn))
                     w, s = np.maximum(widest[mine], gap[side][mine]), squares[mine] + gap[side][mine] ** 2
-                    go = w + (relax - 1) * np.sqrt(s) <= dist[who[mine]].max(axis=1) + 1e-9
+                    go = w + (relax - 1) * np.sqrt(s) <= kth[who[mine]] + 1e-9
                     walk(x, y, who[mine[go]], w[go], s[go])
 
         if len(X):

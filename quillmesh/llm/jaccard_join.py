@@ -188,13 +188,13 @@ def _frequencies(shingle: int, slots: int):
                 new = _unseen(h, c, seen)  # copies of a set count once in a task
                 np.add.at(counts, _slot(h[np.repeat(new, c)], slots), 1)
         for i in range(0, slots, piece):
-            yield emit(out, {"piece": [i // piece], "counts": [np.minimum(counts[i : i + piece], 65535).astype("<u2").tobytes()]})
+            yield emit(out, {"piece": [i // piece], "counts": [np.minimum(counts[i : i + piece], (1 << 32) - 1).astype("<u4").tobytes()]})
 
     def add(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(pieces, ["piece"], 1):
             sums: dict[int, np.ndarray] = {}
             for p, raw in zip(t.column("piece").to_pylist(), t.column("counts").to_pylist(), strict=True):
-                x = np.frombuffer(raw, "<u2").astype(np.int64)
+                x = np.frombuffer(raw, "<u4").astype(np.int64)
                 sums[p] = sums[p] + x if p in sums else x
             for p, x in sums.items():
                 level = np.round(4 * np.log2(1 + x)).astype(np.uint8)
@@ -331,23 +331,26 @@ def _partners(percent: int, some: int = 200_000):
 
 def _meetings(percent: int, leaders: int | None):
     """Pairs of each meeting whose components differ: with the ``leaders`` most
-    central classes, or all."""
+    central classes, or all. Two ``guest`` rows of a piece are not paired there."""
     _, out = arrow_schema(PAIRS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["token", "salt"], 50_000):
             token, salt, doc, n, at, comp = (t.column(c).to_numpy().astype(np.int64) for c in ("token", "salt", "doc", "n", "at", "comp"))
-            o = np.lexsort((doc, at, salt, token))
-            token, salt, doc, n, at, comp = (x[o] for x in (token, salt, doc, n, at, comp))
+            guest = t.column("guest").to_numpy(zero_copy_only=False).astype(np.int64)
+            o = np.lexsort((doc, at, guest, salt, token))
+            token, salt, doc, n, at, comp, guest = (x[o] for x in (token, salt, doc, n, at, comp, guest))
             head = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
             size = np.diff(np.r_[head, len(token)])
+            own = size - np.add.reduceat(guest, head) if len(head) else size
             done: list[np.ndarray] = []
             held = lead = 0
             while True:
-                x_all = head[size > lead + 1]
+                on = (size > lead + 1) & (own > lead)
+                x_all = head[on]
                 if not len(x_all) or (leaders is not None and lead >= leaders):
                     break
-                left = size[size > lead + 1] - lead - 1
+                left = size[on] - lead - 1
                 for part in np.array_split(np.arange(len(x_all)), 1 + int(left.sum()) // 250_000):
                     y = ranges(x_all[part] + lead + 1, left[part])
                     x = np.repeat(x_all[part] + lead, left[part])
@@ -470,11 +473,18 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, id_col: str, t
         # blocks are drawn anew in each round, so that components of one round's blocks meet in the next
         block = F.pmod(F.xxhash64("doc", F.lit(turn)), F.col("blocks")).cast("int")
         rows = rows.join(sizes, "token").withColumn("block", block)
-        if leaders is None:  # every pair of blocks of a large meeting
-            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("salt", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).cast("long"))
+        if leaders is None:
+            # classes of a meeting's main component need no pairs among themselves: they stay in their
+            # own block, and only the others visit all blocks, as guests
+            each = rows.groupBy("token", "comp").agg(F.count("*").alias("m"))
+            main = each.groupBy("token").agg(F.max_by("comp", F.struct("m", F.negative("comp"))).alias("main"))
+            own = F.array(F.col("block"))
+            rows = rows.join(main, "token").withColumn("salt", F.explode(F.when(F.col("comp") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+            rows = rows.withColumn("guest", F.col("salt") != F.col("block"))
         else:
-            rows = rows.withColumn("salt", F.col("block").cast("long"))
-        pairs = rows.select("token", "salt", "doc", "n", "at", "comp").repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_meetings(percent, leaders), PAIRS).distinct()
+            rows = rows.withColumn("salt", F.col("block")).withColumn("guest", F.lit(False))
+        rows = rows.withColumn("salt", F.col("salt").cast("long"))
+        pairs = rows.select("token", "salt", "doc", "n", "at", "comp", "guest").repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_meetings(percent, leaders), PAIRS).distinct()
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty() and comp is not None:
             continue  # a later round tries more pairs

@@ -8,15 +8,17 @@ no document before the unused ones are taken. Within a pattern the flow is
 met by whole copies of every document and, for the remainder, by documents in
 the order of a seeded hash.
 
-Patterns whose one source occurs in no other pattern need no flow: they take
-their quota, or all their copies, in a plain expression, however many there are.
-Only patterns of sources that overlap come to the driver, where their flow is
-solved; more than ``PATTERNS`` of them are refused. Documents are chosen where
-they are: a histogram of hash buckets per pattern, whose number follows the
+Up to ``PATTERNS`` patterns (rows of members and a sum) come to the driver, where
+the flow is solved, for each set of sources that overlap by itself. Beyond that,
+patterns whose one source occurs in no other pattern stay where they are: their
+flow has one path, which takes their quota or all their copies, in a plain
+expression. More than ``PATTERNS`` patterns of sources that overlap are refused
+(:class:`ValueError`). Documents are chosen where they are: a histogram of hash buckets per pattern, whose number follows the
 table, finds the bucket in which the remainder ends, and only that bucket's
 documents are put in order.
 
-A null source is a source of its own, last in order. Null texts have size 0 and
+A null source is a source of its own, last in order. Documents of no source
+(members empty or null) keep their rows and are never taken. Null texts have size 0 and
 are never taken. Rows that repeat are chosen one by one; nothing else depends on
 ids being unique. An empty table gives none. Extra columns are kept, whatever
 their names; only those named like a column of the result give way to it.
@@ -35,7 +37,7 @@ from quillmesh.llm._shared import stage
 
 BUCKETS = 4096  #: hash buckets of a pattern at least
 IN_BUCKET = 4096  #: documents of a bucket, about
-PATTERNS = 20_000  #: patterns of overlapping sources that one flow may have
+PATTERNS = 20_000  #: patterns that come to the driver to be routed, at most
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -115,9 +117,36 @@ class Flow:
             total += amount
 
 
+def _apart(patterns: Sequence[tuple[tuple, int]]) -> list[list[int]]:
+    """Places of the patterns that share sources with each other, directly or not."""
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for i, (members, _) in enumerate(patterns):
+        for m in members:
+            up[top(("source", m))] = top(("pattern", i))
+    groups: dict = {}
+    for i in range(len(patterns)):
+        groups.setdefault(top(("pattern", i)), []).append(i)
+    return list(groups.values())
+
+
 def route(patterns: Sequence[tuple[tuple, int]], quotas: dict, max_copies: int = 3) -> list[int]:
     """Tokens to take from each (sources, size) pattern, for the given quotas."""
-    names = {s: i for i, s in enumerate(quotas)}
+    taken = [0] * len(patterns)
+    for group in _apart(patterns):  # what shares no source needs no common flow
+        for i, n in zip(group, _route([patterns[i] for i in group], quotas, max_copies), strict=True):
+            taken[i] = n
+    return taken
+
+
+def _route(patterns: Sequence[tuple[tuple, int]], quotas: dict, max_copies: int) -> list[int]:
+    held = sorted({m for members, _ in patterns for m in members if m in quotas}, key=lambda m: (m is None, m or ""))
+    names = {s: i for i, s in enumerate(held)}
     flow = Flow(2 + len(patterns) + len(names))
     first = 2 + len(patterns)
     tiers: list[list[int]] = []
@@ -173,23 +202,26 @@ def _unused(names: Sequence[str]) -> str:
 
 def _take(patterns: DataFrame, quotas: DataFrame, max_copies: int) -> DataFrame:
     """(members, sum, taken): tokens that each pattern gives."""
-    each = patterns.select("members", "sum", F.explode("members").alias("name"))
-    alone = each.groupBy(F.col("name").alias("n")).agg(F.count("*").alias("patterns"))
-    quota = each.join(alone, F.col("name").eqNullSafe(F.col("n"))).drop("n").join(quotas.withColumnRenamed("name", "q"), F.col("name").eqNullSafe(F.col("q")), "left").drop("q")
-    told = stage(quota.withColumn("simple", (F.col("patterns") == 1) & (F.size("members") == 1)), "patterns")
-    plain = told.filter("simple").select("members", "sum", F.least(F.coalesce("quota", F.lit(0)), F.col("sum") * max_copies).cast("long").alias("taken"))
-    # a pattern whose sources are shared is routed; each of its sources is a row here
-    rows = told.filter("not simple").limit(PATTERNS + 1).collect()
-    if len(rows) > PATTERNS:
-        raise ValueError(f"sources overlap in more than {PATTERNS} ways")
+    routed, plain = patterns.filter(F.size("members") > 0), patterns.filter(F.size("members") == 0).select("members", "sum", F.lit(0).cast("long").alias("taken"))
+    if routed.count() > PATTERNS:
+        each = routed.select("members", F.explode("members").alias("name"))
+        alone = each.groupBy(F.col("name").alias("n")).agg(F.count("*").alias("patterns"))
+        lone = each.filter(F.size("members") == 1).join(alone.filter("patterns = 1"), F.col("name").eqNullSafe(F.col("n"))).select("members", "name")
+        of = lone.join(quotas.withColumnRenamed("name", "q"), F.col("name").eqNullSafe(F.col("q")), "left").select("members", "quota")
+        plain = plain.unionByName(routed.join(of, "members").select("members", "sum", F.least(F.coalesce("quota", F.lit(0)), F.col("sum") * max_copies).cast("long").alias("taken")))
+        routed = stage(routed.join(lone.select("members"), "members", "left_anti"), "patterns")
+        if routed.count() > PATTERNS:
+            raise ValueError(f"sources overlap in more than {PATTERNS} patterns")
+    rows = routed.select("members", "sum").collect()  # PATTERNS rows at most
     if not rows:
         return plain
+    names = routed.select(F.explode("members").alias("q")).distinct()
+    wanted = {r["name"]: int(r["quota"]) for r in quotas.join(names, F.col("name").eqNullSafe(F.col("q"))).select("name", "quota").collect() if r["quota"] is not None}
     sums = {tuple(r["members"]): int(r["sum"] or 0) for r in rows}
     shared = sorted(sums, key=lambda p: [(m is None, m or "") for m in p])
-    wanted = {r["name"]: int(r["quota"]) for r in sorted(rows, key=lambda r: (r["name"] is None, r["name"] or "")) if r["quota"] is not None}
     taken = route([(p, sums[p]) for p in shared], wanted, max_copies)
-    routed = patterns.sparkSession.createDataFrame([(list(p), sums[p], t) for p, t in zip(shared, taken, strict=True)], "members array<string>, sum long, taken long")
-    return plain.unionByName(routed)
+    found = patterns.sparkSession.createDataFrame([(list(p), sums[p], t) for p, t in zip(shared, taken, strict=True)], "members array<string>, sum long, taken long")
+    return plain.unionByName(found)
 
 
 def mix(docs: DataFrame, members: Column, size: Column, quotas, max_copies: int = 3, seed: str = "mix", id_col: str = "doc_id", told: dict[str, str] | None = None) -> DataFrame:
@@ -204,7 +236,8 @@ def mix(docs: DataFrame, members: Column, size: Column, quotas, max_copies: int
     tag = _unused(docs.columns)
     of = lambda c: F.col(tag + c)
     key = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.withColumns({tag + "members": F.array_sort(F.array_distinct(members)), tag + "u": F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")})
+    sources = F.coalesce(F.array_sort(F.array_distinct(members)), F.array().cast("array<string>"))
+    rows = docs.withColumns({tag + "members": sources, tag + "u": F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")})
     bits = min(28, max(BUCKETS.bit_length() - 1, (docs.count() // IN_BUCKET).bit_length()))
     rows = rows.withColumn(tag + "bucket", F.shiftright(of("u"), 32 - bits).cast("int"))
     sums = stage(rows.groupBy(of("members").alias("members"), of("bucket").alias("bucket")).agg(F.sum(size).cast("long").alias("sum")), "sums")

@@ -144,9 +144,9 @@ ORACLE_SQL: dict[str, str] = {
         t AS (SELECT p.source, p.ssize, CASE WHEN p.k < f.k THEN (3 * p.ssize)::DOUBLE
                      ELSE ((SELECT rem FROM p JOIN f USING (k)) * p.w)::DOUBLE / (SELECT wleft FROM p JOIN f USING (k))::DOUBLE END AS target FROM p, f),
         q AS (SELECT *, floor(target + 0.5)::BIGINT AS quota FROM t),
-        c AS (SELECT doc_id, size, ssize, target, CASE WHEN ssize = 0 THEN 0 ELSE quota // ssize END AS whole, CASE WHEN ssize = 0 THEN 0 ELSE quota % ssize END AS rest,
-                     sum(size) OVER (PARTITION BY source ORDER BY u, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto
-              FROM d JOIN q USING (source))
+        c AS (SELECT doc_id, d.source, size, ssize, target, CASE WHEN ssize = 0 THEN 0 ELSE quota // ssize END AS whole, CASE WHEN ssize = 0 THEN 0 ELSE quota % ssize END AS rest,
+                     sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto
+              FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
         SELECT doc_id, size, ssize AS source_size, target,
                (size * least(3, whole + CASE WHEN upto - size < rest AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
     "op12_lexical_search": rf"""

@@ -264,6 +264,19 @@ def test_equal_vectors_come_by_id(spark):
         assert found[row == i].tolist() == np.lexsort((np.arange(500), -s.round(9)))[:20].tolist()
 
 
+@pytest.mark.parametrize("k", [5, 20])
+def test_ties_at_the_last_place_go_to_the_smaller_id(spark, k):
+    """Thousands of different vectors have the same inner product with the query; the tree must keep the smallest ids."""
+    rng = np.random.default_rng(8)
+    x = np.r_[[[1.0, 0, 0]], np.c_[np.full(2000, 0.5), np.round(rng.normal(size=(2000, 2)), 3)], [[0.75, 0, 0], [0.25, 9, 9]]]
+    ids = np.r_[[5000], rng.permutation(2000), [6000, 7000]]
+    row, found, score = vectors.VantagePointTree(ids, x).search(np.array([5000]), x[:1], k, 1.0)
+    assert found.tolist() == [6000, *range(k - 1)] and score.tolist() == [0.75] + [0.5] * (k - 1)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = vectors.nearest(df, k=k, relax=1.0, query_filter="id = 5000").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [6000, *range(k - 1)]
+
+
 def test_fewer_candidates_than_asked_for(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id) for r in vectors.exact_top_k(df, query_filter="id % 20 = 0").collect()] == [(0, 1)]
@@ -350,6 +363,23 @@ def test_a_large_meeting_loses_no_class():
     assert {size - 2, size - 1} <= set(kept.tolist())
 
 
+def test_a_stray_class_leaves_a_large_meeting_linear(spark):
+    """A main component of 20,000 classes and one stray: the last round pairs the stray with each, and nothing else."""
+    n, pieces = 20_000, []
+    for block in range(-(-n // jaccard_join.PAIRED)):
+        doc = np.r_[np.arange(block * jaccard_join.PAIRED, min(n, (block + 1) * jaccard_join.PAIRED)), n, n + 1]
+        full = lambda v: pa.array(np.full(len(doc), v))  # noqa: B023, E731
+        pieces.append(pa.RecordBatch.from_pydict({"token": full(1), "salt": full(block), "doc": pa.array(doc), "n": full(50), "at": full(0), "comp": pa.array(np.where(doc >= n, doc, 0)), "guest": pa.array(doc >= n)}))
+    got = [p for b in jaccard_join._meetings(80, None)(pieces) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]
+    assert sorted(set(got)) == [(i, s) for i in range(n) for s in (n, n + 1)]  # the two guests meet in their own blocks
+
+
+def test_counts_of_one_task_are_not_cut(spark):
+    docs = spark.createDataFrame([(i, f"a b c d e w{i}") for i in range(80_000)], "doc long, text string").coalesce(1)
+    levels = jaccard_join.sketch(docs, 5, 1 << 16)
+    assert np.exp2(levels.max() / 4) > 70_000
+
+
 def test_words_of_like_structure_have_different_hashes():
     """A Thue-Morse word and its complement meet under polynomial hashes modulo 2**64."""
     for power in (6, 10, 12):
@@ -492,7 +522,7 @@ def test_mixing_more_sources_than_a_flow_may_have(spark, monkeypatch):
     sums = {r.source: r for r in got.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("t"), F.first("target").alias("target")).collect()}
     assert len(sums) == 40 and all(abs(r.t - r.target) <= 7 for r in sums.values()) and "_mix_u" in got.columns
     with pytest.raises(ValueError, match="overlap"):
-        mixing.mix(df, F.array(F.lit("all"), F.col("source")), F.lit(1), {"all": 3})
+        mixing.mix(df, F.array(F.lit("all"), F.col("source")), F.lit(1), {"all": 3}).count()
 
 
 def test_flow_prefers_first_copies_and_uses_overlap():
@@ -502,6 +532,41 @@ def test_flow_prefers_first_copies_and_uses_overlap():
     assert sum(mixing.route(patterns, {"a": 10_000, "b": 0})) == 600  # three times what holds a
 
 
+def test_documents_of_no_source_stay(spark):
+    df = spark.createDataFrame([(1, ["x"]), (2, []), (3, None), (4, ["x", "y"]), (5, [None])], "doc_id long, m array<string>")
+    got = {r.doc_id: r.copies for r in mixing.mix(df, F.col("m"), F.lit(10), {"x": 10, "y": 10}).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 1, 5: 0}
+
+
+def test_limit_counts_patterns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PATTERNS", 300)
+    df = spark.createDataFrame([(i, [f"s{i % 300}", f"s{(i + 1) % 300}"]) for i in range(600)], "doc_id long, m array<string>")
+    got = mixing.mix(df, F.col("m"), F.lit(7), {f"s{i}": 14 for i in range(300)}).collect()
+    assert len(got) == 600 and sum(r.copies for r in got) == 600
+    with pytest.raises(ValueError, match="more than 300"):
+        mixing.mix(df.unionByName(spark.createDataFrame([(601, ["s0", "s5"])], df.schema)), F.col("m"), F.lit(7), {"s0": 1})
+
+
+def test_overlapping_mix_row_by_row(spark):
+    """Copies of each document follow the flow of its pattern: whole ones for all, the rest by the seeded hash."""
+    import hashlib
+
+    rows = [(i, [["a"], ["b"], ["a", "b"], ["c"], ["b", "c"]][i % 5], 3 + i % 7) for i in range(500)]
+    quotas = {"a": 1400, "b": 300, "c": 2500}
+    got = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, m array<string>, n long"), F.col("m"), F.col("n"), quotas).collect()}
+    sums = collections.Counter()
+    for _, m, n in rows:
+        sums[tuple(m)] += n
+    patterns = sorted(sums)
+    for p, taken in zip(patterns, mixing.route([(p, sums[p]) for p in patterns], quotas), strict=True):
+        whole, rest, so_far = taken // sums[p], taken % sums[p], 0
+        for i, _, n in sorted((r for r in rows if tuple(r[1]) == p), key=lambda r: int(hashlib.md5(f"mix:{r[0]}".encode()).hexdigest()[:8], 16)):
+            assert got[i] == whole + (so_far < rest and 2 * (so_far + n) - n <= 2 * rest), (i, p)
+            so_far += n
+    taken = {p: sum(got[i] * n for i, m, n in rows if tuple(m) == p) for p in patterns}
+    assert abs(sum(taken.values()) - 4200) <= 5 * 9
+
+
 def test_mixing_of_overlapping_sources(spark):
     rows = [(i, ["a"] if i % 3 == 0 else ["b"] if i % 3 == 1 else ["a", "b"]) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, m array<string>")

@@ -32,11 +32,13 @@ distances 0. Empty tables give no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,19 +56,38 @@ COUNTS = "lang string, source string, term_no long, term string, count long"
 APART = pa.schema([("lang_no", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("value", pa.int64())])
 
 
+MARK = "0"  #: leads every document's terms; no term holds a digit
 #: Letters (A-Z lower-cased) and all that is not ASCII make terms; the rest parts them.
 FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)).lower()
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's terms, parted by blanks, how many they are and how many different ones."""
+    """Each text's terms, parted by blanks and led by ``MARK``, and how many different ones they are."""
     for b in batches:
         for i in range(0, b.num_rows, 1000):
             part = b.slice(i, 1000)
             words = [t.translate(FOLD).split() for t in part.column("text").to_pylist()]
             count = lambda sizes: pa.array(sizes, pa.int64())
-            terms = pa.array([b" ".join(w) for w in words], pa.binary()).view(pa.string())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("lang", "source", "key")), terms, count([len(w) for w in words]), count([len(set(w)) for w in words])], names=["lang", "source", "key", "terms", "n_terms", "n_pairs"])
+            terms = pa.array([b" ".join([MARK.encode(), *w]) for w in words], pa.binary()).view(pa.string())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("lang", "source", "key")), terms, count([len(set(w)) for w in words])], names=["lang", "source", "key", "terms", "n_pairs"])
+
+
+def _documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents each term is, by a hash of the term: for sizes, not for results."""
+
+    def told() -> pa.RecordBatch:
+        keys = np.fromiter((xxhash.xxh64_intdigest(t) for t in held), np.uint64, len(held)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(held.values()), pa.int64())], names=["term", "docs"])
+
+    held: Counter = Counter()
+    for b in batches:
+        for text in b.column("terms").to_pylist():
+            held.update(set(text.split(" ")))
+            if len(held) >= HELD // 4:
+                yield told()
+                held.clear()
+    if held:
+        yield told()
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -80,18 +101,19 @@ def _counted(held: DataFrame, min_docs: int) -> DataFrame:
 
     ``held`` holds key, lang, source, terms and their numbers, in one folder for each key.
     """
-    each = held.groupBy("key", "lang").agg(F.count("*").alias("docs"), F.sum("n_pairs").alias("pairs")).collect()  # a row per language
+    each = held.groupBy("key", "lang").agg(F.count_if(F.col("n_pairs") > 0).alias("docs"), F.sum("n_pairs").alias("pairs")).collect()  # a row per language
     done = [held.sparkSession.createDataFrame([], COUNTS)]
     for r in sorted(each):
-        if r.docs < min_docs or not r.pairs:
+        if r.docs < max(min_docs, 1):
             continue  # no term can be in enough documents
-        mine = held.filter((F.col("key") == r.key) & (F.col("n_terms") > 0)).select("source", F.split("terms", " ").alias("terms"))
+        texts = held.filter((F.col("key") == r.key) & (F.col("n_pairs") > 0)).select("source", "terms")
+        mine = texts.withColumn("terms", F.split("terms", " "))
         parts = 1
         if r.pairs // min_docs > VOCABULARY:
-            often = mine.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count().filter(F.col("count") >= min_docs)
+            often = texts.select("terms").mapInArrow(_documents_of, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
             parts = max(1, -(-often.count() // VOCABULARY))
         for part in range(parts):
-            own = mine if parts == 1 else mine.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(parts)) == part))  # noqa: B023
+            own = mine if parts == 1 else mine.withColumn("terms", F.filter("terms", lambda t: (t == MARK) | (F.pmod(F.xxhash64(t), F.lit(parts)) == part)))  # noqa: B023
             done += _vectors(own, r.lang, part, min_docs)
     return reduce(DataFrame.unionByName, done)
 
@@ -124,16 +146,14 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _vectors(docs: DataFrame, lang: str, part: int, min_docs: int) -> list[DataFrame]:
     """Counts per source and term of one vocabulary: none, if no term is kept."""
-    # CountVectorizer refuses an empty vocabulary, so every document gets one more
-    # term in front; it is a separator, which no term holds
-    marked = docs.select("source", F.concat(F.array(F.lit(" ")), F.col("terms")).alias("terms"))
-    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=(1 << 31) - 1).fit(marked)
-    words = [(i, w) for i, w in enumerate(model.vocabulary) if w != " "]
+    # CountVectorizer refuses an empty vocabulary; every document has MARK
+    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=(1 << 31) - 1).fit(docs)
+    words = [(i, w) for i, w in enumerate(model.vocabulary) if w != MARK]
     if not words:
         return []
     vocabulary = docs.sparkSession.createDataFrame(words, "at int, term string")
     sparse = F.unwrap_udt("vector")
-    entries = model.transform(marked).select("source", sparse["indices"].alias("at"), sparse["values"].alias("value"))
+    entries = model.transform(docs).select("source", sparse["indices"].alias("at"), sparse["values"].alias("value"))
     sums = entries.mapInArrow(_summed, "source string, at int, count long").groupBy("source", "at").agg(F.sum("count").alias("count"))
     number = (F.lit(part << 32).cast("long") + F.col("at")).alias("term_no")
     return [stage(sums.join(vocabulary, "at").select(F.lit(lang).alias("lang"), "source", number, "term", "count"), "counts")]
@@ -192,9 +212,9 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50, text_col: str = "t
     # with one folder for each language, a pass over a language reads no other
     path = f"{shared_dir(spark)}/terms-{uuid.uuid4().hex}"
     read = base.select("lang", "source", F.sha1("lang").alias("key"), F.col("text").cast("binary").alias("text"))
-    tokens = read.mapInArrow(_read, "lang string, source string, key string, terms string, n_terms long, n_pairs long")
+    tokens = read.mapInArrow(_read, "lang string, source string, key string, terms string, n_pairs long")
     tokens.write.option("compression", "zstd").partitionBy("key").parquet(path)
-    counted = _counted(spark.read.schema("lang string, source string, terms string, n_terms long, n_pairs long, key string").parquet(path), min_docs)
+    counted = _counted(spark.read.schema("lang string, source string, terms string, n_pairs long, key string").parquet(path), min_docs)
 
     terms = stage(counted.groupBy("lang", "term_no", "term").agg(F.sum("count").alias("all")), "kept")
     langs = groups.select("lang").distinct().withColumn("lang_no", F.row_number().over(Window.orderBy("lang")))  # a row per language

@@ -3,14 +3,19 @@
 import datetime as dt
 import math
 import random
+import re
+import time
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmesh.functions import scalar
 from quillmesh.operators import catalog, chunking, clustering, evidence, graph, guardrails, quality, registers, retrieval
 from quillmesh.sources import readers, sql
+from quillmesh.streaming import redactor
 from quillmesh.streaming.redactor import release
 
 
@@ -193,11 +198,11 @@ def test_streams_are_redacted_whatever_the_split():
     rng, want = random.Random(5), guardrails.redact_text(text)
     for _ in range(60):
         cuts = sorted(rng.sample(range(len(text)), 6))
-        held, out = "", ""
+        held, out = redactor.NOTHING, ""
         for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
             ready, held = release(held, text[a:b])
             out += ready
-        assert out + guardrails.redact_text(held) == want
+        assert out + redactor.rest(held) == want
 
 
 def test_chunks():
@@ -235,11 +240,46 @@ def test_titles_of_converted_documents(spark):
 def test_contacts_are_held_however_long_the_run():
     """A run without blanks is held, so no cut falls into a contact."""
     text = "x" * 590 + "someone@example.org" + "y" * 40 + "\nend"
-    held, out = "", ""
-    for i in range(0, len(text), 7):
-        ready, held = release(held, text[i : i + 7])
-        out += ready
-    assert out + guardrails.redact_text(held) == guardrails.redact_text(text) and "@" not in out
+    assert stream(text, 7) == guardrails.redact_text(text)
+
+
+def stream(text, step):
+    held, out = redactor.NOTHING, []
+    for i in range(0, len(text), step):
+        ready, held = release(held, text[i : i + step])
+        out.append(ready)
+        assert len(held[0]) <= redactor.LONGEST + guardrails.BEFORE + step
+    return "".join([*out, redactor.rest(held)])
+
+
+@pytest.mark.parametrize("filler", ["/x=", "é", "%20", "_", "#;"])
+def test_streams_hold_a_bounded_text(filler):
+    """A megabyte without blanks goes through in seconds, contacts and all."""
+    contact = "/mail:some.one@example.org/tel:+33-1-23-45-67-89/"
+    text = (filler * (9_000 // len(filler)) + contact) * 110
+    began = time.perf_counter()
+    got = stream(text, 10)
+    assert time.perf_counter() - began < 20 and got == guardrails.redact_text(text) and "@" not in got and len(text) > 900_000
+
+
+@pytest.mark.parametrize("step", [1, 13, 700])
+def test_contacts_at_any_place_of_a_long_run_are_whole(step):
+    for shift in range(0, 600, 37):
+        text = "#" * (4096 - 512 - 300 + shift) + "someone.else@example.org" + "#" * 5000 + "(call:+44_)" + "+44-20-7946-0958" + "#" * 4500
+        assert stream(text, step) == guardrails.redact_text(text)
+
+
+@pytest.mark.parametrize("text", ["+" * 300_000, "(" * 300_000, "x@" + "a." * 150_000, "1." * 150_000, "@" * 300_000, "1 " * 150_000, "a" * 300_000 + "@", "a@b" * 100_000, "(1" * 150_000, ". " * 150_000])
+def test_redaction_of_megabytes_is_linear(text):
+    began = time.perf_counter()
+    assert guardrails.redact_text(text) == text
+    assert time.perf_counter() - began < 3
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("ab@.-+1 (com)"), max_size=40))
+def test_addresses_are_those_of_the_pattern(text):
+    assert [m.span() for m in re.finditer(guardrails.EMAIL, text)] == list(guardrails._addresses(text))
 
 
 def test_similar_sets_meet_by_rare_tokens(spark):

@@ -92,9 +92,15 @@ def bucketed_digest(rows: DataFrame, by: Sequence[str], key: str, fingerprint: s
     """(by, fingerprint, n): a digest of each group, or of the whole table, by way of
     digests of key ranges, so that no task sees a large group whole. Buckets are
     runs of ``per_bucket`` keys; where there are many of them, their digests are
-    bucketed again."""
-    level = rows.select(*by, F.col(key).cast("long").alias("_k"), F.concat_ws(":", F.col(key).cast("string"), F.col(fingerprint)).alias("_v"), F.lit(1).cast("long").alias("_n"))
-    span = rows.agg(F.max(F.abs(F.col(key).cast("long")))).first()[0] or 0
+    bucketed again. Keys that are no whole numbers are placed by their hash, in as
+    many places as there are rows, and so are null keys by their fingerprint."""
+    if rows.schema[key].dataType.typeName() in ("byte", "short", "integer", "long"):
+        place, span = F.coalesce(F.col(key).cast("long"), F.pmod(F.xxhash64(fingerprint), F.lit(max(rows.count(), 1)))), rows.agg(F.max(F.abs(F.col(key).cast("long")))).first()[0] or 0
+        span = max(span, rows.count() if rows.filter(F.col(key).isNull()).limit(1).count() else 0)
+    else:
+        span = max(rows.count(), 1)
+        place = F.pmod(F.xxhash64(key, fingerprint), F.lit(span))
+    level = rows.select(*by, place.alias("_k"), F.concat_ws(":", F.col(key).cast("string"), F.col(fingerprint)).alias("_v"), F.lit(1).cast("long").alias("_n"))
     while True:
         span //= per_bucket
         parts = level.groupBy(*by, F.floor(F.col("_k") / per_bucket).alias("_k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda s: s["_v"]), "\n").alias("_t"), F.sum("_n").alias("_n"))
@@ -126,12 +132,14 @@ def category_of(explicit: Column, text: Column, path: Column, registered: Sequen
 
 
 def front_matter(text: Column) -> Column:
-    """The keys (lower case) and values of a leading --- block."""
+    """The keys (lower case) and values of a leading --- block; of a key that is
+    there again, the last value counts."""
     block = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---\n", 1)
     lines = F.filter(F.split(block, "\n"), lambda x: x.contains(":"))
     pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.btrim(F.trim(F.regexp_replace(x, r"^[^:]*:", "")), F.lit("\"'")).alias("value")))
-    unique = F.filter(pairs, lambda p: p["key"] != "")
-    return F.map_from_entries(F.array_distinct(unique))
+    named = F.filter(pairs, lambda p: p["key"] != "")
+    later = lambda i: F.transform(F.slice(named, i + 2, F.size(named)), lambda p: p["key"])
+    return F.map_from_entries(F.filter(named, lambda p, i: ~F.array_contains(later(i), p["key"])))
 
 
 def coverage(disk: DataFrame, corpus: DataFrame, graph: DataFrame, key: str) -> DataFrame:
@@ -224,9 +232,10 @@ def declare(text: Column, category: Column) -> Column:
     end of the block, or a block is put in front; twice is as good as once."""
     block = r"(?s)\A---\n(.*?\n)---\n"
     line = F.concat(F.lit("category: "), category, F.lit("\n"))
+    literal = F.regexp_replace(line, r"([\\$])", r"\\$1")  # in a replacement, $ and \ would be signs
     head = F.regexp_extract(text, block, 1)
     rest = F.regexp_replace(text, block, "")
-    declared = F.regexp_replace(head, F.lit(r"(?im)^category:[^\n]*\n"), line)
+    declared = F.regexp_replace(head, F.lit(r"(?im)^category:[^\n]*\n"), literal)
     return F.when(~text.rlike(block), F.concat(F.lit("---\n"), line, F.lit("---\n"), text)).otherwise(
         F.concat(F.lit("---\n"), F.when(head.rlike(r"(?im)^category:"), declared).otherwise(F.concat(head, line)), F.lit("---\n"), rest)
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmesh.functions.scalar import normal_text, option_index
+from quillmesh.operators.graph import settled
 
 # Fixed values.
 PARTIAL = 0.6  #: share of a quote that counts as a partial quote
@@ -37,24 +38,36 @@ def holds_quote(quote: Column, text: Column) -> Column:
     return F.coalesce((q != "") & (t.contains(q) | ((words(q) != "") & t.isNotNull() & words(t).contains(words(q)))), F.lit(False))
 
 
-def common_run(quote: str, text: str) -> int:
-    """Length of the longest run of characters that both hold. Lengths are halved
-    down: a run of n holds runs of all smaller lengths."""
-    low, high = 0, min(len(quote), len(text))
-    while low < high:
-        n = (low + high + 1) // 2
-        runs = {quote[i : i + n] for i in range(len(quote) - n + 1)}
-        if any(text[i : i + n] in runs for i in range(len(text) - n + 1)):
-            low = n
-        else:
-            high = n - 1
-    return low
+def covering_run(quote: str, at: int, size: int, text: str) -> int:
+    """Length of the longest run that both hold and that covers quote[at : at + size]:
+    each place of that middle in the text is widened to both sides."""
+    best, place = 0, text.find(quote[at : at + size])
+    while place >= 0:
+        before = 0
+        while before < min(at, place) and quote[at - before - 1] == text[place - before - 1]:
+            before += 1
+        after, end = 0, place + size
+        while at + size + after < len(quote) and end + after < len(text) and quote[at + size + after] == text[end + after]:
+            after += 1
+        best = max(best, before + size + after)
+        place = text.find(quote[at : at + size], place + 1)
+    return best
 
 
 @F.pandas_udf(T.DoubleType())
-def run_share(quote: pd.Series, text: pd.Series) -> pd.Series:
-    """Share of a (normalised) quote that its longest run in the text covers."""
-    return pd.Series([round(common_run(q, t) / len(q), 2) if q and t else 0.0 for q, t in zip(quote, text, strict=True)], dtype="float64")
+def run_share(quote: pd.Series, at: pd.Series, size: pd.Series, text: pd.Series) -> pd.Series:
+    """Share of a (normalised) quote that its longest run over its middle covers in the text."""
+    return pd.Series([round(covering_run(q, a, n, t) / len(q), 2) for q, a, n, t in zip(quote, at, size, text, strict=True)], dtype="float64")
+
+
+def _rarest(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(item_id, doc_id): items (item_id, k) and documents (doc_id, k) that share the
+    key of the item that the fewest documents hold. A document that holds an
+    item's middle holds all its keys, so the rarest is as good as any."""
+    held = settled(held.join(asked.select("k").distinct(), "k", "left_semi"), "keys")
+    df = held.groupBy("k").agg(F.count("*").alias("df"))
+    best = asked.join(df, "k", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "k")).alias("b"))
+    return best.select("item_id", "b.k").join(held, "k").select("item_id", "doc_id")
 
 
 def partial_quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -62,27 +75,28 @@ def partial_quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
     (doc_id, text) holds whole or by a run of PARTIAL or more of their characters.
 
     Every run that long covers the middle of its item, so items and documents
-    meet by that middle: by its first two whole words or, where it has none, by
-    its first letters. Then the middle itself is looked for, and only then runs
-    are measured."""
+    meet by that middle: by its rarest two adjacent whole words or, where it has
+    none, by its rarest three letters (one, where it has no three). Then the
+    middle itself is looked for, and runs are measured around its places. An item
+    is verbatim where a document contains it, whatever its share rounds to."""
     q = items.select("item_id", normal_text(F.col("text")).alias("q")).filter("q <> ''")
     least = F.ceil(F.length("q") * (PARTIAL - 0.005)).cast("int")
-    q = q.withColumn("mid", F.substr("q", F.length("q") - least + 1, 2 * least - F.length("q")))
-    q = q.withColumn("two", F.regexp_extract("mid", r" (\S+ \S+) ", 1))
+    q = q.withColumn("at", F.length("q") - least).withColumn("size", 2 * least - F.length("q")).withColumn("mid", F.substr("q", F.col("at") + 1, F.col("size")))
     t = docs.filter("text is not null").select("doc_id", normal_text(F.col("text")).alias("t"))
-    w = F.split("t", " ")
-    twos = F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda x, y: F.concat_ws(" ", x, y))
-    met = t.select("doc_id", F.explode(F.array_distinct(twos)).alias("k")).join(q.filter("two <> ''").select("item_id", F.col("two").alias("k")), "k")
-    met = met.select("item_id", "doc_id")
-    short = q.filter("two = ''").select("item_id", F.substr(F.col("mid"), F.lit(1), F.when(F.length("mid") < 3, 1).otherwise(3)).alias("k"))
-    if not short.isEmpty():
-        at = F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1)))
-        of = lambda n: F.transform(at, lambda i: F.substr(F.col("t"), i, F.lit(n)))
-        grams = F.concat(of(1), of(3))
-        met = met.union(t.select("doc_id", F.explode(F.array_distinct(grams)).alias("k")).join(short, "k").select("item_id", "doc_id"))
-    rows = met.distinct().join(q.select("item_id", "q", "mid"), "item_id").join(t, "doc_id").filter(F.col("t").contains(F.col("mid")))
-    rows = rows.select("item_id", "doc_id", run_share("q", "t").alias("share")).filter(F.col("share") >= PARTIAL)
-    return rows.withColumn("status", F.when(F.col("share") >= 1, "verbatim").otherwise("partial"))
+    pairs = lambda w: F.array_distinct(F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.when(y.isNotNull(), F.concat_ws(" ", x, y))))
+    inner = F.split("mid", " ")  # the first and the last word of the middle may be cut
+    q = q.withColumn("twos", F.filter(pairs(F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))), lambda k: k.isNotNull()))
+    keys = lambda df, of, k: df.select(of, F.explode(F.filter(k, lambda x: x.isNotNull())).alias("k"))
+    met = _rarest(keys(q, "item_id", F.col("twos")), keys(t, "doc_id", pairs(F.split("t", " "))))
+    for width, few in ((3, F.length("mid") >= 3), (1, F.length("mid") < 3)):
+        short = q.filter((F.size("twos") == 0) & few)
+        if not short.isEmpty():
+            grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - width + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(width))))  # noqa: B023, E731
+            met = met.unionByName(_rarest(keys(short, "item_id", grams("mid")), keys(t, "doc_id", grams("t"))))
+    rows = met.distinct().join(q.select("item_id", "q", "at", "size", "mid"), "item_id").join(t, "doc_id").filter(F.col("t").contains(F.col("mid")))
+    share = run_share("q", "at", "size", "t")
+    rows = rows.select("item_id", "doc_id", share.alias("share"), F.col("t").contains(F.col("q")).alias("whole")).filter(F.col("share") >= PARTIAL)
+    return rows.select("item_id", "doc_id", "share", F.when(F.col("whole"), "verbatim").otherwise("partial").alias("status"))
 
 
 def verify_entries(entries: DataFrame, evidence: DataFrame, key: str, allowed: list[str]) -> DataFrame:

@@ -85,14 +85,16 @@ def original_of(docs: DataFrame, files: DataFrame) -> DataFrame:
 def best_node(terms: DataFrame, nodes: DataFrame) -> DataFrame:
     """(term, id, rule): the node that a term names best: its id, its label, or a
     label that begins with it; of equal ones the shortest label, then the
-    smallest id. All three are equi-joins (a label meets its own beginnings)."""
+    smallest id. All three are equi-joins; a label meets its beginnings of those
+    lengths that terms have."""
     t = terms.select("term", F.lower(F.trim("term")).alias("k")).filter("k <> ''")
     n = nodes.select("id", F.lower("label").alias("label"))
-    begins = F.transform(F.sequence(F.lit(1), F.length("label")), lambda i: F.substr(F.col("label"), F.lit(1), i))
+    lengths = F.broadcast(t.agg(F.array_sort(F.collect_set(F.length("k"))).alias("lengths")))  # one row, of as many numbers as terms have lengths
+    begins = F.transform(F.filter("lengths", lambda i: i <= F.length("label")), lambda i: F.substr(F.col("label"), F.lit(1), i))
     keys = (
         n.select(F.lower("id").alias("k"), "id", "label", F.lit(0).alias("rule"))
         .unionByName(n.select(F.col("label").alias("k"), "id", "label", F.lit(1).alias("rule")))
-        .unionByName(n.filter("label <> ''").select(F.explode(begins).alias("k"), "id", "label", F.lit(2).alias("rule")))
+        .unionByName(n.filter("label <> ''").crossJoin(lengths).select(F.explode(begins).alias("k"), "id", "label", F.lit(2).alias("rule")))
     )
     best = t.join(keys, "k").groupBy("term").agg(F.min(F.struct("rule", F.length("label").alias("n"), "id")).alias("b"))
     return best.select("term", "b.id", F.element_at(F.array(F.lit("id"), F.lit("label"), F.lit("beginning")), F.col("b.rule") + 1).alias("rule"))

@@ -216,6 +216,33 @@ def mentions(docs: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col
     return hit.filter("mentions > 0")
 
 
-def edge_evidence(found: DataFrame, key: Sequence[str], chunk: str, count: str) -> DataFrame:
-    """Mentions, chunks and the first five chunk keys behind each edge."""
-    return found.groupBy(*key).agg(F.sum(count).alias("mentions"), F.countDistinct(chunk).alias("chunk_count"), F.slice(F.array_sort(F.collect_set(chunk)), 1, 5).alias("chunks"))
+def edge_evidence(found: DataFrame, key: Sequence[str], chunk: str, count: str, most: int = 5) -> DataFrame:
+    """Mentions, chunks and the first five chunk keys behind each edge. Chunks are
+    counted one by one, and of each edge only the first few are kept in each task."""
+    each = found.groupBy(*key, chunk).agg(F.sum(count).alias("_n"))
+    sums = each.groupBy(*key).agg(F.sum("_n").alias("mentions"), F.count(chunk).alias("chunk_count"))
+    first = each.filter(F.col(chunk).isNotNull()).withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(chunk))).filter(F.col("_k") <= most)
+    held = first.groupBy(*key).agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
+    kind = found.schema[chunk].dataType.simpleString()
+    return sums.join(held, list(key), "left").withColumn("chunks", F.coalesce("chunks", F.array().cast(f"array<{kind}>")))
+
+
+def judged_paths(hops_: DataFrame, nodes: DataFrame, edges: DataFrame, streams: Sequence[str], labels: Sequence[str], hub: int = 40) -> DataFrame:
+    """(path, hops, verdict, via_streams, via_labels, via_hubs): what many paths are worth.
+
+    ``hops_`` are the steps of all paths: (path, step, source, target, relation), step
+    from 1. A path through a stream, or over a relation that only labels, is no
+    connection; one through a hub is to be confirmed; any other stands. Interior
+    nodes are those that one hop enters and another one leaves; a relation counts
+    at its own hop. Everything is joined and grouped by path."""
+    known = degrees(nodes.select("id", "type"), edges)
+    last = hops_.groupBy("path").agg(F.max("step").alias("last"))
+    inner = hops_.join(last, "path").filter("step < last").select("path", F.col("target").alias("id")).join(known, "id")
+    is_stream, is_hub = F.col("type").isin(*streams), F.col("degree") >= hub
+    sorted_set = lambda c: F.array_sort(F.collect_set(c))  # noqa: E731  of one path's few nodes
+    via = inner.groupBy("path").agg(sorted_set(F.when(is_stream, F.col("id"))).alias("via_streams"), sorted_set(F.when(is_hub, F.col("id"))).alias("via_hubs"))
+    over = hops_.groupBy("path").agg(F.max("step").alias("hops"), sorted_set(F.when(F.col("relation").isin(*labels), F.col("relation"))).alias("via_labels"))
+    none = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    j = over.join(via, "path", "left").withColumns({"via_streams": none("via_streams"), "via_hubs": none("via_hubs")})
+    verdict = F.when(F.size("via_streams") > 0, "rejected: stream").when(F.size("via_labels") > 0, "rejected: label").when(F.size("via_hubs") > 0, "confirm: hub").otherwise("stands")
+    return j.select("path", "hops", verdict.alias("verdict"), "via_streams", "via_labels", "via_hubs")

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.operators.graph import settled
+
 
 def review_queue(rows: DataFrame, key: str, reasons: Sequence[tuple[str, Column]], draw: Column, size: int, reviewed: DataFrame | None = None) -> DataFrame:
     """Rows by their first reason, reasons in order, filled up with a drawn sample."""
@@ -55,3 +57,13 @@ def holds_values(reference: DataFrame, got: DataFrame) -> DataFrame:
 
 def top_per_group(rows: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= n)
+
+
+def numbered(rows: DataFrame, *order: Column, name: str = "number") -> DataFrame:
+    """Rows with their place from 1 in an order that leaves no ties. Ranges are sorted
+    each by itself and counted, so that no task sees all rows."""
+    ranged = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    placed = ranged.withColumns({"_part": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_nth") + 1).drop("_at", "_part", "_nth", "_before")

@@ -177,14 +177,32 @@ def original_files(spark, d):
     return extraction.original_of(docs, files)
 
 
-@BOOK.add("path_verdicts", f"""{g._G}, p AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b, 's' || s_suppkey AS c FROM customer JOIN supplier ON s_nationkey = c_nationkey),
-  x AS (SELECT source AS id FROM e UNION ALL SELECT target FROM e), d AS (SELECT id, count(*) AS degree FROM x GROUP BY 1) SELECT b AS id, count(*) AS paths, degree >= 40 AS hub FROM p JOIN d ON d.id = b GROUP BY b, degree""")
+@BOOK.add(
+    "path_verdicts",
+    f"""{g._G}, x AS (SELECT source AS id FROM e UNION ALL SELECT target FROM e), d AS (SELECT id, count(*) >= 40 AS hub FROM x GROUP BY 1),
+    f AS (SELECT s_nationkey AS k, min('s' || s_suppkey) AS s FROM supplier GROUP BY 1), mm AS (SELECT source AS c, min(target) AS s FROM e WHERE relation = 'mentions_system' GROUP BY 1),
+    p AS (SELECT 'c' || c_custkey || '>r' AS path, 'rejected: label' AS verdict FROM customer
+      UNION ALL SELECT 'c' || c_custkey || '>s', CASE WHEN hub THEN 'confirm: hub' ELSE 'stands' END FROM customer JOIN f ON k = c_nationkey JOIN d ON id = 'n' || c_nationkey
+      UNION ALL SELECT c || '>n', CASE WHEN hub THEN 'confirm: hub' ELSE 'stands' END FROM mm JOIN d ON id = s
+      UNION ALL SELECT 'n' || n_nationkey || '>n', 'rejected: stream' FROM nation)
+    SELECT path, 2 AS hops, verdict FROM p""",
+)
 def path_verdicts(spark, d):
-    """Two-step paths from documents to systems over a process, told by what is in the middle."""
-    e = g.edges(spark, d)
-    ends = lambda r, side: e.filter(F.col("relation") == r).groupBy(F.col("target").alias("id")).agg(F.count("*").alias(side))
-    paths = ends("specifies_process", "x").join(ends("used_in", "y"), "id").select("id", (F.col("x") * F.col("y")).alias("paths"))
-    return paths.join(graph.degrees(g.nodes(spark, d), e).select("id", (F.col("degree") >= 40).alias("hub")), "id")
+    """Two-hop paths of every document and process: over a label, a process, a system, a stream."""
+    e = g.edges(spark, d).select("source", "target", "relation")
+    of = lambda r: e.filter(F.col("relation") == r)
+    up, spec, used, said = of("subprocess_of"), of("specifies_process"), of("used_in"), of("mentions_system")
+    first = lambda df, by, what: df.groupBy(F.col(by).alias("mid")).agg(F.min(what).alias("end"))
+
+    def paths(start, end, name, relation):  # start: (source, target); end: (mid, end)
+        met = start.select(F.col("source").alias("a"), F.col("target").alias("mid"), F.col("relation").alias("r")).join(end, "mid")
+        hops = F.explode(F.array(F.struct(F.lit(1).alias("step"), F.col("a").alias("source"), F.col("mid").alias("target"), F.col("r").alias("relation")), F.struct(F.lit(2).alias("step"), F.col("mid").alias("source"), F.col("end").alias("target"), F.lit(relation).alias("relation"))))
+        return met.select(F.concat("a", F.lit(">" + name)).alias("path"), hops.alias("h")).select("path", "h.*")
+
+    systems = said.groupBy("source").agg(F.min("target").alias("target")).withColumn("relation", F.lit("mentions_system"))
+    found = paths(spec, first(up, "source", "target"), "r", "subprocess_of").unionByName(paths(spec, first(used, "target", "source"), "s", "used_in"))
+    found = found.unionByName(paths(systems, first(used, "source", "target"), "n", "used_in")).unionByName(paths(up, first(up, "target", "source"), "n", "subprocess_of"))
+    return graph.judged_paths(found, g.nodes(spark, d), e, ["stream"], ["belongs_to", "subprocess_of"]).select("path", "hops", "verdict")
 
 
 @BOOK.add("retag_cascade", "SELECT l_orderkey, l_linenumber, c_mktsegment AS category, c_mktsegment <> o_orderpriority AS moved FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey")

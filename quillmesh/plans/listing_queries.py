@@ -119,6 +119,14 @@ def redact_nested(spark, d):
     return rows.select("doc_id", F.md5(F.array_join(F.transform(masked, lambda s: s["line"]), "\n")).alias("digest"))
 
 
+@BOOK.add("redact_nested_contacts")
+def redact_nested_contacts(spark, d):
+    """Addresses and phone numbers masked inside arrays of structs, keys and structure kept."""
+    rows = load(spark, d, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.length(x).alias("size"))).alias("items"))
+    masked = guardrails.redact_fields(rows, "items")
+    return masked.select("doc_id", F.md5(F.array_join(F.transform("items", lambda s: s["line"]), "\n")).alias("digest"), F.size("items").alias("lines"))
+
+
 @BOOK.add("client_copy", "SELECT o_orderkey, '{\"status\":\"' || o_orderstatus || '\",\"item\":{\"priority\":\"' || o_orderpriority || '\"}}' AS copy FROM orders")
 def client_copy(spark, d):
     from quillmesh.operators.entries import without_fields

@@ -192,8 +192,10 @@ def ret_recall_at_k(spark, d):
 def ret_similar_titles(spark, d):
     """Documents that open with the same words as another one."""
     head = load(spark, d, "documents").select("doc_id", F.left("text", F.lit(60)).alias("head"))
-    least = head.groupBy("head").agg(F.min("doc_id").alias("m"), F.sort_array(F.slice(F.sort_array(F.collect_set("doc_id")), 1, 2)).alias("two")).filter("size(two) > 1")
-    return head.join(least, "head").select(F.col("doc_id").alias("a"), F.when(F.col("doc_id") == F.col("m"), F.col("two")[1]).otherwise(F.col("m")).alias("other"))
+    least = head.groupBy("head").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).filter("m <> x")
+    met = head.join(least.select("head", "m"), "head")
+    second = met.filter("doc_id <> m").groupBy("head").agg(F.min("doc_id").alias("next"))
+    return met.join(second, "head").select(F.col("doc_id").alias("a"), F.when(F.col("doc_id") == F.col("m"), F.col("next")).otherwise(F.col("m")).alias("other"))
 
 
 @BOOK.add(

@@ -87,8 +87,10 @@ def judge_caveats(spark, d):
 @BOOK.add("area_peaks", "SELECT l_orderkey, max(l_quantity) AS peak, sum(l_quantity) AS total, row_number() OVER (PARTITION BY l_orderkey % 100 ORDER BY max(l_quantity) DESC, sum(l_quantity) DESC, l_orderkey)::INTEGER AS position FROM lineitem GROUP BY 1")
 def area_peaks(spark, d):
     a = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").alias("peak"), F.sum("l_quantity").alias("total"))
-    w = Window.partitionBy(F.col("l_orderkey") % 100).orderBy(F.desc("peak"), F.desc("total"), "l_orderkey")
-    return a.withColumn("position", F.row_number().over(w))
+    area = (F.col("l_orderkey") % 100).alias("area")
+    placed = review.numbered(a.select("*", area), F.asc("area"), F.desc("peak"), F.desc("total"), F.asc("l_orderkey"))
+    first = placed.groupBy("area").agg(F.min("number").alias("first"))
+    return placed.join(first, "area").select("l_orderkey", "peak", "total", (F.col("number") - F.col("first") + 1).cast("int").alias("position"))
 
 
 @BOOK.add("check_rates", "SELECT o_orderpriority, count(*) AS asked, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 4) AS accuracy, round(count(*) FILTER (o_orderstatus <> 'P') / count(*), 4) AS valid, count(*) FILTER (o_totalprice < 20000) AS empty FROM orders GROUP BY 1")
@@ -147,13 +149,9 @@ def session_compare(spark, d):
 
 @BOOK.add("cluster_sizes", "WITH c AS (SELECT label, count(*) AS size, min(vec_id) AS first FROM embeddings GROUP BY 1) SELECT label, size, row_number() OVER (ORDER BY size DESC, first)::INTEGER AS cluster FROM c")
 def cluster_sizes(spark, d):
-    """Clusters numbered by size, equal ones by their first member: a cluster's number
-    is that of the sizes above its own, and its place among clusters of its size."""
+    """Clusters numbered by size, equal ones by their first member."""
     c = load(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("size"), F.min("vec_id").alias("first"))
-    sizes = c.groupBy("size").agg(F.count("*").alias("m"))  # one row a size: at most the root of twice the items
-    above = sizes.select("size", (F.sum("m").over(Window.orderBy(F.desc("size"))) - F.col("m")).alias("above"))
-    place = F.row_number().over(Window.partitionBy("size").orderBy("first"))
-    return c.withColumn("place", place).join(above, "size").select("label", "size", (F.col("above") + F.col("place")).cast("int").alias("cluster"))
+    return review.numbered(c, F.desc("size"), F.asc("first"), name="cluster").select("label", "size", F.col("cluster").cast("int").alias("cluster"))
 
 
 @BOOK.add("register_markdown", "SELECT s_nationkey AS nation, '# Suppliers of ' || s_nationkey || chr(10) || chr(10) || '| s_suppkey | s_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || s_suppkey || ' | ' || s_name || ' |', chr(10) ORDER BY s_suppkey) AS document FROM supplier GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import scalar
-from quillmesh.operators import chunking, evidence, graph, guardrails
+from quillmesh.operators import chunking, evidence, graph, guardrails, layout
 from quillmesh.plans.book import Book
 from quillmesh.sources.readers import html_text
 from quillmesh.sources.tables import load
@@ -143,6 +143,9 @@ def quote_verbatim(spark, d):
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_document"))
 
 
+FEW_KEYS = 2000  #: of passages, that fit into one row
+
+
 def passages_in(items, docs):
     """(item_id, doc_id) where a document holds the passage, blanks and case aside.
 
@@ -157,7 +160,11 @@ def passages_in(items, docs):
     pairs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.concat(F.get(c, i), F.lit(" "), F.get(c, i + 1)))
     shingled = t.withColumn("w", F.split("t", " ")).filter("size(w) > 3").withColumn("w", pairs(F.col("w")))
     fours = F.zip_with("w", F.slice("w", 3, F.size("w")), lambda x, y: F.concat(x, F.lit(" "), y))
-    by_words = shingled.select("doc_id", F.explode(fours).alias("k")).join(long_.select("item_id", F.array_join(F.slice("w", 2, 4), " ").alias("k")), "k")
+    keys = long_.select("item_id", F.array_join(F.slice("w", 2, 4), " ").alias("k"))
+    if keys.select("k").distinct().count() <= FEW_KEYS:  # then only shingles that are keys leave their document
+        held = keys.agg(F.array_sort(F.collect_set("k")).alias("keys"))
+        shingled, fours = shingled.crossJoin(F.broadcast(held)), F.array_intersect(fours, "keys")
+    by_words = shingled.select("doc_id", F.explode(fours).alias("k")).join(keys, "k")
     grams = lambda n: F.when(F.length("t") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - (n - 1)), lambda i: F.substr(F.col("t"), i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
     first = F.substr(F.col("q"), F.lit(1), F.when(F.length("q") < 3, 1).otherwise(3))
     by_letters = t.select("doc_id", F.explode(F.concat(grams(3), grams(1))).alias("k")).join(short.select("item_id", first.alias("k")), "k")
@@ -252,8 +259,9 @@ def box_snapping(spark, d):
     n = lambda c, k: (F.col(c) * k % 1000).cast("double")
     b = load(spark, d, "supplier").select(F.col("s_suppkey").alias("box"), n("s_suppkey", 37).alias("bx"), n("s_suppkey", 91).alias("by"), F.col("s_nationkey").alias("slide"))
     p = load(spark, d, "customer").select(F.col("c_custkey").alias("point"), n("c_custkey", 53).alias("px"), n("c_custkey", 29).alias("py"), F.col("c_nationkey").alias("slide"))
-    z = p.join(b, "slide").withColumn("dist", scalar.box_distance(F.col("px"), F.col("py"), F.col("bx"), F.col("by"), F.col("bx") + 20, F.col("by") + 10)).filter("dist <= 40")
-    return z.groupBy("point").agg(F.min_by("box", F.struct("dist", "box")).alias("box"), F.round(F.min("dist"), 6).alias("dist"))
+    boxes = b.select(F.col("slide").alias("page"), "box", F.col("bx").alias("left"), F.col("by").alias("top"), (F.col("bx") + 20).alias("right"), (F.col("by") + 10).alias("bottom"))
+    found = layout.snapped(p.select(F.col("slide").alias("page"), "point", F.col("px").alias("x"), F.col("py").alias("y")), boxes, 40.0)
+    return found.select("point", "box", F.round("dist", 6).alias("dist"))
 
 
 @BOOK.add("fill_forward", "SELECT conv_id, turn, last_value(CASE WHEN turn % 3 = 0 THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS parent FROM conversations")

@@ -39,8 +39,9 @@ def cell(text: object) -> str:
     return re.sub(r"\s*\n\s*", " ", str(text)).replace("|", "\\|").strip()
 
 
-def markdown_table(rows: list[list[str]]) -> str:
-    rows = [r[:WIDEST] for r in rows if any(c.strip() for c in r)]
+def markdown_table(rows: list[list[str]], widest: int | None = None) -> str:
+    """Rows as a table without empty rows and columns; sheets have a ``widest``."""
+    rows = [r[:widest] for r in rows if any(c.strip() for c in r[:widest])]
     if not rows:
         return ""
     width = max(map(len, rows))
@@ -55,7 +56,7 @@ def sheet_markdown(grid: list[list[str]]) -> str:
     titles = []
     while rows and sum(bool(c.strip()) for c in rows[0]) == 1 and len(rows) > 1:
         titles.append(next(c for c in rows.pop(0) if c.strip()))
-    return "\n\n".join([*(f"**{cell(t)}**" for t in titles), markdown_table(rows)]).strip()
+    return "\n\n".join([*(f"**{cell(t)}**" for t in titles), markdown_table(rows, WIDEST)]).strip()
 
 
 def text_markdown(raw: bytes) -> tuple[str, int, str]:

@@ -39,10 +39,13 @@ def test_first_spelling_of_a_step_wins(spark):
 
 def test_longest_common_run_is_that_of_difflib():
     rng = random.Random(3)
-    for _ in range(200):
+    for _ in range(60):
         q, t = ("".join(rng.choice("abc ") for _ in range(rng.randint(0, n))) for n in (12, 40))
-        want = difflib.SequenceMatcher(None, q, t, autojunk=False).find_longest_match(0, len(q), 0, len(t)).size
-        assert entries.common_run(q, t) == want
+        longest = difflib.SequenceMatcher(None, q, t, autojunk=False).find_longest_match(0, len(q), 0, len(t)).size
+        for at in range(len(q)):
+            for size in range(1, len(q) - at + 1):
+                runs = [n for a in range(at + 1) for n in range(at + size - a, len(q) - a + 1) if q[a : a + n] in t]
+                assert entries.covering_run(q, at, size, t) == max(runs, default=0) <= longest
 
 
 def test_partial_quotes_against_all_pairs(spark):
@@ -59,10 +62,17 @@ def test_partial_quotes_against_all_pairs(spark):
         for j, t in plain(b, "doc_id"):
             share = round(difflib.SequenceMatcher(None, q, t, autojunk=False).find_longest_match(0, len(q), 0, len(t)).size / len(q), 2)
             if share >= 0.6:
-                want[i, j] = (share, "verbatim" if share >= 1 else "partial")
+                want[i, j] = (share, "verbatim" if q in t else "partial")
     assert got == want and {s for _, s in want.values()} == {"verbatim", "partial"}
 
 
+def test_one_character_less_is_not_verbatim(spark):
+    long = "".join(random.Random(1).choice("abcdefgh ") for _ in range(400)).strip() + " end"
+    docs = spark.createDataFrame([(1, long), (2, long[:-1] + "x"), (3, "y" + long[1:]), (4, "no")], "doc_id int, text string")
+    got = {r.doc_id: (r.share, r.status) for r in entries.partial_quotes(spark.createDataFrame([(0, long)], "item_id int, text string"), docs).collect()}
+    assert got == {1: (1.0, "verbatim"), 2: (1.0, "partial"), 3: (1.0, "partial")}
+
+
 def test_partial_quotes_query_finds_every_verbatim_passage(spark, data):
     import __spark_entry__ as entry
 
@@ -133,3 +143,18 @@ def test_cells_keys_and_masks(spark):
         scalar.key_agrees(F.lit("A:B:7"), F.lit("A:B"), F.lit(7)).alias("f"), scalar.key_agrees(F.lit("C:7"), F.lit("A"), F.lit(7)).alias("g"), scalar.key_agrees(F.lit("7"), F.lit("A"), F.lit(7)).alias("h"),
     ).first()
     assert tuple(r) == ("TRUE", "3", "3.25", None, "••• été ••• les •••", True, False, True)
+
+
+def test_nested_contacts_query_masks_every_line(spark, data):
+    import hashlib
+
+    import __spark_entry__ as entry
+    from quillmesh.operators import guardrails
+
+    got = {r.doc_id: (r.digest, r.lines) for r in entry.queries()["redact_nested_contacts"](spark, data).collect()}
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        if r.text is not None:
+            lines = r.text.split("\n")
+            assert got[r.doc_id] == (hashlib.md5("\n".join(guardrails.redact_text(x) for x in lines).encode()).hexdigest(), len(lines))

@@ -383,3 +383,48 @@ def test_empty_inputs(spark):
     e = spark.createDataFrame([], "source string, target string, relation string")
     assert graph.components(spark.createDataFrame([], "id string"), e).count() == 0
     assert quality.kappa(spark.createDataFrame([], "a int, b int"), "a", "b").first().kappa is None
+
+
+def test_front_matter_with_a_key_twice(spark):
+    text = "---\nCategory: A\ntitle: 'x'\ncategory: B\nno key\n: v\n---\nbody"
+    assert one(spark, catalog.front_matter(F.lit(text)).alias("m")).m == {"title": "x", "category": "B"}
+    assert one(spark, catalog.front_matter(F.lit("plain")).alias("m")).m == {}
+
+
+def test_declared_category_with_signs(spark):
+    text = "---\ncategory: A\n---\nbody"
+    assert one(spark, catalog.declare(F.lit(text), F.lit(r"C$1\\2")).alias("t")).t == "---\ncategory: C$1\\\\2\n---\nbody"
+
+
+def test_digests_of_textual_and_null_keys(spark):
+    rows = [(f"k{i}", f"f{i}", 1) for i in range(50)] + [(None, "n", 1), (None, "m", 1)]
+    of = lambda r, kind: catalog.bucketed_digest(spark.createDataFrame(r, f"k {kind}, f string, g int"), ["g"], "k", "f", 4).first()
+    whole = of(rows, "string")
+    assert whole.n == 52 and of(rows[::-1], "string") == whole and of([*rows[:-1], (None, "o", 1)], "string").fingerprint != whole.fingerprint
+    numbers = [(i, f"f{i}", 1) for i in range(50)] + [(None, "n", 1), (None, "m", 1)]
+    assert of(numbers, "long") == of(numbers[::-1], "long") and of(numbers, "long").n == 52
+
+
+def test_tables_keep_all_columns_but_sheets():
+    row = [f"c{i}" for i in range(45)]
+    assert readers.csv_markdown(",".join(row).encode() + b"\n" + ",".join(row).encode())[0].count("c44") == 2
+    assert "c39" in readers.sheet_markdown([row, row]) and "c40" not in readers.sheet_markdown([row, row])
+
+
+def test_numbers_go_on_over_ranges(spark):
+    from quillmesh.operators import review
+
+    rows = [(i * 37 % 101, i % 3) for i in range(101)]
+    got = review.numbered(spark.createDataFrame(rows, "k int, g int").repartition(5), F.desc("g"), F.asc("k")).collect()
+    assert [(r.g, r.k) for r in sorted(got, key=lambda r: r.number)] == sorted(((g, k) for k, g in rows), key=lambda x: (-x[0], x[1])) and {r.number for r in got} == set(range(1, 102))
+
+
+def test_paths_are_judged_whole(spark):
+    nodes = [("a", "document"), ("b", "system"), ("h", "system"), ("s", "stream"), ("p", "process"), *((f"x{i}", "document") for i in range(40))]
+    links = [("a", "b", "uses"), ("b", "h", "uses"), ("a", "h", "uses"), ("h", "b", "uses"), ("a", "s", "uses"), ("s", "b", "uses"), ("a", "p", "belongs_to"), ("p", "b", "uses"), *((f"x{i}", "h", "uses") for i in range(40))]
+    steps = [("plain", 1, "a", "b", "uses"), ("hub", 1, "a", "h", "uses"), ("hub", 2, "h", "b", "uses"), ("stream", 1, "a", "s", "uses"), ("stream", 2, "s", "b", "uses"), ("label", 1, "a", "p", "belongs_to"), ("label", 2, "p", "b", "uses"), ("ends", 1, "s", "h", "uses")]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = graph.judged_paths(df(steps, "path string, step int, source string, target string, relation string"), df(nodes, "id string, type string"), df(links, "source string, target string, relation string"), ["stream"], ["belongs_to", "subprocess_of"])
+    assert {r.path: (r.hops, r.verdict, r.via_streams, r.via_labels, r.via_hubs) for r in got.collect()} == {
+        "plain": (1, "stands", [], [], []), "hub": (2, "confirm: hub", [], [], ["h"]), "stream": (2, "rejected: stream", ["s"], [], []),
+        "label": (2, "rejected: label", [], ["belongs_to"], []), "ends": (1, "stands", [], [], [])}

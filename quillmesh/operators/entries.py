@@ -86,7 +86,7 @@ def partial_quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = lambda w: F.array_distinct(F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.when(y.isNotNull(), F.concat_ws(" ", x, y))))
     inner = F.split("mid", " ")  # the first and the last word of the middle may be cut
     q = q.withColumn("twos", F.filter(pairs(F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))), lambda k: k.isNotNull()))
-    keys = lambda df, of, k: df.select(of, F.explode(F.filter(k, lambda x: x.isNotNull())).alias("k"))
+    keys = lambda df, of, k: df.select(of, F.explode_outer(k).alias("k")).filter("k is not null")  # noqa: E731  outer: nothing is inferred and asked beneath
     met = _rarest(keys(q, "item_id", F.col("twos")), keys(t, "doc_id", pairs(F.split("t", " "))))
     for width, few in ((3, F.length("mid") >= 3), (1, F.length("mid") < 3)):
         short = q.filter((F.size("twos") == 0) & few)

@@ -22,6 +22,13 @@ K1, B, RRF, DEPTH = 1.2, 0.75, 60, 40
 MODES = ("hybrid", "vector", "keyword")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer pieces than there are cores, dealt over all cores;
+    a larger one as it is. What is dealt is thus a few blocks at most."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope_col: str | None = None, stop: Sequence[str] = (), codes: bool = False, only: DataFrame | None = None) -> DataFrame:
     """(id, [scope,] term, tf, dl): dl is the number of *distinct* terms.
 
@@ -34,8 +41,9 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
     if stop:
         found = F.filter(found, lambda t: ~t.isin(*stop))
     keys = [id_col, *([scope_col] if scope_col else [])]
-    base = docs.filter(F.col(text_col).isNotNull()).select(*keys, found.alias("_terms")).withColumn("dl", F.size(F.array_distinct("_terms")).cast("long"))
-    each = base.select(*keys, "dl", F.explode("_terms").alias("term"))
+    base = spread(docs.filter(F.col(text_col).isNotNull()).select(*keys, text_col)).select(*keys, found.alias("_terms")).withColumn("dl", F.size(F.array_distinct("_terms")).cast("long"))
+    # outer: for a plain explode Spark infers that arrays are not empty, and asks so beneath, tokenising two more times
+    each = base.select(*keys, "dl", F.explode_outer("_terms").alias("term")).filter("term is not null")
     if only is not None:
         each = each.join(only.select("term").distinct(), "term", "left_semi")
     return each.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf")).select(*keys, "term", "tf", "dl")
@@ -76,7 +84,8 @@ def store_postings(docs: DataFrame, path: str, **options) -> DataFrame:
 def corpus_stats(docs: DataFrame, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:
     """N and the average number of distinct terms, over all or by scope."""
     dl = F.size(F.array_distinct(terms(F.col(text_col))))
-    return docs.filter(F.col(text_col).isNotNull()).groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg(dl).alias("avg_dl"))
+    texts = spread(docs.filter(F.col(text_col).isNotNull()).select(*by, text_col))
+    return texts.select(*by, dl.alias("_dl")).groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg("_dl").alias("avg_dl"))
 
 
 def doc_freq(posts: DataFrame) -> DataFrame:
@@ -99,10 +108,11 @@ def _first(hits: DataFrame, id_col: str, limit: int | None) -> DataFrame:
 def bm25(posts: DataFrame, query_terms: DataFrame, stats: DataFrame, id_col: str = "doc_id", limit: int | None = DEPTH) -> DataFrame:
     """(query_id, id, score) of documents with any term of a question.
 
-    ``query_terms`` has rows (query_id, term); ``stats`` is one row.
+    ``query_terms`` has rows (query_id, term); ``stats`` is one row. The postings of
+    the questions' terms are written once: frequencies and scores both come from them.
     """
     asked = query_terms.select("query_id", "term").distinct()
-    hit = posts.join(asked.select("term").distinct(), "term", "left_semi")
+    hit = settled(posts.join(asked.select("term").distinct(), "term", "left_semi").select(id_col, "term", "tf", "dl"), "hits")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(stats.select("n_docs", "avg_dl"))).select("query_id", "term", "avg_dl", idf.alias("idf"))

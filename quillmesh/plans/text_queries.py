@@ -164,7 +164,7 @@ def passages_in(items, docs):
     if keys.select("k").distinct().count() <= FEW_KEYS:  # then only shingles that are keys leave their document
         held = keys.agg(F.array_sort(F.collect_set("k")).alias("keys"))
         shingled, fours = shingled.crossJoin(F.broadcast(held)), F.array_intersect(fours, "keys")
-    by_words = shingled.select("doc_id", F.explode(fours).alias("k")).join(keys, "k")
+    by_words = shingled.select("doc_id", F.explode_outer(fours).alias("k")).join(keys, "k")  # outer: nothing is inferred and asked beneath
     grams = lambda n: F.when(F.length("t") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - (n - 1)), lambda i: F.substr(F.col("t"), i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
     first = F.substr(F.col("q"), F.lit(1), F.when(F.length("q") < 3, 1).otherwise(3))
     by_letters = t.select("doc_id", F.explode(F.concat(grams(3), grams(1))).alias("k")).join(short.select("item_id", first.alias("k")), "k")

@@ -121,7 +121,7 @@ def allowed_host(url: Column, hosts: tuple[str, ...]) -> Column:
 
 
 def distinct_line_share(text: Column) -> Column:
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.try_divide(F.size(F.array_distinct(lines)).cast("double"), F.size(lines).cast("double"))
 
 
@@ -130,7 +130,7 @@ def cell_escape(text: Column) -> Column:
 
 
 def table_cells(row: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(F.trim(row), r"^\||\|$", ""), r"(?<!\\)\|"), F.trim)
+    return F.transform(F.split(F.regexp_replace(F.trim(row), r"^\||\|$", ""), r"(?<!\\)\|"), lambda x: F.trim(x))
 
 
 def canonical_json(arguments: Column) -> Column:

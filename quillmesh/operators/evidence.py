@@ -80,7 +80,7 @@ def same_identity(ticket_a: Column, ticket_b: Column, tokens_a: Column, tokens_b
 def quote_status(quote: Column, text: Column) -> Column:
     """verbatim, elided (parts around ... in order), or not found; null text was never retrieved."""
     q, t = normal_text(quote), normal_text(text)
-    parts = F.filter(F.transform(F.split(q, r"\s*(?:\.\.\.|…)\s*"), F.trim), lambda p: F.length(p) > 0)
+    parts = F.filter(F.transform(F.split(q, r"\s*(?:\.\.\.|…)\s*"), lambda x: F.trim(x)), lambda p: F.length(p) > 0)
     literal = F.transform(parts, lambda p: F.regexp_replace(p, r"([%_\\])", r"\\$1"))
     elided = (F.size(parts) > 1) & F.like(t, F.concat(F.lit("%"), F.array_join(literal, "%"), F.lit("%")))
     return F.when(text.isNull(), "never retrieved").when((q != "") & t.contains(q), "verbatim").when(elided, "elided").otherwise("not found")

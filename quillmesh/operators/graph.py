@@ -246,3 +246,12 @@ def judged_paths(hops_: DataFrame, nodes: DataFrame, edges: DataFrame, streams:
     j = over.join(via, "path", "left").withColumns({"via_streams": none("via_streams"), "via_hubs": none("via_hubs")})
     verdict = F.when(F.size("via_streams") > 0, "rejected: stream").when(F.size("via_labels") > 0, "rejected: label").when(F.size("via_hubs") > 0, "confirm: hub").otherwise("stands")
     return j.select("path", "hops", verdict.alias("verdict"), "via_streams", "via_labels", "via_hubs")
+
+
+#: What a picture of the graph adds to nodes and edges, and no store needs.
+PRESENTATION = ("color", "size", "x", "y", "width")
+
+
+def loadable(rows: DataFrame, drop: Sequence[str] = PRESENTATION) -> DataFrame:
+    """Nodes or edges without their presentation fields, those that are there."""
+    return rows.drop(*drop)

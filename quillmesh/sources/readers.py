@@ -15,10 +15,10 @@ import io
 import json
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -203,3 +203,23 @@ def question_list(text: str) -> list[dict[str, str]]:
         ref = re.search(r"(?ims)^\**reference\**\s*:?\**\s*(.+?)\s*\Z", body)
         out.append({"id": m[1], "title": m[2].strip(), "question": ask[1].strip() if ask else "", "reference": ref[1].strip() if ref else ""})
     return out
+
+
+def spliced(text: Column, blocks: Column, mark: str = "<!-- image -->") -> Column:
+    """:func:`splice` as an expression: ``blocks`` is an array of texts."""
+    parts = F.split(text, re.escape(mark))
+    after = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    put = F.slice(blocks, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.concat(parts[0], F.array_join(F.zip_with(after, put, lambda p, b: F.concat(F.coalesce(b, F.lit(mark)), p)), ""))
+
+
+def questions(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, id, title, question, reference) of the sections of Markdown pages."""
+    kind = dict(pages.dtypes)[id_col]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, q["id"], q["title"], q["question"], q["reference"]) for i, t in zip(b[id_col], b[text_col], strict=True) for q in question_list(t or "")]
+            yield pd.DataFrame(rows, columns=[id_col, "id", "title", "question", "reference"])
+
+    return pages.select(id_col, text_col).mapInPandas(read, f"{id_col} {kind}, id string, title string, question string, reference string")

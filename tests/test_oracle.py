@@ -6,7 +6,7 @@ import pytest
 
 from tests.conftest import rows_of, sql_rows
 
-PLANS = ("retrieval", "quality", "graph", "catalog", "register", "text", "stream", "review", "extract", "listing", "layout", "answer")
+PLANS = ("retrieval", "quality", "graph", "catalog", "register", "text", "stream", "review", "extract", "listing", "layout", "answer", "column")
 BOOKS = {n: importlib.import_module(f"quillmesh.plans.{n}_queries").BOOK for n in PLANS}
 CASES = [(n, q) for n, b in BOOKS.items() for q in b.sql]
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.operators import citations, fingerprints, gates, workings
+from quillmesh.operators import catalog, citations, fingerprints, gates, routing, workings
+from quillmesh.plans import graph_queries as g
 from quillmesh.plans.book import Book
 from quillmesh.sources.tables import load
 
@@ -183,3 +184,50 @@ def judge_workings(spark, d):
     )
     calls = load(spark, d, "events").select((F.col("event_id") % 997).alias("run"), F.col("event_id").alias("at"), _pick(F.col("event_type"), _MODELS, None).alias("model"), answer.alias("answer"), F.lit(3).alias("contexts"))
     return workings.items(calls, "run").drop("place")
+
+
+_QUESTIONS = """q AS (SELECT c_custkey AS query_id, CASE c_custkey % 5 WHEN 0 THEN 'path' WHEN 1 THEN 'two hops' WHEN 2 THEN 'neighbourhood' WHEN 3 THEN 'neighbourhood' ELSE 'global' END AS route,
+    CASE WHEN c_custkey % 5 < 4 THEN CASE WHEN c_custkey % 5 = 3 THEN 'n' || c_nationkey ELSE 's' || c_custkey % k END END AS source, CASE WHEN c_custkey % 5 = 0 THEN 'n' || c_nationkey END AS target,
+    CASE WHEN c_custkey % 5 = 1 THEN 'document' END AS wanted FROM customer, (SELECT count(*) AS k FROM supplier)
+    UNION ALL SELECT 1000000000 + item_id, 'global', NULL, NULL, NULL FROM benchmark)"""
+
+
+def _questions(spark, d) -> DataFrame:
+    """Questions in several wordings about the suppliers and nations of customers, and the passages, which ask about nothing."""
+    c = load(spark, d, "customer")
+    suppliers = load(spark, d, "supplier").count()
+    key = F.col("c_custkey")
+    name = F.concat(F.lit("Supplier#"), F.lpad((key % suppliers).cast("string"), 9, "0"))
+    nation = F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"))
+    text = (
+        F.when(key % 5 == 0, F.concat(F.lit("How does "), name, F.lit(" connect to "), F.lower(nation), F.lit("?"))).when(key % 5 == 1, F.concat(F.lit("Which documents mention "), name, F.lit("?")))
+        .when(key % 5 == 2, F.concat(F.lit("Tell me about "), F.upper(name))).when(key % 5 == 3, F.concat(nation, F.lit(", "), nation, F.lit("!"))).otherwise(F.lit("What is new?"))
+    )
+    passages = load(spark, d, "benchmark").select((F.col("item_id") + 1000000000).alias("query_id"), "text")
+    return c.select(key.alias("query_id"), text.alias("text")).unionByName(passages)
+
+
+def _routed(spark, d) -> DataFrame:
+    return routing.routed(_questions(spark, d), routing.names_of(g.nodes(spark, d).filter("type <> 'document'"), ["label"]))
+
+
+@BOOK.add("question_routes", f"WITH {_QUESTIONS} SELECT query_id, route, source, target, wanted FROM q")
+def question_routes(spark, d):
+    """The route of every question, and the nodes that it names."""
+    return _routed(spark, d).drop("anchors")
+
+
+@BOOK.add(
+    "question_answers",
+    f"""{g._G}, {_QUESTIONS}, u AS (SELECT source AS a, target AS b FROM e WHERE source <> target UNION SELECT target, source FROM e WHERE source <> target),
+    h AS (SELECT query_id, count(DISTINCT u.b) FILTER (u.b <> q.source) AS found FROM q JOIN u ON u.a = q.source WHERE route = 'neighbourhood' GROUP BY 1),
+    w AS (SELECT query_id, u.b AS id FROM q JOIN u ON u.a = q.source JOIN n ON n.id = u.b AND n.type = 'document' WHERE route = 'two hops'
+      UNION SELECT query_id, v.b FROM q JOIN u ON u.a = q.source JOIN n m ON m.id = u.b AND m.type IN ('system', 'stream') JOIN u v ON v.a = u.b JOIN n ON n.id = v.b AND n.type = 'document' WHERE route = 'two hops'),
+    o AS (SELECT query_id, CASE WHEN EXISTS (SELECT 1 FROM u WHERE a = source AND b = target) THEN 1 WHEN EXISTS (SELECT 1 FROM u x JOIN u y ON x.b = y.a WHERE x.a = source AND y.b = target) THEN 2
+      WHEN EXISTS (SELECT 1 FROM u x JOIN u y ON x.b = y.a JOIN u z ON y.b = z.a WHERE x.a = source AND z.b = target) THEN 3 END AS found FROM (SELECT DISTINCT query_id, source, target FROM q WHERE route = 'path'))
+    SELECT query_id, route, CASE route WHEN 'global' THEN (SELECT count(*) FROM n) WHEN 'path' THEN o.found ELSE coalesce(h.found, w.found, 0) END::BIGINT AS found
+    FROM q LEFT JOIN h USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS found FROM w GROUP BY 1) w USING (query_id) LEFT JOIN o USING (query_id)""",
+)
+def question_answers(spark, d):
+    """What each route finds, all questions at once."""
+    return routing.answered(_routed(spark, d), g.nodes(spark, d), g.edges(spark, d).select("source", "target", "relation"))

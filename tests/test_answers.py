@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillmesh.operators import citations, fingerprints, gates, workings
+from quillmesh.operators import citations, fingerprints, gates, routing, workings
 
 DEVIATION = "run int, gap_id string, materiality string, disposition string, state string, rating double, considered boolean, bucket string, question string, minutes int, confidence string, open_questions array<string>, step string"
 EVIDENCE = "run int, gap_id string, side string, class string, seen boolean, held boolean, standard boolean"
@@ -182,3 +182,58 @@ def test_workings_of_all_shapes(spark):
     }
     told = workings.workings(spark.createDataFrame(calls[:2], "run int, at int, model string, answer string, contexts int"), "run").first()
     assert json.loads(told.working)["kind"] == "claims" and [i["text"] for i in json.loads(told.working)["items"]] == ["a", "b", "c", "d"]
+
+
+def longest_first(words, names):
+    """Left to right, the longest name at each place."""
+    out, at = [], 0
+    while at < len(words):
+        n = max((n for n in range(1, len(words) - at + 1) if " ".join(words[at : at + n]) in names), default=0)
+        if n:
+            out.append((at + 1, n, names[" ".join(words[at : at + n])]))
+        at += n or 1
+    return out
+
+
+def test_anchors_and_routes_equal_a_plain_reading(spark):
+    import random
+
+    rng = random.Random(4)
+    nodes = [("n1", "alpha", None), ("n2", "Alpha Beta", "A-1"), ("n3", "beta gamma", None), ("n4", "gamma", "b"), ("n5", "alpha", None), ("n6", None, None), ("n7", "...", "delta delta delta")]
+    names = {"alpha": "n1", "alpha beta": "n2", "a 1": "n2", "beta gamma": "n3", "gamma": "n4", "b": "n4", "delta delta delta": "n7"}
+    vocabulary = ["alpha", "beta", "Gamma", "delta", "A-1", "b", "documents", "path", "x", "connection", "spec"]
+    questions = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(12)))) for i in range(300)] + [(300, None), (301, "?!"), (302, "alpha -> gamma"), (303, "alpha alpha"), (304, "compare alpha with alpha")]
+    held = routing.names_of(spark.createDataFrame(nodes, "id string, label string, code string"), ["label", "code"])
+    asked = spark.createDataFrame(questions, "query_id int, text string")
+    found = {}
+    for r in routing.anchors(asked, held).collect():
+        found.setdefault(r.query_id, []).append((r.at, r.words, r.node))
+    got = {r.query_id: r for r in routing.routed(asked, held, most=3).collect()}
+    assert len(got) == len(questions)
+    for i, text in questions:
+        low = (text or "").lower()
+        words = re.findall(r"[^\W_]+", low)
+        want = longest_first(words, names)
+        assert sorted(found.get(i, [])) == want
+        different = list(dict.fromkeys(n for _, _, n in want))[:3]
+        kind = next((k for k, said in routing.TYPE_WORDS.items() if set(words) & set(said)), None)
+        cue = re.search(routing.PATH_CUES, low)
+        route = "path" if cue and len(different) > 1 else "two hops" if different and kind else "neighbourhood" if different else "global"
+        assert (got[i].route, list(got[i].anchors), got[i].wanted) == (route, different, kind)
+        assert got[i].target == (different[1] if route == "path" else None) and got[i].source == (different[0] if different else None)
+
+
+def test_routes_without_names(spark):
+    none = spark.createDataFrame([], "id string, label string")
+    got = routing.routed(spark.createDataFrame([(1, "path between a and b")], "query_id int, text string"), routing.names_of(none, ["label"])).collect()
+    assert [(r.route, r.anchors) for r in got] == [("global", [])]
+
+
+def test_many_paths_at_once(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("x", "y"), ("a", "c")]
+    pairs = [(1, "a", "e"), (2, "e", "a"), (3, "a", "x"), (4, "a", "a"), (5, "b", "d"), (6, "x", "y")]
+    df = spark.createDataFrame
+    got = routing.path_lengths(df(pairs, "query_id int, source string, target string"), df(edges, "source string, target string")).collect()
+    assert {r.query_id: r.hops for r in got} == {1: 3, 2: 3, 4: 0, 5: 2, 6: 1}
+    near = routing.path_lengths(df(pairs, "query_id int, source string, target string"), df(edges, "source string, target string"), most=2).collect()
+    assert {r.query_id for r in near} == {4, 5, 6}

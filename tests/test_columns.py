@@ -44,6 +44,6 @@ def test_verdicts(spark, raw, value):
     assert one(spark, scalar.verdict_number(F.lit(raw).cast("string"))) == value
 
 
-@pytest.mark.parametrize(("text", "label"), [("short (cut here)", "short"), ("w" * 91, "…"), ("word " * 30, "word " * 16 + "word…"), ("[x]", "")])
+@pytest.mark.parametrize(("text", "label"), [("short (cut here)", "short"), ("w" * 91, "…"), ("word " * 30, "word " * 17 + "word…"), ("[x]", "")])
 def test_labels(spark, text, label):
     assert one(spark, scalar.short_label(F.lit(text))) == label

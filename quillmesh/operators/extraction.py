@@ -7,6 +7,8 @@ was found in it. Null texts hold nothing, repeated rows count again.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,12 +58,20 @@ def _after(text: Column, code: Column) -> Column:
 
 def register_rows(lines: DataFrame, line_col: str, order: str, project: str) -> DataFrame:
     """(order, chain, step, name, key) of the rows of a Markdown register:
-    | 03. Chain | 4.5 Area | 4.5.1 Group | 4.5.1.2 Step | KEY-123 |"""
-    cell = r"\|\s*([\d.]+)\s+([^|]+?)\s*"
-    row = rf"\|\s*\d{{2}}\.\s*([^|]+?)\s*{cell}{cell}{cell}\|\s*({re.escape(project)}-\d+)\s*\|"
-    part = lambda i: F.regexp_extract(line_col, row, i)
-    read = lines.select(order, part(1).alias("chain"), part(6).alias("step"), part(7).alias("name"), part(8).alias("key"))
-    return read.filter("key <> ''")
+    | 03. Chain | 4.5 Area | 4.5.1 Group | 4.5.1.2 Step | KEY-123 |
+
+    A line is split at its pipes; the first five cells in a row that are of these
+    kinds are read."""
+    cells = F.transform(F.split(line_col, r"\|"), lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""))
+    rows = lines.filter(F.col(line_col).isNotNull()).select(order, cells.alias("c"))
+    kinds = [r"^\d{2}\.\s*\S", *[r"^[\d.]+\s+\S"] * 3, rf"^{re.escape(project)}-\d+$"]
+    fits = lambda i: reduce(and_, (F.get("c", i + n).rlike(kind) for n, kind in enumerate(kinds)))
+    inner = F.filter(F.sequence(F.lit(1), F.greatest(F.size("c") - 6, F.lit(1))), lambda i: (i <= F.size("c") - 6) & fits(i))  # a pipe before and after
+    at = rows.withColumn("i", F.get(inner, F.lit(0))).filter("i is not null")
+    cell = lambda n: F.get("c", F.col("i") + n)
+    number = F.regexp_extract(cell(3), r"^[\d.]+", 0)
+    name = F.regexp_replace(cell(3), r"^[\d.]+\s+", "")
+    return at.select(order, F.regexp_replace(cell(0), r"^\d{2}\.\s*", "").alias("chain"), number.alias("step"), name.alias("name"), cell(4).alias("key"))
 
 
 def register_steps(rows: DataFrame, chain: str, order: str) -> DataFrame:

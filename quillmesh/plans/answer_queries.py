@@ -223,10 +223,11 @@ def question_routes(spark, d):
     h AS (SELECT query_id, count(DISTINCT u.b) FILTER (u.b <> q.source) AS found FROM q JOIN u ON u.a = q.source WHERE route = 'neighbourhood' GROUP BY 1),
     w AS (SELECT query_id, u.b AS id FROM q JOIN u ON u.a = q.source JOIN n ON n.id = u.b AND n.type = 'document' WHERE route = 'two hops'
       UNION SELECT query_id, v.b FROM q JOIN u ON u.a = q.source JOIN n m ON m.id = u.b AND m.type IN ('system', 'stream') JOIN u v ON v.a = u.b JOIN n ON n.id = v.b AND n.type = 'document' WHERE route = 'two hops'),
-    o AS (SELECT query_id, CASE WHEN EXISTS (SELECT 1 FROM u WHERE a = source AND b = target) THEN 1 WHEN EXISTS (SELECT 1 FROM u x JOIN u y ON x.b = y.a WHERE x.a = source AND y.b = target) THEN 2
-      WHEN EXISTS (SELECT 1 FROM u x JOIN u y ON x.b = y.a JOIN u z ON y.b = z.a WHERE x.a = source AND z.b = target) THEN 3 END AS found FROM (SELECT DISTINCT query_id, source, target FROM q WHERE route = 'path'))
+    k AS (SELECT DISTINCT source, target FROM q WHERE route = 'path'), s1 AS (SELECT DISTINCT k.source, u.b FROM (SELECT DISTINCT source FROM k) k JOIN u ON u.a = k.source),
+    s2 AS (SELECT DISTINCT s1.source, u.b FROM s1 JOIN u ON u.a = s1.b), s3 AS (SELECT DISTINCT s2.source, u.b FROM s2 JOIN u ON u.a = s2.b AND starts_with(u.b, 'n')),
+    o AS (SELECT source, target, CASE WHEN (source, target) IN (SELECT (source, b) FROM s1) THEN 1 WHEN (source, target) IN (SELECT (source, b) FROM s2) THEN 2 WHEN (source, target) IN (SELECT (source, b) FROM s3) THEN 3 END AS found FROM k)
     SELECT query_id, route, CASE route WHEN 'global' THEN (SELECT count(*) FROM n) WHEN 'path' THEN o.found ELSE coalesce(h.found, w.found, 0) END::BIGINT AS found
-    FROM q LEFT JOIN h USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS found FROM w GROUP BY 1) w USING (query_id) LEFT JOIN o USING (query_id)""",
+    FROM q LEFT JOIN h USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS found FROM w GROUP BY 1) w USING (query_id) LEFT JOIN o ON o.source = q.source AND o.target = q.target AND route = 'path'""",
 )
 def question_answers(spark, d):
     """What each route finds, all questions at once."""

@@ -11,6 +11,11 @@ inside, whatever is navigation, notice, advert, form or comment goes.
 A declared <article> weighs more than another container, but is not taken
 whatever its score. Lists of links go if they read like menus; references stay.
 
+A name alone seldom decides. Names that articles carry as well ("search-results",
+"header") take a second sign: mostly links, controls for little text, or a place
+beside the best container without half its score. A block named as furniture that
+holds most of the page's prose and its head or article is a wrapper, and stays.
+
 Each page is handled on its own, so nothing is shuffled, in time and memory that
 grow with the page alone. A null or empty page gives the empty text. Repeated
 rows each give their own, an empty table none; null ids and addresses are passed
@@ -60,23 +65,28 @@ _BAD = re.compile(
 )
 #: Names that articles carry as well: such a block goes only if it is mostly links.
 _DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:tags?|trending|popular|discussion|form|legal)(?=$|[\s_-])", re.I)
+#: Names of furniture that name a text's subject too, if a noun follows that is not one of a box.
+_SUBJECT = re.compile(r"header|search\w*|notices?|alerts?|follow|foot|skip\w*|copyright|disclaimers?")
+_BOX = frozenset("bar box wrap wrapper container content inner text message area block panel form field input button btn icon link links list toggle close info warning danger error success".split())
 _COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment\w*|reply|replies|respond)(?=$|[\s_-])", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content\w*|entry\w*|main\w*|post\w*|text|story\w*|prose|page)(?=$|[\s_-])", re.I)
 WHOLE = 0.3  #: share of the best score that an <article> or <main> around it must reach to take its place
+HALF = 0.5  #: share of the page's prose that makes a block named as furniture a wrapper, and of the best score that keeps a doubtful sibling
+CONTROL = 100  #: characters of text per control below which a doubtful block is a form
 DEPTH = 512  #: open elements at most, as in browsers; what is nested deeper stands beside each other there
 MENU_LINK = 40  #: mean characters of a link's text from which a list of links reads like references, not like a menu
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "depth", "good", "bad", "doubtful", "score", "chars", "links", "anchors")
+    __slots__ = ("tag", "parent", "children", "depth", "good", "bad", "named", "doubtful", "score", "chars", "links", "anchors", "controls")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []  # children: nodes and strings, in page order
         self.depth = parent.depth + 1 if parent else 0
-        self.good = self.bad = self.doubtful = False
+        self.good = self.bad = self.named = self.doubtful = False  # named: bad by its name alone
         self.score = 0.0
-        self.chars = self.links = self.anchors = 0
+        self.chars = self.links = self.anchors = self.controls = 0
 
     def is_menu(self) -> bool:
         """Mostly links, and short ones."""
@@ -189,7 +199,7 @@ def parse(page: str) -> Node:
         if attributes:
             _judge(node, attributes)
         if tag in _FURNITURE or (tag == "header" and not _inside(here, "article", "main")):
-            node.bad = True
+            node.bad, node.named = True, False
         here.children.append(node)
         if tag not in _VOID and not (attributes.endswith("/") and tag not in _BLOCK) and node.depth < DEPTH:
             here = node
@@ -223,25 +233,67 @@ def _judge(node: Node, attributes: str) -> None:
     name = " ".join(names)
     if name and node.tag not in _INLINE:
         node.good |= bool(_GOOD.search(name))
-        if node.tag not in ("article", "main", "p") and _BAD.search(name) or node.tag == "article" and _COMMENTS.search(name):
+        blames = {_blame(x) for x in name.lower().split()}
+        if node.tag not in ("article", "main", "p") and "bad" in blames or node.tag == "article" and _COMMENTS.search(name):
+            node.named = not (node.bad or _COMMENTS.search(name))
             node.bad = True
-        node.doubtful = bool(_DOUBTFUL.search(name))
+        node.doubtful = "doubtful" in blames
     elif name and _BAD.search(name) and node.tag in ("span", "a", "small"):
         node.bad |= bool(re.search(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|share\w*|social\w*|skip\w*)(?=$|[\s_-])", name, re.I))
 
 
-def _post_order(root: Node) -> list[Node]:
+def _blame(name: str) -> str:
+    """What one name says of its block: "bad", "doubtful" or nothing."""
+    if not _BAD.search(name):
+        return "doubtful" if _DOUBTFUL.search(name) else ""
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    at = [i for i, x in enumerate(parts) if _SUBJECT.fullmatch(x)]
+    if not at or _BAD.search("-".join(x for i, x in enumerate(parts) if i not in at)):
+        return "bad"
+    if "header" in parts:
+        return "bad" if {"site", "global", "top"}.intersection(parts) else "doubtful"
+    after = parts[at[-1] + 1 :]
+    return "doubtful" if any(x not in _BOX and not x.isdigit() for x in after) else "bad"
+
+
+def _post_order(root: Node, named: bool = False) -> list[Node]:
+    """The nodes that are no furniture, children first; with those ``named`` so, if asked."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
         out.append(node)
-        if not node.bad:
+        if not node.bad or named and node.named:
             todo.extend(c for c in node.children if c.__class__ is Node)
     return out[::-1]
 
 
+def _spare_wrappers(root: Node) -> None:
+    """A block named as furniture stays if it holds most of the page's prose and,
+    as a sign that this is the article, a main heading or a declared article."""
+    nodes = _post_order(root, named=True)
+    if not any(n.named for n in nodes):
+        return
+    prose: dict[int, tuple[int, bool]] = {}
+    for node in nodes:
+        size, sign = 0, node.tag in ("h1", "article", "main") and (not node.bad or node.named)
+        if (not node.bad or node.named) and node.tag != "a":
+            for c in node.children:
+                if c.__class__ is str:
+                    size += len(c.strip())
+                else:
+                    more, holds = prose[id(c)]
+                    size, sign = size + more, sign or holds
+        prose[id(node)] = size, sign
+    total = prose[id(root)][0]
+    for node in nodes:
+        size, sign = prose[id(node)]
+        if node.named and sign and size > HALF * total:
+            node.bad = node.named = False
+
+
 def score(root: Node) -> list[Node]:
     """Measure all nodes bottom-up, then let paragraph-like blocks pass points up."""
+    _spare_wrappers(root)
     nodes = _post_order(root)
     direct: dict[int, tuple[int, int]] = {}
     for node in nodes:
@@ -254,7 +306,9 @@ def score(root: Node) -> list[Node]:
                 chars += size
                 own += size
                 commas += c.count(",") + c.count("،") + c.count("、") + c.count("，")
-            elif not c.bad:
+                continue
+            node.controls += c.controls + (c.tag in ("form", "input", "button"))
+            if not c.bad:
                 chars += c.chars
                 links += c.links
                 node.anchors += c.anchors
@@ -265,7 +319,7 @@ def score(root: Node) -> list[Node]:
         node.chars = chars
         node.links = chars if node.tag == "a" else links
         node.anchors += node.tag == "a"
-        node.bad = node.doubtful and links > 0.4 * chars
+        node.bad = node.doubtful and (links > 0.4 * chars or chars < CONTROL * node.controls)
         direct[id(node)] = (own, commas)
     for node in nodes:
         if node.bad or node.tag not in _SCORED:
@@ -304,7 +358,7 @@ def _containers(root: Node) -> list[Node]:
             kept.append(c)
         elif c.__class__ is Node and not c.bad and c.tag in _BLOCK:
             density = c.links / max(c.chars, 1)
-            near = c.score >= max(10.0, 0.2 * best.score)
+            near = c.score >= max(10.0, (HALF if c.doubtful else 0.2) * best.score)
             prose = c.tag == "p" and (c.chars > 80 and density < 0.25)
             title = c.tag == "h1" and best.tag != "article"
             if near or prose or title:

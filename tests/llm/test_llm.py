@@ -475,6 +475,27 @@ def test_reference_lists_stay_and_menus_go():
     assert got.count("A. Author") == 5 and "Menu" not in got and got.count(PROSE) == 3 and "one" not in got
 
 
+def test_names_alone_do_not_drop_text():
+    """Names that articles carry as well need a second sign; furniture by any name still goes."""
+    kept = [PROSE + f" {x}." for x in ("search", "board", "follow", "last")]
+    page = f"""<body><div class="content"><div class="header"><h2>The heading</h2></div><div class="search-results"><p>{kept[0]}</p></div>
+    <div class="notice-board-story"><p>{kept[1]}</p></div><div class="follow-up"><p>{kept[2]}</p></div><p>{kept[3]}</p>
+    <div class="notice"><p>{PROSE}</p></div><div class="search-box"><input name=q><button>Find</button> Search, here</div><div class="site-header"><p>{PROSE}</p></div>
+    <div class="search-hits"><a href=/1>Hit one</a> <a href=/2>Hit two</a></div><div class="search-words"><input name=q> Type, a word</div>
+    <div class="sidebar-content"><p>{PROSE}</p></div><div class="comment-text"><p>{PROSE}</p></div><div class="cookie-notice-story"><p>{PROSE}</p></div></div></body>"""
+    assert html_extract.main_text(page).split("\n") == ["The heading", *kept]
+
+
+def test_wrappers_named_like_furniture_stay():
+    story = "".join(f"<p>{PROSE} {i}</p>" for i in range(4))
+    want = ["Head", *(f"{PROSE} {i}" for i in range(4))]
+    wrapped = f"<body><div class='sidebar-right'><div><h1>Head</h1>{story}</div><div class=sidebar><p>{PROSE}</p></div></div></body>"
+    assert html_extract.main_text(wrapped).split("\n") == want
+    # without the sign of an article, and among comments, length does not help
+    short = f"<body><article><h1>Head</h1><p>Short.</p></article><div class=ad>{story}</div><div class=comments><h1>Replies</h1>{story}</div></body>"
+    assert html_extract.main_text(short).split("\n") == ["Head", "Short."]
+
+
 def test_html_query_edges(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, "<article><p>a&nbsp;b<br>c</p></article>"), (1, "u", None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in html_extract.extract(df).collect()) == [("1", "", 0), ("1", "", 0), ("None", "a b c", 5)]

@@ -15,11 +15,14 @@ word beginnings that mark training texts called toxic and hardly any others. The
 share of function words of the lexicon's language in a text says how far the grammar can judge it at all; a text in another language keeps the prior.
 Without labels of both kinds, fixed weights are used.
 
-Null and empty texts get a score like any other. Labels of null ids are unused;
+In scripts without blanks a word may begin at every character, so that an insult
+is found anywhere in a sentence; what a found one covers is not read again.
+
+Null, empty and very long texts get a score like any other, read whole. Labels of null ids are unused;
 a repeated label counts once, and of contradicting ones the toxic counts; of an
 id's several texts the fit reads the first. Every row is scored on its own, so
 repeated rows get their own scores and an empty table gives none. Extra columns
-are ignored.
+are ignored; of the kept ones, "score" and "predicted" give way to the results.
 """
 
 from __future__ import annotations
@@ -37,9 +40,9 @@ from quillmesh.llm._shared import arrow_schema
 
 SAMPLE = 20_000  #: labelled rows that the fit reads at most
 STEM = (4, 8)  #: shortest and longest learned word beginnings
+DENSE_STEM = (2, 4)  #: the same in scripts without blanks, in characters
 SUPPORT = 3  #: toxic texts that a learned beginning must explain
 CAUTION = 3  #: toxic texts that make up for one other text with the same beginning
-CANDIDATES = 50_000  #: beginnings of the sample's toxic texts that the fit compares, the most frequent first
 LEARNED = 200  #: size of the model: beginnings that the fit picks
 
 INSULTS = frozenset(
@@ -49,12 +52,13 @@ INSULTS = frozenset(
     subhuman repulsive vile whore slut freak freaks nitwit halfwit dimwit airhead blockhead numbskull
     idiota idiotas estúpido estúpida estúpidos imbécil imbéciles basura escoria payaso payasos inútil asqueroso asquerosa
     dummkopf trottel versager abschaum arschloch idiotin widerlich
-    imbécile imbéciles débile ordure minable crétin connard salaud""".split()
+    imbécile imbéciles débile ordure minable crétin connard salaud
+    白痴 笨蛋 傻瓜 傻逼 混蛋 垃圾 废物 蠢货 馬鹿 バカ クズ ゴミ""".split()
 )
-THREATS = frozenset("kill kills killing murder destroy hurt beat smash crush punch stab shoot burn strangle hang slaughter exterminate bash die".split())
-TARGETS = frozenset("you your you're youre yours u yourself he she him her his they them their these those people everyone he's she's they're guy guys woman women man men kid kids author du ihr sie tu vous usted ustedes".split())
-NEGATIONS = frozenset("not no never isn't isnt aren't arent wasn't wasnt weren't don't dont doesn't didn't cannot can't cant won't wouldn't hardly neither nor without nobody kein keine nicht pas jamais nunca".split())
-REPORTS = frozenset("said says say called calls calling told tells wrote writes quoted quote quotes reported reportedly alleged allegedly accused claims claimed shouted shouts yelled term word phrase insult slur sagte dijo dit".split())
+THREATS = frozenset("kill kills killing murder destroy hurt beat smash crush punch stab shoot burn strangle hang slaughter exterminate bash die 杀死 打死 弄死 殺す".split())
+TARGETS = frozenset("you your you're youre yours u yourself he she him her his they them their these those people everyone he's she's they're guy guys woman women man men kid kids author du ihr sie tu vous usted ustedes 你 您 他 她 你们 お前 あなた".split())
+NEGATIONS = frozenset("not no never isn't isnt aren't arent wasn't wasnt weren't don't dont doesn't didn't cannot can't cant won't wouldn't hardly neither nor without nobody kein keine nicht pas jamais nunca 不 没 别".split())
+REPORTS = frozenset("said says say called calls calling told tells wrote writes quoted quote quotes reported reportedly alleged allegedly accused claims claimed shouted shouts yelled term word phrase insult slur sagte dijo dit 说 报道 言った".split())
 FUNCTION_WORDS = frozenset("the of and to in a is that for it as was with be by on not he his at from are this or had have which you were her they an she one all we their there been has".split())
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, END = "ITYNRo."
@@ -64,7 +68,9 @@ FEATURES = (*KINDS, "distinct", "share", "covered", "bias")
 FALLBACK = (1.2, 2.0, -0.4, -0.2, 0.4, 1.6, -0.2, -0.1, 1.6, 1.0, -0.5, -3.0)
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-_CLAUSE = re.compile(r"[.!?;:\n…]+|,\s|\s[-–—]\s")
+_CLAUSE = re.compile(r"[.!?;:\n…。！？；：]+|,\s|\s[-–—]\s|[，、]")
+#: Characters of scripts that set no blanks between words: Thai to Burmese, Khmer, kana, Han.
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]+")
 _LEET = str.maketrans("013457@$", "oieastas")
 NEG_SCOPE, NEAR = 3, 6
 
@@ -153,8 +159,40 @@ class Grammar:
             self.lexicon.update(dict.fromkeys(words, symbol))
         self.stems: dict[int, frozenset[str]] = {n: frozenset(x for x in learned if len(x) == n) for n in sorted({len(x) for x in learned})}
         self.triggers = {w for w, s in self.lexicon.items() if s in (INSULT, THREAT)}
+        self.longest = max([DENSE_STEM[1], *(len(w) for w in self.lexicon if _DENSE.match(w))])
         self.machine = Composed(Negation, Report, Target, Reader)
 
+    def words(self, clause: str) -> list[tuple[str, str]]:
+        """The words of a clause with their symbols. A run of a script without blanks
+        is read from each place on: what begins there, longest first, or one character."""
+        out = []
+        for word in _WORD.findall(clause):
+            at, n = 0, len(word)
+            while at < n:
+                run = None if word.isascii() else _DENSE.search(word, at)
+                if run is None or run.start() > at:
+                    end = n if run is None else run.start()
+                    piece = word[at:end].replace("’", "'")
+                    out.append((piece, self.symbol(piece)))
+                    at = end
+                    continue
+                while at < run.end():
+                    size, symbol = self.dense(word[at : min(run.end(), at + self.longest)])
+                    out.append((word[at : at + size], symbol))
+                    at += size
+        return out
+
+    def dense(self, run: str) -> tuple[int, str]:
+        """Length and symbol of the word that a run begins with."""
+        for size in range(len(run), 0, -1):
+            piece = run[:size]
+            got = self.lexicon.get(piece)
+            if got is None and piece in self.stems.get(size, ()):
+                got = INSULT
+            if got is not None:
+                return size, got
+        return 1, OTHER
+
     def symbol(self, word: str) -> str:
         got = self.lexicon.get(word)
         if got is None and any(word[:n] in stems for n, stems in self.stems.items()):
@@ -165,7 +203,7 @@ class Grammar:
         return got or OTHER
 
     def insulting(self, text: str) -> bool:
-        return any(self.symbol(w.replace("’", "'")) == INSULT for w in set(_WORD.findall(text.lower())))
+        return any(s == INSULT for w in set(_WORD.findall(text.lower())) for _, s in self.words(w))
 
     def features(self, text: str) -> list[float]:
         low = text.lower()
@@ -175,16 +213,16 @@ class Grammar:
         clauses = hits = 0
         plain = {w.strip(".,!?;:\"'()[]*%$&#…“”„«»") for w in set(words)}
         odd = {w for w in plain if not w.isalpha() and any(map(str.isalpha, w))}
-        if not plain.isdisjoint(self.triggers) or any(w[:n] in stems for n, stems in self.stems.items() for w in plain) or any(self.symbol(p) in (INSULT, THREAT) for w in odd for p in (w, *_WORD.findall(w))):
+        if _DENSE.search(low) or not plain.isdisjoint(self.triggers) or any(w[:n] in stems for n, stems in self.stems.items() for w in plain) or any(self.symbol(p) in (INSULT, THREAT) for w in odd for p in (w, *_WORD.findall(w))):
             for clause in _CLAUSE.split(low):
-                tokens = _WORD.findall(clause)
-                if not tokens:
+                read = self.words(clause)
+                if not read:
                     continue
                 clauses += 1
-                symbols = [self.symbol(t.replace("’", "'")) for t in tokens]
+                symbols = [s for _, s in read]
                 if INSULT in symbols or THREAT in symbols:
                     hits += 1
-                    distinct.update(t for t, s in zip(tokens, symbols, strict=True) if s == INSULT)
+                    distinct.update(t for t, s in read if s == INSULT)
                     for kind in self.machine.read(symbols):
                         counts[kind] += 1
         covered = sum(map(FUNCTION_WORDS.__contains__, words)) / max(len(words), 1)
@@ -216,8 +254,13 @@ class Model:
 
 
 def _stems_of(text: str) -> set[str]:
-    words = {w for w in re.findall(r"[^\W\d_]+", text.lower()) if len(w) >= STEM[0]}
-    return {w[:n] for w in words for n in range(STEM[0], min(STEM[1], len(w)) + 1)}
+    found = set(re.findall(r"[^\W\d_]+", text.lower()))
+    runs = {r for w in found if not w.isascii() for r in _DENSE.findall(w)}
+    if runs:
+        found = {x for w in found for x in _DENSE.sub(" ", w).split()}
+    words = {w for w in found if len(w) >= STEM[0]}
+    stems = {w[:n] for w in words for n in range(STEM[0], min(STEM[1], len(w)) + 1)}
+    return stems | {r[i : i + n] for r in runs for n in range(DENSE_STEM[0], DENSE_STEM[1] + 1) for i in range(len(r) - n + 1)}
 
 
 def _learned_stems(texts: DataFrame) -> tuple[str, ...]:
@@ -235,28 +278,28 @@ def _learned_stems(texts: DataFrame) -> tuple[str, ...]:
             rows = [(i, sorted(_stems_of(t))) for i, t, y in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True) if y == 1 and not grammar.insulting(t)]
             yield pa.RecordBatch.from_pydict({"key": [r[0] for r in rows], "stems": [r[1] for r in rows]}, schema=pa.schema([("key", pa.int64()), ("stems", pa.list_(pa.string()))]))
 
-    stems = texts.mapInArrow(toxic_stems, "key long, stems array<string>").select("key", F.explode("stems").alias("stem")).distinct()
-    found = stems.groupBy("stem").agg(F.collect_set("key").alias("keys")).filter(F.size("keys") >= SUPPORT).orderBy(F.desc(F.size("keys")), "stem").limit(CANDIDATES).collect()
-    marks = {r["stem"]: set(r["keys"]) for r in found}
-    if not marks:
-        return ()
-
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, int] = {}
         for b in batches:
             for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 if y == 0:
-                    for stem in _stems_of(t).intersection(marks):
+                    for stem in _stems_of(t):
                         counts[stem] = counts.get(stem, 0) + 1
         yield pa.RecordBatch.from_pydict({"stem": list(counts), "n": list(counts.values())}, schema=pa.schema([("stem", pa.string()), ("n", pa.int64())]))
 
-    clean = {r["stem"]: r["n"] for r in texts.mapInArrow(others, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()}
+    stems = texts.mapInArrow(toxic_stems, "key long, stems array<string>").select("key", F.explode("stems").alias("stem")).distinct()
+    often = stems.groupBy("stem").agg(F.collect_set("key").alias("keys")).filter(F.size("keys") >= SUPPORT)
+    clean = texts.mapInArrow(others, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+    # what other texts hold too often can never be picked, so it stays where it is
+    n = F.coalesce("n", F.lit(0))
+    found = often.join(clean, "stem", "left").filter(F.size("keys") - CAUTION * n >= SUPPORT).select("stem", "keys", n.alias("n")).collect()
+    marks, clean = {r["stem"]: set(r["keys"]) for r in found}, {r["stem"]: r["n"] for r in found}
     picked: list[str] = []
     while marks and len(picked) < LEARNED:
         # of equal gains the shorter beginning covers more forms
-        best = max(marks, key=lambda m: (len(marks[m]) - CAUTION * clean.get(m, 0), -len(m), m))
+        best = max(marks, key=lambda m: (len(marks[m]) - CAUTION * clean[m], -len(m), m))
         gain = len(marks[best])
-        if gain < SUPPORT or gain - CAUTION * clean.get(best, 0) < SUPPORT:
+        if gain < SUPPORT or gain - CAUTION * clean[best] < SUPPORT:
             break
         picked.append(best)
         done = marks.pop(best)
@@ -295,17 +338,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ``text_col`` may name a field of a kept struct, as "row.text", so that whole
     rows can pass through with their text once.
     """
-    names = [id_col] if keep is None else list(keep)
+    names = [n for n in ((id_col,) if keep is None else keep) if n not in ("score", "predicted")]
     within, _, field = text_col.rpartition(".")
-    base = docs.select(*names) if within else docs.select(*names, F.col(text_col).alias("_text"))
-    fields = [f for f in base.schema if f.name != "_text"]
+    inner = max([*names, "_text"], key=len) + "_"
+    base = docs.select(*names) if within else docs.select(*names, F.col(text_col).alias(inner))
+    fields = [f for f in base.schema if f.name != inner]
     schema, out = arrow_schema(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, predicted int")
     learned, weights = model.learned, np.array(model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(learned)
         for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
-            texts = b.column(within).field(field) if within else b.column("_text")
+            texts = b.column(within).field(field) if within else b.column(inner)
             x = np.array([grammar.features(t or "") for t in texts.to_pylist()]).reshape(-1, len(weights))
             s = np.round(1 / (1 + np.exp(-np.clip((x * weights).sum(axis=1), -30, 30))), 9)
             arrays = [*(b.column(f.name) for f in fields), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())]

@@ -795,6 +795,71 @@ def test_insults_in_long_chunks_count():
         assert sum(round(math.expm1(v)) for k, v in zip(toxicity.KINDS, g.features(text), strict=False)) == n, text
 
 
+def test_scripts_without_blanks_are_read_from_every_character():
+    g = toxicity.Grammar(("坏东西",))
+    read = lambda t: {k: round(math.expm1(v)) for k, v in zip(toxicity.KINDS, g.features(t), strict=False) if v}
+    assert read("我今天看到你是一个笨蛋") == {"insult_target": 1}
+    assert read("这本书不垃圾。今天天气很好，坏东西") == {"insult_negated": 1, "insult": 1}
+    assert read("我要杀死你") == {"threat_target": 1}
+    assert read("今天天气很好") == {} and read("well今天idiot") == {"insult": 1}
+    stems = toxicity._stems_of("今天真坏 lower")
+    assert {"今天", "天真", "真坏", "今天真坏", "lowe", "lower"} <= stems and not any(len(x) > 4 for x in stems if "天" in x)
+
+
+def test_beginnings_are_learned_in_scripts_without_blanks(spark):
+    rng, noise = random.Random(4), "天地人山水火木金土日月星风云雨雪花草鸟鱼"
+    prose = lambda n: "".join(rng.choice(noise) for _ in range(n))
+    rows = [(i, prose(30) + ("烂透货" if i % 3 == 0 else "") + prose(30), int(i % 3 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert any(x in "烂透货" for x in model.learned)
+    got = toxicity.score(df, model, keep=("doc_id", "toxic", "score")).withColumn("h", toxicity.held_out())
+    assert got.columns == ["doc_id", "toxic", "score", "predicted", "h"]
+    assert got.filter("h and predicted != toxic").count() == 0 and got.count() == 300
+
+
+def plain_features(g, text):
+    """The features word by word, without skipping texts in which nothing can be found."""
+    kinds, distinct, clauses, hits = [], set(), 0, 0
+    for clause in re.split(r"[.!?;:\n…。！？；：]+|,\s|\s[-–—]\s|[，、]", text.lower()):
+        words = [w.replace("’", "'") for w in re.findall(r"[^\W_]+(?:['’][^\W_]+)?", clause)]
+        symbols = []
+        for w in words:
+            leet = "".join(dict(zip("013457@$", "oieastas", strict=True)).get(c, c) for c in w)
+            names = [s for s, ws in (("I", toxicity.INSULTS), ("T", toxicity.THREATS), ("N", toxicity.NEGATIONS), ("Y", toxicity.TARGETS), ("R", toxicity.REPORTS)) if w in ws]
+            if not names and any(w.startswith(x) for x in ("lowei",)):
+                names = ["I"]
+            if not names and re.search(r"\d", w) and re.search(r"[a-z]", w):
+                names = [s for s, ws in (("I", toxicity.INSULTS), ("T", toxicity.THREATS)) if leet in ws]
+            symbols.append(names[0] if names else "o")
+        clauses += bool(words)
+        if {"I", "T"} & set(symbols):
+            hits += 1
+            distinct |= {w for w, s in zip(words, symbols, strict=True) if s == "I"}
+            kinds += plain_kinds(symbols)
+    all_words = text.lower().split()
+    covered = sum(w in toxicity.FUNCTION_WORDS for w in all_words) / max(len(all_words), 1)
+    return [*(math.log1p(kinds.count(k)) for k in toxicity.KINDS), math.log1p(len(distinct)), hits / clauses if hits else 0.0, min(1.0, 5 * covered), 1.0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("you are not an idiot moron 1d10t loweikeit kill said the of . , ! \n - don’t he trash".split(" ")), max_size=30))
+def test_features_and_scores_equal_a_plain_reading(words):
+    g, text = toxicity.Grammar(("lowei",)), " ".join(words)
+    assert np.allclose(g.features(text), plain_features(g, text))
+
+
+def test_scores_equal_plain_sums(spark):
+    texts = ["you are an idiot", None, "", "The trash is not yours, he said. I will kill you", "calm " * 5000, "idiot"]
+    model = toxicity.Model(("lowei",), toxicity.FALLBACK)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(df, model).collect()}
+    for i, t in enumerate(texts):
+        x = sum(a * b for a, b in zip(plain_features(None, t or ""), toxicity.FALLBACK, strict=True))
+        want = round(1 / (1 + math.exp(-x)), 9)
+        assert abs(got[i][0] - want) < 2e-9 and got[i][1] == int(got[i][0] >= 0.3)
+
+
 def test_toxicity_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")

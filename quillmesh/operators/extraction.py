@@ -23,18 +23,20 @@ def codes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.groupBy(id_col, "code").agg(F.count("*").alias("mentions"))
 
 
-def tickets(docs: DataFrame, id_col: str, text_col: str, name_col: str, project: str, register_keys: DataFrame) -> DataFrame:
+def tickets(docs: DataFrame, id_col: str, text_col: str, name_col: str, project: str, register_keys: DataFrame, whole: bool = True) -> DataFrame:
     """(id, ticket, mentions, relation) of the tickets of each text and file name.
 
     A document whose file name holds a ticket's number implements it, others
-    refer to it. Keys of register steps (``key``) are no tickets."""
+    refer to it; ``whole`` asks for the number as a word of its own, otherwise it may
+    be part of a longer one. Keys of register steps (``key``) are no tickets."""
     pattern = rf"(?i)\b{re.escape(project)}[-_ ]?(\d{{4,6}})\b"
     both = F.concat_ws("\n", F.col(name_col), F.col(text_col))
     found = docs.select(id_col, name_col, F.explode(F.regexp_extract_all(both, F.lit(pattern), F.lit(1))).alias("number"))
     counted = found.groupBy(id_col, name_col, "number").agg(F.count("*").alias("mentions")).withColumn("ticket", F.concat(F.lit(project + "-"), F.col("number")))
     kept = counted.join(register_keys.select(F.col("key").alias("ticket")).distinct(), "ticket", "left_anti")
     numbers = F.regexp_extract_all(name_col, F.lit(r"\b\d+\b"), F.lit(0))
-    primary = F.array_contains(F.coalesce(numbers, F.array().cast("array<string>")), F.col("number"))
+    named = F.array_contains(numbers, F.col("number")) if whole else F.col(name_col).contains(F.col("number"))
+    primary = F.coalesce(named, F.lit(False))
     return kept.select(id_col, "ticket", "mentions", F.when(primary, "implements").otherwise("refers to").alias("relation"))
 
 

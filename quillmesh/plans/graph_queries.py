@@ -263,7 +263,8 @@ def graph_quality_isolated(spark, d):
     z AS (SELECT c, count(*) AS size FROM k GROUP BY c) SELECT count(*) AS components, max(size) AS largest, sum(size)::BIGINT AS nodes FROM z""",
 )
 def graph_quality_largest_component(spark, d):
-    acct = lambda c: F.concat(F.lit("a"), F.floor(F.round(F.col(c)) / 50).cast("long").cast("string"))
+    # half to even, then towards zero, as a cast and // do
+    acct = lambda c: F.concat(F.lit("a"), F.expr(f"cast(rint({c}) AS bigint) div 50").cast("string"))
     c = load(spark, d, "customer").filter("c_nationkey = 3").select(_id("c", "c_custkey").alias("source"), acct("c_acctbal").alias("target"))
     s = load(spark, d, "supplier").filter("s_nationkey = 3").select(_id("s", "s_suppkey"), acct("s_acctbal"))
     e = c.union(s).distinct()

@@ -75,9 +75,9 @@ def partial_quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
     (doc_id, text) holds whole or by a run of PARTIAL or more of their characters.
 
     Every run that long covers the middle of its item, so items and documents
-    meet by that middle: by its rarest two adjacent whole words or, where it has
-    none, by its rarest three letters (one, where it has no three). Then the
-    middle itself is looked for, and runs are measured around its places. An item
+    meet by that middle: by its rarest two adjacent whole words, where it has
+    none by its rarest whole word, and else by its rarest three letters (one, where
+    it has no three). Then the middle itself is looked for, and runs are measured around its places. An item
     is verbatim where a document contains it, whatever its share rounds to."""
     q = items.select("item_id", normal_text(F.col("text")).alias("q")).filter("q <> ''")
     least = F.ceil(F.length("q") * (PARTIAL - 0.005)).cast("int")
@@ -88,10 +88,18 @@ def partial_quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
     q = q.withColumn("twos", F.filter(pairs(F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))), lambda k: k.isNotNull()))
     keys = lambda df, of, k: df.select(of, F.explode_outer(k).alias("k")).filter("k is not null")  # noqa: E731  outer: nothing is inferred and asked beneath
     met = _rarest(keys(q, "item_id", F.col("twos")), keys(t, "doc_id", pairs(F.split("t", " "))))
+    # a middle between two adjacent words still holds a word; letters are for those that hold none
+    inside = F.filter(F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0))), lambda w: w != "")
+    q = q.withColumn("ones", F.array_distinct(inside))
+    rest = F.size("twos") == 0
+    lone = q.filter(rest & (F.size("ones") > 0))
+    if not lone.isEmpty():
+        met = met.unionByName(_rarest(keys(lone, "item_id", F.col("ones")), keys(t, "doc_id", F.array_distinct(F.split("t", " ")))))
     for width, few in ((3, F.length("mid") >= 3), (1, F.length("mid") < 3)):
-        short = q.filter((F.size("twos") == 0) & few)
+        short = q.filter(rest & (F.size("ones") == 0) & few)
         if not short.isEmpty():
-            grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - width + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(width))))  # noqa: B023, E731
+            # one pass over a text: a look ahead at each letter; substr would count from the text's beginning each time
+            grams = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(rf"(?s)(?=(.{{{width}}}))"), F.lit(1)))  # noqa: B023, E731
             met = met.unionByName(_rarest(keys(short, "item_id", grams("mid")), keys(t, "doc_id", grams("t"))))
     rows = met.distinct().join(q.select("item_id", "q", "at", "size", "mid"), "item_id").join(t, "doc_id").filter(F.col("t").contains(F.col("mid")))
     share = run_share("q", "at", "size", "t")

@@ -47,13 +47,16 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    o = load(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return load(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_returnflag", "l_linenumber").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+def _lines(spark: SparkSession, d: str, *by: str) -> DataFrame:
+    """Lines with their orders, dealt by their number and, if asked for, by columns."""
+    o, l = load(spark, d, "orders").select("o_orderkey", "o_custkey"), load(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_returnflag", "l_linenumber")
+    n = l.count()  # from the files' footers
+    met = graph.dealt(l, n, "l_orderkey").join(graph.dealt(o, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return graph.dealt(met, n, *by) if by else met
 
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spark, d).groupBy(F.col("o_custkey").alias("c"), F.col("l_suppkey").alias("s")).agg(F.count("*").alias("mentions"), F.countDistinct("o_orderkey").alias("chunk_count"))
+    return _lines(spark, d, "o_custkey", "l_suppkey").groupBy(F.col("o_custkey").alias("c"), F.col("l_suppkey").alias("s")).agg(F.count("*").alias("mentions"), F.countDistinct("o_orderkey").alias("chunk_count"))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +178,7 @@ def graph_stats(spark, d):
     "SELECT o_custkey AS c, l_suppkey AS s, count(*) AS mentions, count(DISTINCT o_orderkey) AS chunk_count, array_to_string(list_sort(list(DISTINCT o_orderkey))[1:5], ',') AS chunks FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL",
 )
 def graph_edge_evidence(spark, d):
-    rows = _lines(spark, d).withColumns({"one": F.lit(1), "c": F.col("o_custkey"), "s": F.col("l_suppkey")})
+    rows = _lines(spark, d, "o_custkey", "l_suppkey").select("o_orderkey", F.lit(1).alias("one"), F.col("o_custkey").alias("c"), F.col("l_suppkey").alias("s"))
     return graph.edge_evidence(rows, ["c", "s"], "o_orderkey", "one").withColumn("chunks", F.array_join(F.transform("chunks", lambda x: x.cast("string")), ","))
 
 

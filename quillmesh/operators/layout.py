@@ -24,6 +24,7 @@ GROW_X, GROW_Y = 1.6, 0.9
 BAND, ROW_TOLERANCE, EDGE_TOLERANCE, FULL_SHARE = 2.0, 1.5, 2.5, 0.6
 LEAST_CONFIDENCE, LEAST_BLOCKS = 70.0, 5
 
+_EDGES = ("left", "top", "right", "bottom")
 WHOLE = 4096  #: words up to which one task may hold a page; longer ones meet on the grid
 
 
@@ -39,13 +40,17 @@ def on_grid(df: DataFrame, left: Column, top: Column, right: Column, bottom: Col
 
 def snapped(points: DataFrame, boxes: DataFrame, reach: float) -> DataFrame:
     """(page, point, box, dist): the nearest box within ``reach`` of a point; of
-    equal distances the smaller box."""
+    equal distances the smaller box. Points on one spot and boxes that lie on each
+    other are looked at once: work follows the places that are taken, not the pairs."""
     x, y = F.col("x"), F.col("y")
-    p = points.select("page", "point", "x", "y").withColumn("gx", F.floor(x / reach)).withColumn("gy", F.floor(y / reach))
-    b = on_grid(boxes.select("page", "box", "left", "top", "right", "bottom"), F.col("left") - reach, F.col("top") - reach, F.col("right") + reach, F.col("bottom") + reach, reach)
+    spots = points.select("page", "x", "y").distinct().withColumn("gx", F.floor(x / reach)).withColumn("gy", F.floor(y / reach))
+    first = boxes.groupBy("page", *_EDGES).agg(F.min("box").alias("box"))  # of boxes that lie on each other
+    b = on_grid(first, F.col("left") - reach, F.col("top") - reach, F.col("right") + reach, F.col("bottom") + reach, reach)
     dx, dy = F.greatest(F.col("left") - x, F.lit(0.0), x - F.col("right")), F.greatest(F.col("top") - y, F.lit(0.0), y - F.col("bottom"))
-    near = p.join(b, ["page", "gx", "gy"]).withColumn("dist", F.sqrt(dx * dx + dy * dy)).filter(F.col("dist") <= reach)
-    return near.groupBy("page", "point").agg(F.min_by("box", F.struct("dist", "box")).alias("box"), F.min("dist").alias("dist"))
+    near = spots.join(b, ["page", "gx", "gy"]).withColumn("dist", F.sqrt(dx * dx + dy * dy)).filter(F.col("dist") <= reach)
+    found = near.groupBy("page", "x", "y").agg(F.min_by("box", F.struct("dist", "box")).alias("box"), F.min("dist").alias("dist"))
+    met = points.select("page", "point", "x", "y").join(found, ["page", "x", "y"])
+    return met.groupBy("page", "point").agg(F.min_by("box", F.struct("dist", "box")).alias("box"), F.min("dist").alias("dist"))
 
 
 def chains(arrows: DataFrame, steps: DataFrame, straight: float, pad: float, size: float) -> DataFrame:
@@ -96,9 +101,6 @@ def captioned(captions: DataFrame, anchors: DataFrame, reach: float) -> DataFram
     return free.limit(0) if done is None else done
 
 
-_EDGES = ("left", "top", "right", "bottom")
-
-
 def _heights(words: DataFrame) -> DataFrame:
     return words.groupBy("page").agg(F.median(F.col("bottom") - F.col("top")).alias("h"))
 

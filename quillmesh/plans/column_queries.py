@@ -145,7 +145,8 @@ def converted_files(spark, d):
         .when(k % 6 == 3, _say('<c id="', k, '"><name>', name, "</name></c>")).when(k % 6 == 4, _say("From: a@b.org\nSubject: ", name, "\nDate: Tue, 02 Jan 2024 03:04:05 +0000\n\nHello ", nation, "\n")).otherwise(F.lit("PK"))
     )
     got = readers.converted(F.lower(F.element_at(kinds, (k % 6 + 1).cast("int"))), content.cast("binary"))
-    return load(spark, d, "customer").withColumn("g", got).select("c_custkey", "g.markdown", "g.units", "g.unit", "g.error")
+    files = retrieval.spread(load(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"))  # one file is read by few tasks
+    return files.withColumn("g", got).select("c_custkey", "g.markdown", "g.units", "g.unit", "g.error")
 
 
 @BOOK.add("json_lists", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_orderkey) AS last FROM orders GROUP BY 1")

@@ -47,10 +47,11 @@ class GraphNeighbours:
 
     Called with ``TABLE(links) PARTITION BY (node), most => 5``; links have the columns node,
     neighbour and relation. A hub's links pass through one task, which holds
-    ``most`` of them."""
+    ``most`` of them. A table that was cut before (``graph.first_links``) has a column
+    ``links`` as well: how many links a row stands for."""
 
     def __init__(self):
-        self.node, self.count, self.held = None, 0, []
+        self.node, self.count, self.held, self.cut = None, 0, [], None
 
     @staticmethod
     def analyze(table, most):
@@ -65,7 +66,9 @@ class GraphNeighbours:
     def eval(self, table, most):
         if table["neighbour"] is None:  # no link
             return
-        self.node, self.count = table["node"], self.count + 1
+        if self.cut is None:
+            self.cut = "links" in table
+        self.node, self.count = table["node"], self.count + (table["links"] if self.cut else 1)
         bisect.insort(self.held, (table["neighbour"], table["relation"] or ""))
         del self.held[most:]
 

@@ -487,7 +487,7 @@ def tool_neighbours(spark, d):
     tables.register(spark)
     e = edges(spark, d)
     links = e.select(F.col("source").alias("node"), F.col("target").alias("neighbour"), "relation").unionByName(e.select(F.col("target").alias("node"), F.col("source").alias("neighbour"), "relation"))
-    return spark.sql("SELECT * FROM graph_neighbours(TABLE(SELECT * FROM {links}) PARTITION BY (node), most => 5)", links=links)
+    return spark.sql("SELECT * FROM graph_neighbours(TABLE(SELECT * FROM {links}) PARTITION BY (node), most => 5)", links=graph.first_links(links, 5))
 
 
 @BOOK.add(

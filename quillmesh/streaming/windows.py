@@ -37,13 +37,14 @@ def deduplicated(df: DataFrame, keys: list[str], ts: str, late: str) -> DataFram
     return df.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
-def stream_of(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """A table of a folder as a stream of its files, times read as UTC."""
+def stream_of(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None, bytes_per_trigger: int = 1 << 30) -> DataFrame:
+    """A table of a folder as a stream of its files, times read as UTC. A round takes
+    files of so many bytes, or so many files: each round starts every state task anew."""
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     # a stream source takes a folder: that of the file, filtered to it
     single = path.rsplit("/", 1)
-    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet")
+    df = spark.readStream.schema(schema).option(*(("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else ("maxBytesPerTrigger", bytes_per_trigger))).option("pathGlobFilter", "*.parquet")
     out = df.parquet(f"{single[0]}/{name}.parquet*")
     zoneless = [f.name for f in schema if f.dataType.typeName() == "timestamp_ntz"]
     return out.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else out
